@@ -11,6 +11,7 @@ from . import url_filter
 from ._common import table
 from .license_scan import scan_licenses
 from .ngram_jaccard import ngram_jaccard_components
+from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
 
 
@@ -27,6 +28,10 @@ def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, files, dictionary, ids=False)
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
