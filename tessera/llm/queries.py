@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter
+from . import embedding_dedup, url_filter
 from ._common import table
 from .license_scan import scan_licenses
 from .ngram_jaccard import ngram_jaccard_components
@@ -15,6 +15,10 @@ from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -41,4 +45,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.oracle()}
+    return {"op1_embedding_near_dedup": embedding_dedup.ORACLE_SQL, "op4_url_filter": url_filter.oracle()}
