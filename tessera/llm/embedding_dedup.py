@@ -212,8 +212,8 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, leading: int
 ORACLE_SQL = """
 with recursive good as (
   select vec_id, label, embedding::double[] as v from embeddings
-  where label is not null and len(embedding) > 0 and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-    and len(list_filter(embedding, x -> x <> 0)) > 0
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links as (
   select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
   where list_cosine_similarity(a.v, b.v) >= 0.93
