@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import embedding_dedup, toxicity, url_filter, warc
 from ._common import table
 from .license_scan import scan_licenses
+from .lm_scoring import score_documents
 from .ngram_jaccard import ngram_jaccard_components
 from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
@@ -41,6 +42,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, toxicity.training_labels(table(spark, sf_dir, "labels"))))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
