@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import embedding_dedup, toxicity, url_filter, warc
 from ._common import table
+from .decontamination import contaminated_passages
 from .license_scan import scan_licenses
 from .lm_scoring import score_documents
 from .ngram_jaccard import ngram_jaccard_components
@@ -24,6 +25,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
