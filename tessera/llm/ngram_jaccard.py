@@ -1,57 +1,98 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Documents become sets of hashed word shingles. Equal sets are one node. Similar nodes are put into groups: nodes that
-share a minimum hash are compared with the smallest of them only, and what passes is one group. The matrix has a row for
+share a minimum hash are compared with one of them only, another for each of several hashes, and what links is one group. The matrix has a row for
 each token of a group's union; a node may be linked with a member of a group only if at least the threshold's share of
-its own tokens is in that union, so only groups that reach this bound are opened. Probing takes a node's rarest tokens:
-if that share of n tokens is in a union, one of any n - ceil(share * n) + 1 tokens is. Copies and near copies meet their
-group's smallest node, never each other, so a group's size costs in proportion.
+its own tokens is in that union, so only groups that reach this bound are opened. Groups are found by rare tokens: a node
+probes with its n - ceil(share * n) + s rarest, a group is filed under its members' n - ceil(2 * share / (1 + share) * n) + s
+rarest, and a node meets members of its size or smaller in s tokens at least; every link lies among these meetings. Copies and near copies meet
+their group's smallest node, never each other, so a group's size costs in proportion.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Bloom, bloom_of, ceil_share, partitions, stored, texts
+from ._common import bloom_of, ceil_share, partitions, stored, texts
 from .graph import connected_components
 
-#: Odd multipliers of the minimum hashes, and of the shingle hash.
-SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
-STEP, MIX = 0x100000001B3 | 1 << 33, 0xFF51AFD7ED558CCD
+#: Minimum hashes of a set, and how many two sets must share to be compared while groups are made.
+HASHES, ALIKE = 12, 6
+#: Odd multipliers of the minimum hashes, and of the word and shingle hashes.
+SEEDS = tuple(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(HASHES))
+#: Rare tokens that a node and a group must share before they are compared.
+SHARED = 3
+STEP, MIX = np.uint64(0x200000101B3), np.uint64(0xFF51AFD7ED558CCD)
+BASE, INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
 SKETCH_BITS, BLOCK = 24, 1 << 18
-
-
-class _WordHash(dict):
-    """64-bit hashes of words, kept up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _WordHash()
+SEGMENT = 1 << 20
+#: Members of a group whose union is one entry of the matrix, about.
+UNION_MEMBERS = 48
+
+
+def _byte_values() -> np.ndarray:
+    """A 64-bit value for each byte, the same for A-Z as for a-z."""
+    x = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint64) + np.uint64(1)
+    for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(m) + np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(31))
+
+
+_VALUES = _byte_values()
+_IN_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)], np.int8)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """BASE ** i and INVERSE ** i for i < n at least."""
+    while len(_POWERS[0]) < n:
+        for k, base in enumerate((BASE, INVERSE)):
+            x = _POWERS[k]
+            _POWERS[k] = np.concatenate([x, x * np.uint64(pow(base, len(x), 1 << 64))])
+    return _POWERS
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, words split at ASCII white space, A-Z as a-z: differences of a prefix sum, moved to power 0."""
+    out, at = [], 0
+    data = np.frombuffer(text, np.uint8)
+    while at < len(data):
+        end = at + SEGMENT
+        while end < len(data) and _IN_WORD[data[end]]:
+            end += 1
+        part = data[at:end]
+        up, down = _powers(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUES[part] * up[: len(part)], out=sums[1:])
+        edges = np.flatnonzero(np.diff(_IN_WORD[part], prepend=np.int8(0), append=np.int8(0)))
+        starts, ends = edges[::2], edges[1::2]
+        out.append((sums[ends] - sums[starts]) * down[starts])
+        at = end
+    h = np.concatenate(out) if out else np.empty(0, np.uint64)
+    h ^= h >> np.uint64(32)
+    h *= MIX
+    return h ^ (h >> np.uint64(29))
 
 
 def shingle_set(text: bytes, k: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's k-word shingles (A-Z lower-cased, words split at ASCII white space)."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    """Sorted distinct 64-bit hashes of a text's k-word shingles; with fewer words, of the whole sequence."""
+    h = word_hashes(text)
+    if not len(h):
+        return h
     width = min(k, len(h))
     out = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
-        out = out * np.uint64(STEP) + h[i : len(h) - width + 1 + i]
+        out = out * STEP + h[i : len(h) - width + 1 + i]
         out ^= out >> np.uint64(29)
-    out *= np.uint64(MIX)
+    out *= MIX
     out ^= out >> np.uint64(32)
     return np.unique(out)
 
@@ -60,50 +101,43 @@ def set_id(tokens: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes()))))
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _long(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
 def _summaries(k: int):
     """A row for each document (kind 0), and the task's token counts by cell (kind 1, dense; 2, sparse)."""
-    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("keys", pa.list_(pa.int64())), ("block", pa.int32()), ("blob", pa.binary())])
+    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("keys", pa.list_(pa.int32())), ("block", pa.int32()), ("blob", pa.binary())])
 
     def run(batches):
-        cells = np.zeros(1 << SKETCH_BITS, np.uint8)
-        waiting, n_waiting, seen = [], 0, False
-
-        def count():
-            nonlocal waiting, n_waiting, seen
-            if waiting:
-                at, n = np.unique(np.concatenate(waiting), return_counts=True)
-                cells[at] = np.minimum(255, cells[at].astype(np.int64) + n)
-                waiting, n_waiting, seen = [], 0, True
-
+        cells, docs = np.zeros(1 << SKETCH_BITS, np.uint16), 0
         for batch in batches:
-            ids, text_keys = batch["doc_id"], batch["text_key"]
             n, sid, keys = [], [], []
             for t in texts(batch["text"]):
                 s = shingle_set(t, k)
                 n.append(len(s))
                 sid.append(set_id(s) if len(s) else None)
-                keys.append(_long(np.array([(s * np.uint64(m)).min() for m in SEEDS], np.uint64)) if len(s) else None)
-                waiting.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
-                n_waiting += len(s)
-                if n_waiting > 2_000_000:
-                    count()
+                keys.append([int((s * np.uint64(m)).min() >> np.uint64(33)) for m in SEEDS] if len(s) else None)
+                np.add.at(cells, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint16(1))
+                if (docs := docs + 1) % 30_000 == 0:
+                    np.minimum(cells, 255, out=cells)
             m = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int8()), ids, text_keys, pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
-        count()
-        for b in range((1 << SKETCH_BITS) // BLOCK) if seen else ():
-            part = cells[b * BLOCK : (b + 1) * BLOCK]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int8()), batch["doc_id"], batch["text_key"], pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(keys, pa.list_(pa.int32())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
+        for b in range((1 << SKETCH_BITS) // BLOCK) if docs else ():
+            part = np.minimum(cells[b * BLOCK : (b + 1) * BLOCK], 255).astype(np.uint8)
             at = np.flatnonzero(part)
             if len(at):
                 sparse = len(at) < BLOCK // 8
                 blob = at.astype(np.uint32).tobytes() + part[at].tobytes() if sparse else part.tobytes()
                 none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([2 if sparse else 1], pa.int8()), none, none, none, none, pa.nulls(1, pa.list_(pa.int64())), pa.array([b], pa.int32()), pa.array([zlib.compress(blob, 1)], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([2 if sparse else 1], pa.int8()), none, none, none, none, pa.nulls(1, pa.list_(pa.int32())), pa.array([b], pa.int32()), pa.array([zlib.compress(blob, 1)], pa.binary())], schema=schema)
 
-    return run, "kind tinyint, doc_id long, text_key long, n long, sid long, keys array<long>, block int, blob binary"
+    return run, "kind tinyint, doc_id long, text_key long, n long, sid long, keys array<int>, block int, blob binary"
 
 
 def _levels(counted: DataFrame) -> np.ndarray:
@@ -129,138 +163,248 @@ def _levels(counted: DataFrame) -> np.ndarray:
     return out
 
 
-def _token_rows(k: int, wanted=None, levels=None, percent: int = 75):
-    """``sid, n, tokens``: all tokens of the texts that the Bloom filter may hold, or every text's rarest ones. Once for each set and task."""
+def _rarest(k: int, levels, percent: int):
+    """``sid, n, tokens``: each set's size and rarest tokens, rarest first, enough to meet every similar set. Once for each set and task."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            keys = batch["text_key"].to_numpy(zero_copy_only=False)
-            take = wanted.value.has(keys) if wanted is not None else np.ones(len(keys), bool)
             sid, n, tokens, held = [], [], [], 0
-            for t in (x for x, y in zip(texts(batch["text"]), take, strict=True) if y):
+            for t in texts(batch["text"]):
                 s = shingle_set(t, k)
                 if not len(s) or (i := set_id(s)) in seen:
                     continue
                 seen.add(i)
-                size = len(s)
-                if levels is not None:
-                    rank = levels.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    s = s[np.argsort(rank, kind="stable")[: size - ceil_share(size, percent) + 1]]
+                rank = levels.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 sid.append(i)
-                n.append(size)
+                n.append(len(s))
+                s = s[np.argsort(rank, kind="stable")[: len(s) - ceil_share(len(s), percent) + SHARED]]
                 tokens.append(_long(s))
                 held += len(s)
                 if held > 500_000:
-                    yield pa.RecordBatch.from_pydict({"sid": pa.array(sid, pa.int64()), "n": pa.array(n, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+                    yield pa.RecordBatch.from_pydict({"sid": pa.array(sid, pa.int64()), "n": pa.array(n, pa.int32()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
                     sid, n, tokens, held = [], [], [], 0
             if sid:
-                yield pa.RecordBatch.from_pydict({"sid": pa.array(sid, pa.int64()), "n": pa.array(n, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"sid": pa.array(sid, pa.int64()), "n": pa.array(n, pa.int32()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
 
-    return run, "sid long, n long, tokens array<long>"
+    return run, "sid long, n int, tokens array<long>"
 
 
-def _meetings(batches):
-    """From rows sorted by token and group: every node of a later group with each earlier group of the token."""
-    token, groups, last = None, [], None
-    for batch in batches:
-        left, right = [], []
-        for t, g, s in zip(batch["token"].to_pylist(), batch["gid"].to_pylist(), batch["own"].to_pylist(), strict=True):
-            if t != token:
-                token, groups, last = t, [g], None
-            elif g != groups[-1]:
-                groups.append(g)
-            if len(groups) > 1 and (g, s) != last:
-                last = (g, s)
-                left += [g if s is None else s] * (len(groups) - 1)
-                right += groups[:-1]
+def _packed_texts(wanted):
+    """The texts that the Bloom filter may hold, compressed: a fraction of the size of their tokens. Once for each text and task."""
+
+    def run(batches):
+        seen: set[int] = set()
+        zipper = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            hit = np.flatnonzero(wanted.value.has(batch["text_key"].to_numpy(zero_copy_only=False)))
+            part = batch.take(pa.array(hit))
+            keys, blobs = [], []
+            for key, t in zip(part["text_key"].to_pylist(), texts(part["text"]), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    blobs.append(zipper.compress(t))
+            if keys:
+                yield pa.RecordBatch.from_pydict({"text_key": pa.array(keys, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+    return run, "text_key long, blob binary"
+
+
+def _meetings(percent: int):
+    """From rows sorted by token and size: each node with every other group that filed a member of its size or a little smaller under the token."""
+
+    def run(batches):
+        token = None
+        filed: deque[tuple[int, int]] = deque()  # sizes and groups within reach
+        groups: dict[int, int] = {}
+        for batch in _shared_only(batches):
+            left, right, need = [], [], []
+            for t, g, s, n, f in zip(*(batch[c].to_pylist() for c in ("token", "gid", "own", "n", "filed")), strict=True):
+                if t != token:
+                    token = t
+                    filed.clear()
+                    groups.clear()
+                while filed and 100 * filed[0][0] < percent * n:
+                    old = filed.popleft()[1]
+                    groups[old] -= 1
+                    if not groups[old]:
+                        del groups[old]
+                if len(groups) > (g in groups):
+                    right += [x for x in groups if x != g]
+                    need += [min(SHARED, ceil_share(n, percent))] * (len(right) - len(left))
+                    left += [g if s is None else s] * (len(right) - len(left))
+                if f:
+                    filed.append((n, g))
+                    groups[g] = groups.get(g, 0) + 1
                 if len(left) > 200_000:
-                    yield pa.RecordBatch.from_pydict({"sid": pa.array(left, pa.int64()), "gid": pa.array(right, pa.int64())})
-                    left, right = [], []
-        if left:
-            yield pa.RecordBatch.from_pydict({"sid": pa.array(left, pa.int64()), "gid": pa.array(right, pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"sid": pa.array(left, pa.int64()), "gid": pa.array(right, pa.int64()), "need": pa.array(need, pa.int8())})
+                    left, right, need = [], [], []
+            if left:
+                yield pa.RecordBatch.from_pydict({"sid": pa.array(left, pa.int64()), "gid": pa.array(right, pa.int64()), "need": pa.array(need, pa.int8())})
+
+    return run
 
 
 def _shared_only(batches):
     """Drops tokens that a single group has, before they reach Python's loop; rows come sorted by token."""
-    held = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+    held: list[pa.RecordBatch] = []
+
+    def parted(t: pa.Table, ends: bool):
         tok, gid = t["token"].to_numpy(), t["gid"].to_numpy()
         start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-        if len(start) == 1:  # one token so far
-            held = t.to_batches()[0]
+        size = np.diff(np.r_[start, len(tok)])
+        mixed = np.logical_or.reduceat(gid != np.repeat(gid[start], size), start)
+        if not ends:
+            mixed[-1] = False
+        return t.filter(pa.array(np.repeat(mixed, size))), None if ends else t.slice(int(start[-1]))
+
+    for batch in batches:
+        if held and batch.num_rows and batch["token"][-1].as_py() == held[0]["token"][0].as_py():
+            held.append(batch)  # a token that fills batches
             continue
-        end = start[-1]
-        held = t.slice(end).combine_chunks().to_batches()[0]
-        ends = np.r_[start[1:] - 1]
-        mixed = gid[start[:-1]] != gid[ends]
-        keep = np.repeat(mixed, np.diff(start))
-        if keep.any():
-            yield from t.slice(0, end).filter(pa.array(keep)).combine_chunks().to_batches()
-    if held is not None:
-        yield held
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+        if batch.num_rows:
+            done, rest = parted(pa.Table.from_batches([*held, batch]).combine_chunks(), ends=False)
+            yield from done.combine_chunks().to_batches()
+            held = rest.combine_chunks().to_batches()
+    if held:
+        yield from parted(pa.Table.from_batches(held).combine_chunks(), ends=True)[0].combine_chunks().to_batches()
+
+
+class _Sets:
+    """The sets of compressed texts, the last few kept."""
+
+    def __init__(self, k: int):
+        self.k, self.unzip, self.kept = k, zstandard.ZstdDecompressor(), {}
+
+    def get(self, key: int, blob: bytes) -> np.ndarray:
+        if key not in self.kept:
+            if len(self.kept) >= 64:
+                self.kept.clear()
+            self.kept[key] = shingle_set(self.unzip.decompress(blob), self.k)
+        return self.kept[key]
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose sets have at least this Jaccard similarity."""
-    one = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("i"))
-    return both.where(F.expr(f"100L * i >= {percent}L * (na + nb - i)")).select("a", "b")
 
+    def compare(batches):
+        kept = _Sets(k)
+        for batch in batches:
+            a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
+            good = [similar(kept.get(x, s), kept.get(y, t), percent) for x, y, s, t in zip(a, b, batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"]}).filter(pa.array(good, pa.bool_()))
 
-def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``; rows link at Jaccard >= percent / 100.
+    one = sets.select(F.col("sid").alias("a"), F.col("blob").alias("sa"))
+    two = sets.select(F.col("sid").alias("b"), F.col("blob").alias("sb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
-    Null and blank texts: no shingles, a component of their own. Fewer words than k: the whole sequence is one shingle.
-    Rows repeated or with equal sets: in one component. Null doc_id: kept, counts last as a component's smallest id, so
-    the component's id is null only if all its ids are. Empty table: no rows. Other columns are ignored. Sets and nodes
-    are told apart by 64-bit hashes.
+
+def _opened(members: DataFrame, queries: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links ``a, b`` of ``queries(gid, sid)`` with groups' ``members(gid, sid, m)``, m the group's size.
+
+    A group's members are dealt to parts of about ``UNION_MEMBERS``. A part's token union bounds a query's overlap with
+    each member; a part that reaches the bound is opened, up to the first link, which is all that components need.
     """
+    parts = F.expr(f"cast(ceil(m / {UNION_MEMBERS}) as int)")
+    own = members.select("gid", F.pmod(F.xxhash64("sid"), parts).cast("int").alias("part"), F.lit(0).alias("kind"), "sid")
+    sizes = members.select("gid", parts.alias("parts")).distinct()
+    asked = queries.join(sizes, "gid").select("gid", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(1).alias("kind"), "sid")
+    rows = own.unionByName(asked).join(sets.select("sid", "blob"), "sid").repartition(partitions(members.sparkSession), "gid", "part").sortWithinPartitions("gid", "part", "kind")
+
+    def run(batches):
+        unzip, group = zstandard.ZstdDecompressor(), None
+        for batch in batches:
+            a, b = [], []
+            for gid, part, kind, sid, blob in zip(*(batch[c].to_pylist() for c in ("gid", "part", "kind", "sid", "blob")), strict=True):
+                if (gid, part) != group:
+                    group, inside, union = (gid, part), [], None
+                s = shingle_set(unzip.decompress(blob), k)
+                if kind == 0:
+                    inside.append((sid, s))
+                    continue
+                if union is None:
+                    union = np.unique(np.concatenate([x for _, x in inside])) if inside else s[:0]
+                if 100 * len(np.intersect1d(s, union, assume_unique=True)) < percent * len(s):
+                    continue
+                for other, x in inside:
+                    if 100 * min(len(s), len(x)) >= percent * max(len(s), len(x)) and similar(s, x, percent):
+                        a.append(sid)
+                        b.append(other)
+                        break
+            if a:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.select("gid", "part", "kind", "sid", "blob").mapInArrow(run, "a long, b long")
+
+
+def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``doc_id, text_key, n, sid, component`` of every row; component names a group of nodes, or a row without words."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     run, schema = _summaries(k)
     all_rows = stored(source.mapInArrow(run, schema), "shingles")
     rows = all_rows.where("kind = 0")
-    nodes = rows.where("n > 0").groupBy("sid").agg(F.min("n").alias("n"), F.min("text_key").alias("text_key"), F.first("keys").alias("keys"))
-    nodes = stored(nodes, "nodes")
+    nodes = stored(rows.where("n > 0").groupBy("sid").agg(F.min("text_key").alias("text_key"), F.first("keys").alias("keys")), "nodes")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        """Tokens of the nodes ``sid``."""
-        wanted = spark.sparkContext.broadcast(bloom_of(nodes.join(ids, "sid", "left_semi").select("text_key")))
-        fetch, out = _token_rows(k, wanted=wanted)
-        return source.mapInArrow(fetch, out).join(ids, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+        """``sid, blob`` of the nodes ``ids(sid)``."""
+        keys = stored(nodes.select("sid", "text_key").join(ids, "sid", "left_semi"), "keys")
+        fetch, out = _packed_texts(spark.sparkContext.broadcast(bloom_of(keys.select("text_key"))))
+        found = source.select("text_key", "text").mapInArrow(fetch, out).groupBy("text_key").agg(F.first("blob").alias("blob"))
+        return stored(found.join(keys, "text_key").select("sid", "blob"), "sets")
 
     keyed = nodes.select("sid", F.posexplode("keys").alias("r", "key"))
-    centres = keyed.groupBy("r", "key").agg(F.min("sid").alias("centre"), F.count("*").alias("m")).where("m > 1")
-    pairs = stored(keyed.join(centres, ["r", "key"]).where("sid <> centre").select(F.col("sid").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    links = stored(_verified(pairs, stored(sets_of(ends), "sets"), percent), "links")
+    centres = keyed.groupBy("r", "key").agg(F.min_by("sid", F.xxhash64("sid", "r")).alias("centre"), F.count("*").alias("m")).where("m > 1")
+    near = keyed.join(centres, ["r", "key"]).where("sid <> centre").select(F.greatest("sid", "centre").alias("a"), F.least("sid", "centre").alias("b")).distinct()
+    keys_of = lambda side: nodes.select(F.col("sid").alias(side), F.col("keys").alias("keys_" + side))
+    alike = f"size(filter(zip_with(keys_a, keys_b, (x, y) -> x = y), x -> x)) >= {ALIKE}"
+    pairs = stored(near.join(keys_of("a"), "a").join(keys_of("b"), "b").where(alike).select("a", "b"), "pairs")
+    links = stored(_verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), k, percent), "links")
     groups = stored(connected_components(links), "groups")
+    label = groups.select(F.col("node").alias("sid"), F.col("component").alias("gid"))
 
     levels = spark.sparkContext.broadcast(_levels(all_rows.where("kind > 0")))
-    rarest, out = _token_rows(k, levels=levels, percent=percent)
-    label = groups.select(F.col("node").alias("sid"), F.col("component").alias("gid"))
-    probes = source.mapInArrow(rarest, out).join(label, "sid", "left").select(F.explode("tokens").alias("token"), F.coalesce("gid", "sid").alias("gid"), F.expr("case when gid <> sid then sid end").alias("own"))
-    dealt = probes.repartition(partitions(spark), "token").sortWithinPartitions("token", "gid", "own")
-    met = dealt.mapInArrow(lambda b: _meetings(_shared_only(b)), "sid long, gid long").distinct()
-    met = stored(met, "met")
-
-    in_group = nodes.select("sid", "n").join(label, "sid", "left").select("sid", "n", F.coalesce("gid", "sid").alias("gid"))
-    members = stored(in_group.join(met.select("gid").distinct(), "gid", "left_semi"), "members")
-    asked = stored(sets_of(members.select("sid").union(met.select("sid")).distinct()), "sets")
-    union = members.join(asked.select("sid", F.explode("tokens").alias("token")), "sid").select("gid", "token").distinct()
-    bound = met.join(asked.select("sid", "n", F.explode("tokens").alias("token")), "sid").join(union, ["gid", "token"]).groupBy("sid", "gid").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
-    open_groups = stored(bound.where(F.expr(f"100L * hits >= {percent}L * n")).select("sid", "gid", "n"), "open")
-
-    first = stored(_verified(open_groups.select(F.col("sid").alias("a"), F.col("gid").alias("b")), asked, percent), "links")
-    rest = open_groups.join(first.select(F.col("a").alias("sid"), F.col("b").alias("gid")), ["sid", "gid"], "left_anti")
-    inside = members.select(F.col("sid").alias("b"), F.col("n").alias("nb"), "gid").where("b <> gid")
-    opened = rest.join(inside, "gid").where(F.expr(f"100L * least(n, nb) >= {percent}L * greatest(n, nb)")).select(F.col("sid").alias("a"), "b")
-    more = stored(_verified(opened, asked, percent), "links")
+    rarest, out = _rarest(k, levels, percent)
+    probes = source.select("text").mapInArrow(rarest, out).join(label, "sid", "left").select(F.posexplode("tokens").alias("i", "token"), F.coalesce("gid", "sid").alias("gid"), F.expr("case when gid <> sid then sid end").alias("own"), "n")
+    probes = probes.withColumn("filed", F.expr(f"i < n - ceil({2 * percent}L * n / {100 + percent}) + {SHARED}")).drop("i")
+    dealt = probes.repartition(partitions(spark), "token").sortWithinPartitions("token", "n")
+    meetings = dealt.mapInArrow(_meetings(percent), "sid long, gid long, need tinyint").groupBy("sid", "gid").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
+    met = stored(meetings.where("shared >= need").select("sid", "gid"), "met")
+
+    large = label.join(met.select("gid").distinct(), "gid", "left_semi")
+    members = stored(large.join(large.groupBy("gid").agg(F.count("*").alias("m")), "gid"), "members")
+    sets = sets_of(members.select("sid").union(met.select("sid")).union(met.select("gid")).distinct())
+    first = stored(_verified(met.select(F.col("sid").alias("a"), F.col("gid").alias("b")), sets, k, percent), "links")
+    rest = met.join(first.select(F.col("a").alias("sid"), F.col("b").alias("gid")), ["sid", "gid"], "left_anti")
+    more = stored(_opened(members, rest, sets, k, percent), "links")
 
     linked = connected_components(links.unionByName(first).unionByName(more))
-    with_node = rows.select("doc_id", "n", "sid").join(linked.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    least = with_node.where("sid is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return with_node.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    found = rows.select("doc_id", "text_key", "n", "sid").join(linked.select(F.col("node").alias("sid"), "component"), "sid", "left")
+    return found.withColumn("component", F.coalesce("component", "sid", F.xxhash64("doc_id")))
+
+
+def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``; rows link at Jaccard >= percent / 100.
+
+    Null and blank texts: no shingles, a component of their own. Fewer words than k: the whole sequence is one shingle.
+    Rows repeated or with equal sets: in one component. Null doc_id: kept, counts last as a component's smallest id, so
+    the component's id is null only if all its ids are. Empty table: no rows. Other columns are ignored. Texts, sets and
+    shingles are told apart by 64-bit hashes.
+    """
+    rows = _components(docs, k, percent)
+    least = rows.where("sid is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, all columns, without near-duplicates: of each component the row with the smallest doc_id stays.
+
+    Null ids count last, equal ids by the text's hash; of rows equal in both, one stays. Rows without words all stay.
+    """
+    rows = stored(_components(docs, k, percent).where("sid is not null"), "components")
+    pick = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("row"))
+    pick = pick.select(F.xxhash64("row.doc_id", "row.text_key").alias("_row_key")).distinct()
+    blank = F.coalesce(~F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(True))
+    keyed = docs.where(~blank).withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    return docs.where(blank).unionByName(keyed.join(pick, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns))

@@ -1,6 +1,6 @@
 import random
 
-from tessera.llm.ngram_jaccard import ngram_jaccard_components
+from tessera.llm.ngram_jaccard import ngram_jaccard_components, one_of_each_group
 
 
 def brute(rows):
@@ -66,3 +66,11 @@ def test_empty_table(spark):
 def test_very_long_text(spark):
     text = " ".join(f"a{i}" for i in range(60_000))
     assert run(spark, [(1, text), (2, text + " b")]) == [(1, 59_996, 1), (2, 59_997, 1)]
+
+
+def test_one_of_each_group_stays(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, words, "a"), (3, words + " more", "b"), (3, words + " more", "c"), (None, words, "d"), (9, "other text", "e"), (1, None, "f"), (1, None, "g"), (2, " ", "h"), (None, "alone", "i")]
+    got = one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    kept = sorted((r.source for r in got))
+    assert kept in (["b", "e", "f", "g", "h", "i"], ["c", "e", "f", "g", "h", "i"])
