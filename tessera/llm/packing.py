@@ -156,7 +156,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     spark = pieces.sparkSession
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     checked = pieces.select(*names).withColumn("length", F.expr(f"if(length between 1 and {capacity}, length, raise_error('a piece is empty, null or longer than a sequence'))"))
-    ranged = checked.repartitionByRange(partitions(spark), "length", F.xxhash64(*names)).sortWithinPartitions("length", *[c for c in names if c != "length"])
+    # stored first: dealing by ranges reads its input twice
+    ranged = stored(checked, "unpacked").repartitionByRange(partitions(spark), "length", F.xxhash64(*names)).sortWithinPartitions("length", *[c for c in names if c != "length"])
     rows = stored(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "pieces")
     runs = rows.groupBy("_part", "length").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     runs = runs.withColumn("_base", F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n") - F.col("_first"))
@@ -189,8 +190,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                x = np.frombuffer(enc.encode(text) + end, enc.dtype).astype("<u4")
+            for doc_id, found in zip(batch["doc_id"].to_pylist(), enc.encode_many(batch["text"].to_pylist()), strict=True):
+                x = np.frombuffer(found + end, enc.dtype).astype("<u4")
                 for i, at in enumerate(range(0, len(x), capacity)):
                     part = x[at : at + capacity]
                     rows.append((doc_id, i, at, len(part), zlib.crc32(part.tobytes()), part.astype(np.int64))[: len(fields)])

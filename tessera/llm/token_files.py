@@ -37,7 +37,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int =
     def train(batches):
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
-        bits = [enc.encode(t) + end for b in batches for t in b["text"].to_pylist()]
+        bits = [x + end for b in batches for x in enc.encode_many(b["text"].to_pylist())]
         try:
             data = zstandard.train_dictionary(size, bits).as_bytes()
         except (zstandard.ZstdError, ValueError):
@@ -56,7 +56,7 @@ class _Writer:
     def __init__(self, uri: str, item: int, dictionary: bytes):
         where, path = filesystem(uri)
         where.create_dir(path.rpartition("/")[0], recursive=True)
-        self.uri, self.out = uri, where.open_output_stream(path)
+        self.uri, self.out = uri, where.open_output_stream(path, compression=None)
         self.out.write(MAGIC + bytes([item]) + hashlib.sha256(dictionary).digest())
         self.at, self.ids, self.null, self.counts, self.offsets = HEAD, [], [], [], [HEAD]
 
@@ -120,10 +120,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, file_byt
         zipper = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary))
         part, file, out, done = TaskContext.get().partitionId(), 0, None, []
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), enc.encode_many(batch["text"].to_pylist()), strict=True):
                 if out is None:
                     out = _Writer(f"{folder}/part-{part:06d}-{file:05d}-{uuid.uuid4().hex}.tok", enc.dtype.itemsize, dictionary)
-                data = enc.encode(text) + end
+                data = ids + end
                 out.add(doc_id, zipper.compress(data), len(data) // enc.dtype.itemsize)
                 if out.at >= file_bytes:
                     done.append((part, file, *out.close()))
