@@ -1,0 +1 @@
+"""Evidence operators on DataFrames."""

@@ -1,0 +1 @@
+"""Readers, and the evidence tables that queries derive from the driver's tables."""
