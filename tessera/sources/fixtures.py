@@ -88,6 +88,8 @@ def with_fixtures(sql: str) -> str:
     need(sql)
     ctes = ", ".join(f"{n} as ({re.sub(r'{(\w+)}', lambda m: DUCKDB.get(m[1], m[1]), FIXTURES[n])})" for n in order)
     sql = sql.strip()
+    if not order:
+        return sql
     if sql.lower().startswith("with recursive"):
         return f"with recursive {ctes}, {sql[len('with recursive') :].strip()}"
     return f"with {ctes}, {sql[4:].strip()}" if sql.lower().startswith("with ") else f"with {ctes} {sql}"
