@@ -1,0 +1 @@
+"""Helpers that operators share."""

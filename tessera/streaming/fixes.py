@@ -1,0 +1,61 @@
+"""Streams of GPS fixes: legs by keyed state, and the hazard scan as a stream-static join."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..functions.storage import shared_path
+from ..operators.alerts import corridor_scan
+from ..operators.trajectory import ACCURACY_M, GAP_M, GAP_MS
+from ..sources.fixtures import FIXTURES, SPARK
+
+LEGS = "seq long, trip long, kind string, leg_m double"
+
+
+def fix_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of fixes, one micro-batch a file."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
+    text = FIXTURES["fx_fix"]
+    for key, spelling in SPARK.items():
+        text = text.replace("{" + key + "}", spelling)
+    return spark.sql(text, events=events)
+
+
+def drained(stream: DataFrame, label: str) -> DataFrame:
+    """What the stream gives until its present input is used up, through an exactly-once file sink."""
+    spark = stream.sparkSession
+    out, state = shared_path(spark, label), shared_path(spark, label + "-state")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def _follow(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A trip's fixes of one micro-batch in time order, after the last good fix of those before."""
+    x, y, t = state.get if state.exists else (None, None, None)
+    fixes = pd.concat(list(chunks)).sort_values(["t_ms", "seq"])
+    out = []
+    for f in fixes.itertuples(index=False):
+        if not f.accuracy <= ACCURACY_M:
+            continue
+        d = ((f.x - x) ** 2 + (f.y - y) ** 2) ** 0.5 if t is not None and f.t_ms - t < GAP_MS else None
+        out.append((f.seq, f.trip, "point" if d is None else "rejected" if d > GAP_M else "leg", d))
+        x, y, t = float(f.x), float(f.y), int(f.t_ms)
+    if t is not None:
+        state.update((x, y, t))
+    yield pd.DataFrame(out, columns=["seq", "trip", "kind", "leg_m"]).astype({"leg_m": "float64"})
+
+
+def stateful_legs(fixes: DataFrame) -> DataFrame:
+    """Legs as fixes arrive; the state of a trip is its last accepted fix, across micro-batches."""
+    keep = fixes.select("seq", "trip", "t_ms", "x", "y", "accuracy")
+    return keep.groupBy("trip").applyInPandasWithState(_follow, LEGS, "x double, y double, t long", "append", GroupStateTimeout.NoTimeout)
+
+
+def scan_stream(fixes: DataFrame, hazards: DataFrame) -> DataFrame:
+    """The corridor scan of every arriving fix against the static hazards."""
+    return corridor_scan(fixes, hazards)
