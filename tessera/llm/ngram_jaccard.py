@@ -4,15 +4,14 @@ Documents become sets of hashed word shingles. Equal sets are one node. Similar
 share a minimum hash are compared with one of them only, another for each of several hashes, and what links is one group. The matrix has a row for
 each token of a group's union; a node may be linked with a member of a group only if at least the threshold's share of
 its own tokens is in that union, so only groups that reach this bound are opened. Groups are found by rare tokens: a node
-probes with its n - ceil(share * n) + s rarest, a group is filed under its members' n - ceil(2 * share / (1 + share) * n) + s
-rarest, and a node meets members of its size or smaller in s tokens at least; every link lies among these meetings. Copies and near copies meet
+and a group's members meet under the tokens that are rare enough in both for their sizes, in a few at least; every link lies
+among these meetings. Copies and near copies meet
 their group's smallest node, never each other, so a group's size costs in proportion.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,8 @@ from .graph import connected_components
 HASHES, ALIKE = 12, 6
 #: Odd multipliers of the minimum hashes, and of the word and shingle hashes.
 SEEDS = tuple(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(HASHES))
-#: Rare tokens that a node and a group must share before they are compared.
-SHARED = 3
+#: Rare tokens that a node and a group must share before they are compared; more of them lengthen what is shuffled.
+SHARED = 1
 STEP, MIX = np.uint64(0x200000101B3), np.uint64(0xFF51AFD7ED558CCD)
 BASE, INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
 SKETCH_BITS, BLOCK = 24, 1 << 18
@@ -211,37 +210,58 @@ def _packed_texts(wanted):
     return run, "text_key long, blob binary"
 
 
+def _meet(run: list[tuple], percent: int, out: tuple[list, list, list]) -> None:
+    """One token's rows ``gid, own, n, i`` by size, i the token's place in the node's order: each node with every group that has
+    a member of its size or smaller for which the token is rare enough on both sides.
+
+    Sets of sizes n >= m link with at least a = percent * (n + m) / (100 + percent) tokens in common, so SHARED of them are
+    among the n - a + SHARED rarest of the one and the m - a + SHARED rarest of the other.
+    """
+    left, right, need = out
+    sizes, groups, reaches = (np.empty(len(run), np.int64) for _ in range(3))
+    filed, start = 0, 0
+    for g, own, n, i in run:
+        most = (n - i + SHARED - 1) * (100 + percent) // percent - n  # the largest other size for which the place is rare enough
+        while start < filed and 100 * sizes[start] < percent * n:
+            start += 1
+        if start < filed:
+            if filed - start > 24:
+                s = slice(start, filed)
+                near = np.unique(groups[s][(sizes[s] <= most) & (reaches[s] >= n)]).tolist()
+            else:
+                near = {groups.item(j) for j in range(start, filed) if sizes.item(j) <= most and reaches.item(j) >= n}
+            for x in near:
+                if x != g:
+                    left.append(g if own is None else own)
+                    right.append(x)
+                    need.append(min(SHARED, ceil_share(n, percent)))
+        if most >= n:
+            sizes[filed], groups[filed], reaches[filed] = n, g, most
+            filed += 1
+
+
 def _meetings(percent: int):
-    """From rows sorted by token and size: each node with every other group that filed a member of its size or a little smaller under the token."""
+    """``sid, gid, need`` from rows sorted by token and size."""
+
+    def made(out):
+        return pa.RecordBatch.from_pydict({"sid": pa.array(out[0], pa.int64()), "gid": pa.array(out[1], pa.int64()), "need": pa.array(out[2], pa.int8())})
 
     def run(batches):
-        token = None
-        filed: deque[tuple[int, int]] = deque()  # sizes and groups within reach
-        groups: dict[int, int] = {}
+        token, rows, out = None, [], ([], [], [])
         for batch in _shared_only(batches):
-            left, right, need = [], [], []
-            for t, g, s, n, f in zip(*(batch[c].to_pylist() for c in ("token", "gid", "own", "n", "filed")), strict=True):
+            for t, *row in zip(*(batch[c].to_pylist() for c in ("token", "gid", "own", "n", "i")), strict=True):
                 if t != token:
-                    token = t
-                    filed.clear()
-                    groups.clear()
-                while filed and 100 * filed[0][0] < percent * n:
-                    old = filed.popleft()[1]
-                    groups[old] -= 1
-                    if not groups[old]:
-                        del groups[old]
-                if len(groups) > (g in groups):
-                    right += [x for x in groups if x != g]
-                    need += [min(SHARED, ceil_share(n, percent))] * (len(right) - len(left))
-                    left += [g if s is None else s] * (len(right) - len(left))
-                if f:
-                    filed.append((n, g))
-                    groups[g] = groups.get(g, 0) + 1
-                if len(left) > 200_000:
-                    yield pa.RecordBatch.from_pydict({"sid": pa.array(left, pa.int64()), "gid": pa.array(right, pa.int64()), "need": pa.array(need, pa.int8())})
-                    left, right, need = [], [], []
-            if left:
-                yield pa.RecordBatch.from_pydict({"sid": pa.array(left, pa.int64()), "gid": pa.array(right, pa.int64()), "need": pa.array(need, pa.int8())})
+                    if len(rows) > 1:
+                        _meet(rows, percent, out)
+                    token, rows = t, []
+                    if len(out[0]) > 200_000:
+                        yield made(out)
+                        out = ([], [], [])
+                rows.append(row)
+        if len(rows) > 1:
+            _meet(rows, percent, out)
+        if out[0]:
+            yield made(out)
 
     return run
 
@@ -355,8 +375,13 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
         return stored(found.join(keys, "text_key").select("sid", "blob"), "sets")
 
     keyed = nodes.select("sid", F.posexplode("keys").alias("r", "key"))
-    centres = keyed.groupBy("r", "key").agg(F.min_by("sid", F.xxhash64("sid", "r")).alias("centre"), F.count("*").alias("m")).where("m > 1")
-    near = keyed.join(centres, ["r", "key"]).where("sid <> centre").select(F.greatest("sid", "centre").alias("a"), F.least("sid", "centre").alias("b")).distinct()
+    buckets = keyed.groupBy("r", "key").agg(F.count("*").alias("m")).where("m > 1")
+    alikes = stored(keyed.join(buckets, ["r", "key"]), "buckets")
+    # every other hash compares with the node that most others share keys with, the rest with any one
+    popular = alikes.groupBy("sid").agg(F.sum("m").alias("popular"))
+    order = F.struct(F.when(F.col("r") % 2 == 0, F.col("popular")).otherwise(0), F.xxhash64("sid", "r"))
+    centres = alikes.join(popular, "sid").groupBy("r", "key").agg(F.max_by("sid", order).alias("centre"))
+    near = alikes.join(centres, ["r", "key"]).where("sid <> centre").select(F.greatest("sid", "centre").alias("a"), F.least("sid", "centre").alias("b")).distinct()
     keys_of = lambda side: nodes.select(F.col("sid").alias(side), F.col("keys").alias("keys_" + side))
     alike = f"size(filter(zip_with(keys_a, keys_b, (x, y) -> x = y), x -> x)) >= {ALIKE}"
     pairs = stored(near.join(keys_of("a"), "a").join(keys_of("b"), "b").where(alike).select("a", "b"), "pairs")
@@ -367,7 +392,6 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     levels = spark.sparkContext.broadcast(_levels(all_rows.where("kind > 0")))
     rarest, out = _rarest(k, levels, percent)
     probes = source.select("text").mapInArrow(rarest, out).join(label, "sid", "left").select(F.posexplode("tokens").alias("i", "token"), F.coalesce("gid", "sid").alias("gid"), F.expr("case when gid <> sid then sid end").alias("own"), "n")
-    probes = probes.withColumn("filed", F.expr(f"i < n - ceil({2 * percent}L * n / {100 + percent}) + {SHARED}")).drop("i")
     dealt = probes.repartition(partitions(spark), "token").sortWithinPartitions("token", "n")
     meetings = dealt.mapInArrow(_meetings(percent), "sid long, gid long, need tinyint").groupBy("sid", "gid").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
     met = stored(meetings.where("shared >= need").select("sid", "gid"), "met")
