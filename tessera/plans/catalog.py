@@ -332,3 +332,19 @@ def _k8(spark, d):
 @built("k9_upsert_latest", "select reporter, id, t from (select *, row_number() over (partition by reporter order by t desc, id desc) as rn from fx_flag) f where rn = 1")
 def _k9(spark, d):
     return fixture(spark, d, "fx_flag").withColumn("rn", F.row_number().over(Window.partitionBy("reporter").orderBy(F.desc("t"), F.desc("id")))).where("rn = 1").select("reporter", "id", "t")
+
+
+@built("j13_landmasses_near_section", f"""with s as (select cast(floor(x / 400) as bigint) as sx, cast(floor(y / 400) as bigint) as sy from fx_naip group by 1, 2),
+a as (select sx * 1000 + sy as id, sx * 400 + 200.0 as x, sy * 400 + 200.0 as y from s)
+select a.id, count(distinct b.cls) as kinds, count(*) as n from a join fx_sentinel b on {_PAIR} <= 300 group by a.id""")
+def _j13(spark, d):
+    cells = fixture(spark, d, "fx_naip").select(F.floor(F.col("x") / 400).cast("long").alias("sx"), F.floor(F.col("y") / 400).cast("long").alias("sy")).distinct()
+    centres = cells.select((F.col("sx") * 1000 + F.col("sy")).alias("id"), (F.col("sx") * 400 + 200.0).alias("x"), (F.col("sy") * 400 + 200.0).alias("y"))
+    pairs = spatial.distance_join(centres, fixture(spark, d, "fx_sentinel"), 300.0)
+    return pairs.groupBy(F.col("l_id").alias("id")).agg(F.countDistinct("r_cls").alias("kinds"), F.count("*").alias("n"))
+
+
+@built("j22_densest_neighbourhood", f"select a.id, count(*) as n from fx_naip a join fx_naip b on {_PAIR} <= 100 group by a.id")
+def _j22(spark, d):
+    naip = fixture(spark, d, "fx_naip").select("id", "x", "y")
+    return spatial.distance_join(naip, naip, 100.0).groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("n"))

@@ -68,3 +68,12 @@ shared("n6_two_scopes", "select scope, count(*) as n, round(avg(area_m2), 6) as
 shared("u2_swept_merge", "select cx, cy, max(t) as t, count(distinct src) as sources from (select cast(floor(x / 40) as bigint) as cx, cast(floor(y / 40) as bigint) as cy, t, reporter % 2 as src from fx_flag) s group by cx, cy")
 shared("u6_contour_levels", "select distinct cast(level as double) as level, level % 10 = 0 as major from (select floor(ft / 5) * 5 as level from fx_grid where ft is not null union all select floor(ft / 10) * 10 from fx_grid where ft is not null) l")
 shared("t10s_stale_cells", "select cast(floor(x / 5) as bigint) as cx, cast(floor(y / 5) as bigint) as cy, max(t_ms) as newest from fx_fix where accuracy <= 12 group by 1, 2 having max(t_ms) < (select max(t_ms) - 86400 from fx_fix)")
+# The coefficients of NOAA's low-precision solar position.
+shared("p9_solar_elevation", """select id, round(90 - degrees(acos(greatest(-1.0, least(1.0, sin(lat) * sin(decl) + cos(lat) * cos(decl) * cos(radians((15 * 60 + eq + 4 * (-70.0)) / 4 - 180)))))), 6) as elevation
+  from (select id, radians(cast(45 as double)) as lat,
+    229.18 * (0.000075 + 0.001868 * cos(f) - 0.032077 * sin(f) - 0.014615 * cos(2 * f) - 0.040849 * sin(2 * f)) as eq,
+    0.006918 - 0.399912 * cos(f) + 0.070257 * sin(f) - 0.006758 * cos(2 * f) + 0.000907 * sin(2 * f) - 0.002697 * cos(3 * f) + 0.00148 * sin(3 * f) as decl
+    from (select o_orderkey as id, 2 * pi() / 365 * (dayofyear(o_orderdate) - 1 + cast(3 as double) / 24) as f from orders) a) b""")
+shared("w12_grid_risers", "select a.r, a.c, a.ft - e.ft as riser_e, a.ft - n.ft as riser_n from fx_grid a join fx_grid e on a.r = e.r and a.c + 1 = e.c join fx_grid n on a.r + 1 = n.r and a.c = n.c where e.ft > a.ft or n.ft > a.ft")
+shared("t14s_boat_readout", "select f.seq, g.ft, round(f.speed * 1.943844, 6) as knots, case when g.ft is null then 'unknown' when g.ft > 25 then 'deep' else 'shallow' end as state from fx_fix f left join fx_grid g on cast(floor(f.x / 25) as bigint) = g.r and f.seq % 50 = g.c")
+shared("t5s_replayed_coverage", "select trip, count(*) as cells, min(first_t) as first_t from (select trip, cast(floor(x / 5) as bigint) as cx, cast(floor(y / 5) as bigint) as cy, min(t_ms) as first_t from fx_fix where accuracy <= 12 group by 1, 2, 3) c group by trip")
