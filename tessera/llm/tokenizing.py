@@ -31,7 +31,7 @@ class Encoder:
     """
 
     #: Pieces remembered, and pieces met beyond them before all are forgotten.
-    LIMIT, FORGET = 1_500_000, 6_000_000
+    LIMIT, FORGET = 800_000, 6_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
