@@ -96,7 +96,7 @@ def most_urgent_hazard(spark, d):
 # --- projections and predicates
 
 shared("p1_ndwi", "select t, r, c, round(case when green + nir > 0 then (green - nir) / (green + nir) end, 9) as ndwi, round((green - nir) / (green + nir + 0.000001), 9) as ndwi_eps from fx_pixel")
-shared("p2_boa_offset", """select p.t, p.r, p.c, round(cast(greatest(p.green - coalesce(s.boa_offset, case when s.date >= date '1998-01-25' then 1000 else 0 end), 1) as double), 6) as green
+shared("p2_boa_offset", """select p.t, p.r, p.c, round(cast(greatest(p.green - coalesce(s.boa_offset, case when s.date >= date '1998-01-25' then 1000 else 0 end), 1) as double), 9) as green
   from fx_pixel p join fx_scene s on p.t = s.t""")
 shared("p10_utm_zone", "select id, cast(floor((x / 10 - 100 + 180) / 6) as int) + 1 as zone from fx_naip")
 shared("p12_local_projection", """select id, round(radians(x / 1000) * 6378137 * cos(radians(45.0)), 6) as px, round(radians(y / 1000) * 6378137, 6) as py,
