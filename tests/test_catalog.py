@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tessera.plans import catalog, shapes, stateful, statistics  # noqa: F401
+from tessera.plans import catalog, sampling, shapes, stateful, statistics  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
