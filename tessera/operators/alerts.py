@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spatial import cell, distance, segment_distance
+from .spatial import cell
 
 #: Severity of a class, weight of a tier, tiers and limits of the scan.
 CLASS_SEVERITY = {"shoal": 4.0, "drawdown": 3.0, "rock": 2.0, "exposed": 1.0, "island": 1.0}
@@ -38,16 +38,21 @@ def corridor_scan(fixes: DataFrame, hazards: DataFrame) -> DataFrame:
     With speed and heading: within the corridor's half width of the way ahead; else within a radius of the position. Hazards
     lie in one cell, fixes are repeated into the cells that their reach can touch, and the exact test follows the cell join.
     """
-    moving = F.col("heading").isNotNull() & (F.col("speed") >= SLOW)
-    span = F.ceil((F.when(moving, reach(F.col("speed"))).otherwise(RADIUS) + CORRIDOR) / CELL).cast("int")
-    f = fixes.withColumn("moving", F.coalesce(moving, F.lit(False))).withColumn("span", span)
-    f = f.withColumn("i", F.explode(F.sequence(-F.col("span"), F.col("span")))).withColumn("j", F.explode(F.sequence(-F.col("span"), F.col("span"))))
-    f = f.withColumn("cx", cell(F.col("x"), CELL) + F.col("i")).withColumn("cy", cell(F.col("y"), CELL) + F.col("j"))
+    moving = F.coalesce(F.col("heading").isNotNull() & (F.col("speed") >= SLOW), F.lit(False))
+    f = fixes.withColumn("moving", moving).withColumn("ahead_m", F.when(moving, reach(F.col("speed"))).otherwise(0.0))
+    f = f.withColumn("ux", F.when(moving, F.cos("heading")).otherwise(0.0)).withColumn("uy", F.when(moving, F.sin("heading")).otherwise(0.0))
+    # the cells that the box around the way ahead touches
+    side = F.when(F.col("moving"), CORRIDOR).otherwise(RADIUS)
+    low = lambda p, u: F.floor((F.col(p) + F.least(F.lit(0.0), F.col(u) * F.col("ahead_m")) - side) / CELL).cast("long")
+    high = lambda p, u: F.floor((F.col(p) + F.greatest(F.lit(0.0), F.col(u) * F.col("ahead_m")) + side) / CELL).cast("long")
+    f = f.withColumn("cx", F.explode(F.sequence(low("x", "ux"), high("x", "ux")))).withColumn("cy", F.explode(F.sequence(low("y", "uy"), high("y", "uy"))))
     h = hazards.select(F.col("id").alias("hazard_id"), F.col("x").alias("hx"), F.col("y").alias("hy"), severity(F.col("cls"), F.col("tier")).alias("severity"), (F.col("tier") == "confirmed").alias("confirmed"))
     h = h.withColumn("cx", cell(F.col("hx"), CELL)).withColumn("cy", cell(F.col("hy"), CELL))
-    ahead = segment_distance(F.col("hx"), F.col("hy"), F.col("x"), F.col("y"), F.col("x") + F.cos("heading") * reach(F.col("speed")), F.col("y") + F.sin("heading") * reach(F.col("speed")))
-    away = distance(F.col("x"), F.col("y"), F.col("hx"), F.col("hy"))
-    hit = f.join(h, ["cx", "cy"]).where(F.when(F.col("moving"), ahead <= CORRIDOR).otherwise(away <= RADIUS)).withColumn("range_m", away)
+    dx, dy = F.col("hx") - F.col("x"), F.col("hy") - F.col("y")
+    along = F.greatest(F.lit(0.0), F.least(F.col("ahead_m"), dx * F.col("ux") + dy * F.col("uy")))
+    met = f.join(h, ["cx", "cy"]).withColumn("along", along)
+    off = F.sqrt((dx - F.col("along") * F.col("ux")) ** 2 + (dy - F.col("along") * F.col("uy")) ** 2)
+    hit = met.where(off <= F.when(F.col("moving"), CORRIDOR).otherwise(RADIUS)).withColumn("range_m", F.sqrt(dx * dx + dy * dy))
     ttc = F.when(F.col("moving"), F.col("range_m") / F.col("speed")).otherwise(F.expr("double('Infinity')"))
     return hit.withColumn("ttc", ttc).select("seq", "hazard_id", "range_m", "ttc", "severity", "confirmed")
 
