@@ -26,6 +26,8 @@ from .tokenizing import encoder
 MAGIC = b"TOKIDS01"
 HEAD = len(MAGIC) + 1 + 32
 FILE_BYTES = 64 << 20
+#: Word pieces that a worker remembers while it writes.
+REMEMBER = 1_500_000
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int = 1000, chars: int = 4000, size: int = 64 << 10) -> bytes:
@@ -35,7 +37,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int =
     """
 
     def train(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, REMEMBER)
         end = np.array([end_id], enc.dtype).tobytes()
         bits = [x + end for b in batches for x in enc.encode_many(b["text"].to_pylist())]
         try:
@@ -115,7 +117,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, file_byt
     folder = scratch(spark, "token-files")
 
     def write(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, REMEMBER)
         end = np.array([end_id], enc.dtype).tobytes()
         zipper = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary))
         part, file, out, done = TaskContext.get().partitionId(), 0, None, []

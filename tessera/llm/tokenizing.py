@@ -30,10 +30,9 @@ class Encoder:
     with runs of spaces or white space beside them, is encoded in one go.
     """
 
-    #: Pieces remembered, and pieces met beyond them before all are forgotten.
-    LIMIT, FORGET = 800_000, 6_000_000
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int):
+        """``remember``: pieces kept, some 200 bytes each; after eight times as many beyond them all are forgotten."""
+        self.remember = remember
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -100,11 +99,11 @@ class Encoder:
                 parts[i].append(self.units.get(unit) or self._unit(unit))
             for p, x in zip(inner, parts, strict=True):
                 out[p] = b"".join(x)
-        if len(self.known) < self.LIMIT:
+        if len(self.known) < self.remember:
             self.known |= out
         else:
             self.beyond += len(out)
-        if self.beyond > self.FORGET:
+        if self.beyond > 8 * self.remember:
             self.known.clear()
             self.beyond = 0
         return out
@@ -141,8 +140,8 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remember: int = 800_000) -> Encoder:
     """The worker's own encoder of this tokenizer file; a worker serves many tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, remember)
     return _ENCODERS[path]

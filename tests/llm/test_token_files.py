@@ -11,7 +11,7 @@ from tessera.llm.token_files import TokenFile, read_token_files, write_token_fil
 from tessera.llm.tokenizing import Encoder
 
 BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
-ENCODERS = {p: Encoder(p) for p in (BYTE, WORD)}
+ENCODERS = {p: Encoder(p, 10_000) for p in (BYTE, WORD)}
 
 
 def plain(path, text):
