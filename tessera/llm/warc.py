@@ -21,6 +21,10 @@ from ._common import filesystem, partitions, scratch, stored, texts
 
 GZIP, PLAIN = b"\x1f\x8b\x08", b"WARC/1."
 VERSION = b"WARC/1.1\r\n"
+OPENING, OPENS = rb"WARC/1\.\d\r\n", 8
+#: A header ends with a blank line; none has a second version line, so a false one is given up at the next.
+HEADER_END = re.compile(rb"\r\n(?:\r\n|WARC/1\.\d\r\n)")
+#: HEADER_BYTES are read first of a plain record; a longer header is read on.
 FILE_BYTES, RANGE_BYTES, HEADER_BYTES = 64 << 20, 4 << 20, 1 << 16
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -149,15 +153,21 @@ class Archive:
                 return None
             data = b"".join(out)
             return (data, p - len(z.unused_data)) if _length(data) == len(data) else None
-        head = self.bytes_at(at, min(HEADER_BYTES, self.size - at))
+        n, seen = HEADER_BYTES, 0
+        while True:  # a header may be of any length
+            head = self.bytes_at(at, min(n, self.size - at))
+            if not re.match(OPENING, head) or HEADER_END.search(head, max(OPENS, seen)) or n >= self.size - at:
+                break
+            n, seen = 4 * n, len(head) - OPENS - 4
         n = _length(head)
         return (self.bytes_at(at, n), at + n) if n is not None and at + n <= self.size else None
 
 
 def _length(head: bytes) -> int | None:
     """A record's whole length by its header, the blank lines after it included."""
-    end = head.find(b"\r\n\r\n", 0, HEADER_BYTES)
-    m = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*(?=\r\n)", head[: end + 2], re.I) if end >= 0 and re.match(rb"WARC/1\.\d\r\n", head) else None
+    last = HEADER_END.search(head, OPENS) if re.match(OPENING, head) else None
+    end = last.start() if last and last[0] == b"\r\n\r\n" else -1
+    m = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*(?=\r\n)", head[: end + 2], re.I) if end >= 0 else None
     return None if m is None else end + 4 + int(m[1]) + 4
 
 

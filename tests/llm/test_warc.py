@@ -56,3 +56,12 @@ def test_repeated_rows_and_empty_table(spark):
     got = read_warc(write_warc(spark.createDataFrame([(1, "u", "a")] * 3, schema))).collect()
     assert sorted((r.record_type, r.refers_to) for r in got if r.record_type == "revisit") == [("revisit", 1)] * 2 and len(got) == 3
     assert read_warc(write_warc(spark.createDataFrame([], schema))).collect() == []
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_headers_of_any_length(spark, compress):
+    urls = {1: "http://a/" + "x" * 200_000, 2: "u", 3: "http://b/" + " " * 200_000, 4: "http://c/" + "é" * 1_500_000}
+    pages = spark.createDataFrame([(i, u, f"text {i}" if i < 4 else "text 1") for i, u in urls.items()] + [(5, "v", "WARC/1.1\r\n" * 30_000)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in read_warc(write_warc(pages, compress=compress), range_bytes=50_000).collect()}
+    assert {i: r.url for i, r in got.items()} == {i: u.replace(" ", "%20") for i, u in urls.items()} | {5: "v"}
+    assert (got[4].record_type, got[4].refers_to) == ("revisit", 1)
