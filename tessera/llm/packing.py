@@ -180,13 +180,13 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32[, ids]``: each document's ids and the end id, cut only where longer than ``capacity``.
 
-    Null and empty texts are the end id alone. Rows stay where they are; repeated rows and null ids are kept.
+    Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``. Null and empty texts are the end id alone. Rows stay where they are; repeated rows and null ids are kept.
     """
     fields = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * ids]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())][: len(fields)]
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, added=True)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             rows = []

@@ -34,7 +34,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, dictionary = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    files, dictionary = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added=True)
     return read_token_files(spark, files, dictionary, ids=False)
 
 

@@ -30,14 +30,14 @@ FILE_BYTES = 64 << 20
 REMEMBER = 1_500_000
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int = 1000, chars: int = 4000, size: int = 64 << 10) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int = 1000, chars: int = 4000, size: int = 64 << 10, added: bool = False) -> bytes:
     """A dictionary from the serialized ids of at most ``sample`` documents' first ``chars`` characters, those of the smallest hashes.
 
     Only compression depends on it. Too few samples: their ids as they are; none: no bytes.
     """
 
     def train(batches):
-        enc = encoder(tokenizer, REMEMBER)
+        enc = encoder(tokenizer, REMEMBER, added)
         end = np.array([end_id], enc.dtype).tobytes()
         bits = [x + end for b in batches for x in enc.encode_many(b["text"].to_pylist())]
         try:
@@ -104,20 +104,21 @@ class TokenFile:
         return np.frombuffer(self.unzip.decompress(self.file.read_at(b - a, a)), self.dtype)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, file_bytes: int = FILE_BYTES, level: int = 3) -> tuple[DataFrame, bytes]:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, file_bytes: int = FILE_BYTES, level: int = 3, added: bool = False) -> tuple[DataFrame, bytes]:
     """Writes ``docs(doc_id, text)``; returns the files (``part, file, uri, docs, tokens``, in order of part and file) and the dictionary.
 
     Documents are dealt by ranges of doc_id, null first; rows that share an id keep together by text and may lie in several
     parts, so that no id is too large for a task. A file name holds a fresh id: a repeated task writes new files, and only those of
     the attempt that Spark took are listed. Null texts are empty and have the end id alone. Empty table: no files.
+    ``added``: the strings of added tokens get those tokens' ids, as ``Tokenizer.encode`` gives them; else they are ordinary text.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dictionary = train_dictionary(source, tokenizer, end_id)
+    dictionary = train_dictionary(source, tokenizer, end_id, added=added)
     folder = scratch(spark, "token-files")
 
     def write(batches):
-        enc = encoder(tokenizer, REMEMBER)
+        enc = encoder(tokenizer, REMEMBER, added)
         end = np.array([end_id], enc.dtype).tobytes()
         zipper = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary))
         part, file, out, done = TaskContext.get().partitionId(), 0, None, []

@@ -21,21 +21,26 @@ LATIN, ENDS = "\u0250", frozenset(",.;:!?")
 
 
 class Encoder:
-    """Encodes texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)``, special tokens' strings as ordinary text.
+    """Encodes texts exactly as ``Tokenizer.encode(text, add_special_tokens=False)``: with ``added``, as the library does by itself, else with special
+    tokens' strings as ordinary text (``encode_special_tokens``).
 
     A text is cut at single spaces between printable characters. Neither of the two vocabularies' splitting patterns
     crosses such a place (a space only ever opens a token, or is dropped), so the ids of the pieces make up the ids of the
     text. New pieces pass the library's normalizer, splitter and model by themselves, which spares what a full encoding
     builds around them; Latin words, with a punctuation mark after them or without, go to the model at once. Any other text,
-    with runs of spaces or white space beside them, is encoded in one go.
+    with runs of spaces or white space beside them, is encoded in one go; so is one that holds an added token's string,
+    if these count.
     """
 
-    def __init__(self, path: str, remember: int):
+    def __init__(self, path: str, remember: int, added: bool = False):
         """``remember``: pieces kept, some 200 bytes each; after eight times as many beyond them all are forgotten."""
         self.remember = remember
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        tokens = list(self.tokenizer.get_added_tokens_decoder().values()) if added else []
+        # a token that is looked for in the normalized text may stand in any text
+        self.whole = [""] if any(t.normalized for t in tokens) and self.tokenizer.normalizer is not None else [t.content for t in tokens]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes | bool] = {}  # False: the piece can't stand alone
         self.beyond = 0
@@ -115,7 +120,7 @@ class Encoder:
             found, new = [], {}
             for text in texts[i : i + 32]:
                 pieces = (text or "").split(" ")
-                if "" in pieces:  # an empty text, or spaces side by side or at an end
+                if "" in pieces or any(x in text for x in self.whole):  # an empty text, spaces side by side or at an end, an added token
                     found.append((text, None, None))
                     continue
                 pieces[0] = "\0" + pieces[0]
@@ -137,11 +142,11 @@ class Encoder:
         return self.encode_many([text])[0]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, remember: int = 800_000) -> Encoder:
+def encoder(path: str, remember: int = 800_000, added: bool = False) -> Encoder:
     """The worker's own encoder of this tokenizer file; a worker serves many tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path, remember)
-    return _ENCODERS[path]
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = Encoder(path, remember, added)
+    return _ENCODERS[path, added]

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tessera.llm.queries import op5_token_id_output, op6_best_fit_packing
 from tessera.llm.token_files import TokenFile, read_token_files, write_token_files
 from tessera.llm.tokenizing import Encoder
 
@@ -25,6 +26,9 @@ for _p in (BYTE, WORD):
     LIBRARY[_p] = Tokenizer.from_file(_p)
     LIBRARY[_p].encode_special_tokens = True
 
+UNTOUCHED = {p: Tokenizer.from_file(p) for p in (BYTE, WORD)}
+ADDED = {p: Encoder(p, 10_000, added=True) for p in (BYTE, WORD)}
+
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 @settings(max_examples=300, deadline=None)
@@ -58,3 +62,19 @@ def test_round_trip(spark):
 def test_empty_table(spark):
     files, dictionary = write_token_files(spark.createDataFrame([], "doc_id long, text string"), BYTE)
     assert read_token_files(spark, files, dictionary).collect() == []
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@settings(max_examples=100, deadline=None)
+@given(text=st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "a", "word", " ", "  ", "\n", "é", "<|", "endoftext|>"]), max_size=12).map("".join))
+def test_added_tokens_as_the_untouched_library_gives_them(path, text):
+    e = ADDED[path]
+    assert np.frombuffer(e.encode(text), e.dtype).tolist() == UNTOUCHED[path].encode(text, add_special_tokens=False).ids
+
+
+def test_queries_give_added_tokens_their_ids(spark, tmp_path):
+    rows = [(1, "a <|endoftext|> b"), (2, "one <|startoftext|> two"), (3, "plain text")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for query, path, end in ((op5_token_id_output, BYTE, 2), (op6_best_fit_packing, WORD, 1)):
+        got = {r.doc_id: r.ids_crc32 for r in query(spark, str(tmp_path)).collect()}
+        assert got == {d: zlib.crc32(np.array([*UNTOUCHED[path].encode(t, add_special_tokens=False).ids, end], "<u4").tobytes()) for d, t in rows}
