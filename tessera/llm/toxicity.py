@@ -9,7 +9,7 @@ fitted on labelled texts that the models have not seen, turns both into a score.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,46 +35,115 @@ def grams_of(word: bytes, order: int) -> list[str]:
     return [w[max(0, i - order + 1) : i + 1] for i in range(1, len(w))]
 
 
+def _codes(joined: str, ends: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
+    """For each end in the joined text its last characters, the last one first, mixed to 64 bits; 0 beyond its size."""
+    c = (np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    c = (c ^ (c >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.stack([np.where(sizes > r, c[np.maximum(ends - 1 - r, 0)], np.uint64(0)) for r in range(order)], 1)
+
+
+class _Table:
+    """Sums of number columns by 64-bit key, in sorted arrays."""
+
+    def __init__(self, keys: np.ndarray, *columns: np.ndarray):
+        self.keys, inverse = np.unique(keys, return_inverse=True)
+        self.columns = [np.bincount(inverse, c, len(self.keys)) for c in columns]
+
+    def find(self, keys: np.ndarray) -> list[np.ndarray]:
+        if not len(self.keys):
+            return [np.zeros(len(keys)) for _ in self.columns]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return [np.where(self.keys[at] == keys, c[at], 0.0) for c in self.columns]
+
+
 class KneserNey:
-    """Interpolated Kneser-Ney: ``grams`` are (gram, ordinary count, toxic count) of the highest order, or shorter at a word's start."""
+    """Interpolated Kneser-Ney: ``grams`` are (gram, ordinary count, toxic count) of the highest order, or shorter at a word's start.
+
+    Grams are 64-bit hashes in sorted arrays, some 100 bytes for a gram with all its contexts, so none has to be dropped.
+    """
 
     def __init__(self, grams: list[tuple[str, int, int]], order: int):
-        self.order = order
-        self.top = [{g: c[k] for g, *c in grams if c[k]} for k in (0, 1)]
-        self.total, self.types = [Counter(), Counter()], [Counter(), Counter()]
-        for k in (0, 1):
-            for g, n in self.top[k].items():
-                self.total[k][g[:-1]] += n
-                self.types[k][g[:-1]] += 1
-        by_length: defaultdict[int, set[str]] = defaultdict(set)
-        for g, *_ in grams:
-            by_length[len(g)].add(g)
-        self.follow: Counter = Counter()
+        self._build([g for g, *_ in grams], np.array([c for _, *c in grams], np.float64).reshape(-1, 2).T, order)
+
+    @classmethod
+    def of(cls, names: list[str], counts: np.ndarray, order: int) -> KneserNey:
+        """From distinct grams and their counts, a row for each class."""
+        out = cls.__new__(cls)
+        out._build(names, counts, order)
+        return out
+
+    def _build(self, names: list[str], counts: np.ndarray, order: int):
+        self.order, self.weights = order, np.random.default_rng(5).integers(1 << 63, 1 << 64, order, np.uint64) | np.uint64(1)
+        sizes = np.fromiter(map(len, names), np.int64, len(names))
+        codes = _codes("".join(names), np.cumsum(sizes), sizes, order)
+        whole, context = self._hashes(codes)
+        self.top = _Table(whole[:, -1], *counts)
+        self.contexts = _Table(context[:, -1], *counts, *(counts > 0).astype(float))
+        # from the longest down: what stands before each shorter gram, counted once a distinct extension
+        follow, follow_context, follow_n = [], [], []
+        level = codes[:0]
         for n in range(order, 1, -1):
-            for g in by_length[n]:
-                self.follow[g[1:]] += 1
-                by_length[n - 1].add(g[1:])
-        self.follow_total, self.follow_types = Counter(), Counter()
-        for g, n in self.follow.items():
-            self.follow_total[g[:-1]] += n
-            self.follow_types[g[:-1]] += 1
+            level = np.r_[level, codes[sizes == n]]
+            level = level[np.unique(self._hashes(level)[0][:, n - 1], return_index=True)[1]]
+            level[:, n - 1] = 0
+            whole, context = self._hashes(level)
+            _, first, many = np.unique(whole[:, n - 2], return_index=True, return_counts=True)
+            level = level[first]
+            follow.append(whole[first, n - 2])
+            follow_context.append(context[first, n - 2])
+            follow_n.append(many)
+        n = np.concatenate(follow_n).astype(float)
+        self.follow = _Table(np.concatenate(follow), n)
+        self.follow_contexts = _Table(np.concatenate(follow_context), n, np.ones(len(n)))
+
+    def _hashes(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the last 1, 2, ... characters: the hash, and that of all but the last of them."""
+        context = np.zeros_like(codes)
+        np.cumsum(codes[:, 1:] * self.weights[:-1], 1, out=context[:, 1:])
+        return np.cumsum(codes * self.weights, 1), context
+
+    def _shared(self, whole: np.ndarray, context: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        p = np.full(len(sizes), 1 / SYMBOLS)
+        for i in range(self.order):
+            total, types = self.follow_contexts.find(context[:, i])
+            (n,) = self.follow.find(whole[:, i])
+            p = np.where((sizes > i) & (total > 0), (np.maximum(n - DISCOUNT, 0) + DISCOUNT * types * p) / np.maximum(total, 1), p)
+        return p
+
+    def _ratios(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        whole, context = self._hashes(codes)
+        low = self._shared(whole, context, sizes - 1)
+        found = self.contexts.find(context[:, -1])
+        out = [np.where(n > 0, (np.maximum(top - DISCOUNT, 0) + DISCOUNT * types * low) / np.maximum(n, 1), low) for top, n, types in zip(self.top.find(whole[:, -1]), found[:2], found[2:], strict=True)]
+        return np.log(out[1] / out[0])
 
     def shared(self, gram: str) -> float:
         """The probability of the last character after those before, from both classes' continuation counts."""
-        p = 1 / SYMBOLS
-        for i in range(len(gram) - 1, -1, -1):
-            s = gram[i:]
-            if total := self.follow_total.get(s[:-1]):
-                p = (max(self.follow.get(s, 0) - DISCOUNT, 0) + DISCOUNT * self.follow_types[s[:-1]] * p) / total
-        return p
+        size = np.array([len(gram)])
+        return float(self._shared(*self._hashes(_codes(gram, size, size, self.order)), size)[0])
 
     def ratio(self, gram: str) -> float:
         """log P(toxic) - log P(ordinary) of the last character after those before."""
-        low, context, out = self.shared(gram[1:]), gram[:-1], []
-        for k in (0, 1):
-            n = self.total[k].get(context)
-            out.append((max(self.top[k].get(gram, 0) - DISCOUNT, 0) + DISCOUNT * self.types[k][context] * low) / n if n else low)
-        return math.log(out[1] / out[0])
+        size = np.array([len(gram)])
+        return float(self._ratios(_codes(gram, size, size, self.order), size)[0])
+
+    def word_ratios(self, words: list[bytes], step: int = 1 << 16) -> np.ndarray:
+        """The sum over each word's grams, at most ``step`` grams at a time."""
+        marked = ["^" + w.decode(errors="replace") + "$" for w in words]
+        sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+        joined = "".join(marked)
+        word = np.repeat(np.arange(len(words)), sizes - 1)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(sizes - 1) - (sizes - 1), sizes - 1) + 2  # characters up to the gram's end
+        start = np.cumsum(sizes) - sizes
+        out = np.zeros(len(words))
+        for i in range(0, len(word), step):
+            w, n = word[i : i + step], place[i : i + step]
+            low = int(start[w[0]] + max(0, n[0] - self.order))
+            ends, many = start[w] + n - low, np.minimum(n, self.order)
+            codes = _codes(joined[low : int(ends[-1]) + low], ends, many, self.order)
+            _, first, same = np.unique(self._hashes(codes)[0][:, -1], return_index=True, return_inverse=True)
+            out += np.bincount(w, self._ratios(codes[first], many[first])[same], len(words))
+        return out
 
 
 class _Ratios(dict):
@@ -82,30 +151,42 @@ class _Ratios(dict):
 
     def __init__(self, model: KneserNey):
         super().__init__()
-        self.model, self.known = model, {}
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) > 250_000:
-            self.clear()
-        if len(self.known) > 150_000:
-            self.known.clear()
-        total, known = 0.0, self.known
-        for g in grams_of(word, self.model.order):
-            x = known.get(g)
-            if x is None:
-                x = known[g] = self.model.ratio(g)
-            total += x
-        self[word] = total
-        return total
-
-
-def features(text: bytes, ratios: _Ratios) -> tuple[float, float]:
-    """The ratio a character of the whole text, and the largest ratio of a word; (0, 0) without words."""
-    words = words_of(text)
-    if not words:
-        return 0.0, 0.0
-    r = np.fromiter(map(ratios.__getitem__, words), np.float64, len(words))
-    return float(r.sum() / (sum(map(len, words)) + len(words))), float(r.max())
+        self.model = model
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Of each word, in stretches."""
+        out = np.empty(len(words))
+        for i in range(0, len(words), 1 << 16):
+            part = words[i : i + (1 << 16)]
+            if len(self) > 250_000:
+                self.clear()
+            new = list({w for w in part if w not in self})
+            if new:
+                self.update(zip(new, self.model.word_ratios(new).tolist(), strict=True))
+            out[i : i + len(part)] = np.fromiter(map(self.__getitem__, part), np.float64, len(part))
+        return out
+
+
+def features(rows: Iterable[bytes], ratios: _Ratios) -> np.ndarray:
+    """For each text the ratio a character of the whole, and the largest ratio of a word; (0, 0) without words."""
+    out: list[tuple[float, float]] = []
+
+    def add(group: list[list[bytes]]):
+        r, at = ratios.of([w for words in group for w in words]), 0
+        for words in group:
+            part = r[at : at + len(words)]
+            at += len(words)
+            out.append((float(part.sum() / (sum(map(len, words)) + len(words))), float(part.max())) if words else (0.0, 0.0))
+
+    group, n = [], 0
+    for t in rows:
+        group.append(words_of(t))
+        n += len(group[-1])
+        if n >= 1 << 14:
+            add(group)
+            group, n = [], 0
+    add(group)
+    return np.array(out).reshape(-1, 2)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -130,7 +211,7 @@ class ToxicityModel:
         self.pair, self.curve = pair, curve
 
     def scores(self, rows: Iterable[bytes], ratios: _Ratios | None) -> np.ndarray:
-        x = np.array([(0.0, 0.0) if ratios is None else features(t, ratios) for t in rows]).reshape(-1, 2)
+        x = np.zeros((sum(1 for _ in rows), 2)) if ratios is None else features(rows, ratios)
         return 1 / (1 + np.exp(-np.clip(x @ self.curve[:2] + self.curve[2], -700, 700)))
 
     def column(self, text: Column, spark) -> Column:
@@ -145,13 +226,13 @@ class ToxicityModel:
         return score(text)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, order: int = 5, most_grams: int = 200_000) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 10_000, order: int = 5) -> ToxicityModel:
     """Learns from ``labels(doc_id, toxic)`` joined to ``docs(doc_id, text)``.
 
     At most ``per_class`` labelled ids of each class are taken, those of the smallest hashes, so the sample may be broadcast and
     no text moves to meet its label; ids labelled both ways are toxic, null ids and labels are left out. A fifth of
-    the sample is kept from the counts for the curve, which weighs classes as all labels have them. The commonest
-    ``most_grams`` grams are the model. Without texts of both classes every score is the share of toxic labels.
+    the sample is kept from the counts for the curve, which weighs classes as all labels have them. All grams of
+    the sample are the model. Without texts of both classes every score is the share of toxic labels.
     """
     spark = docs.sparkSession
     marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
@@ -174,18 +255,19 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 10_000,
             yield pa.RecordBatch.from_pydict({"gram": pa.array(names, pa.string()), "a": pa.array([out[0][g] for g in names], pa.int64()), "b": pa.array([out[1][g] for g in names], pa.int64())})
 
     counted = sample.where("not curve").select("text", "toxic").mapInArrow(grams, "gram string, a long, b long").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    rows = [(r["gram"], r["a"], r["b"]) for r in counted.orderBy(F.desc(F.col("a") + F.col("b")), "gram").limit(most_grams).collect()]
+    found = counted.toArrow()
+    counts = np.stack([found[c].to_numpy().astype(np.float64) for c in ("a", "b")])
     share = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
     flat = np.array([0.0, 0.0, math.log(share / (1 - share))])
-    if not any(a for _, a, _ in rows) or not any(b for *_, b in rows):
+    if not all(counts.sum(1)):
         return ToxicityModel(None, flat)
-    pair = KneserNey(rows, order)
+    pair = KneserNey.of(found["gram"].to_pylist(), counts, order)
     held = spark.sparkContext.broadcast(pair)
 
     def curve_rows(batches):
         ratios = _Ratios(held.value)
         for batch in batches:
-            x = [features(t, ratios) for t in texts(batch["text"])]
+            x = features(texts(batch["text"]), ratios).tolist()
             yield pa.RecordBatch.from_pydict({"x": pa.array([a for a, _ in x], pa.float64()), "y": pa.array([b for _, b in x], pa.float64()), "toxic": batch["toxic"].cast(pa.int32())})
 
     seen = np.array([(r["x"], r["y"], r["toxic"]) for r in sample.where("curve").select("text", "toxic").mapInArrow(curve_rows, "x double, y double, toxic int").collect()]).reshape(-1, 3)

@@ -67,3 +67,13 @@ def test_logistic():
     x = np.array([[0.0, 1], [1, 0], [2, 1], [3, 0]])
     b = fit_logistic(x, np.array([0, 0, 1, 1.0]), np.ones(4))
     assert (x @ b[:2] + b[2] > 0).tolist() == [False, False, True, True]
+
+
+def test_no_gram_of_the_sample_is_dropped(spark):
+    rnd = random.Random(3)
+    ordinary, toxic = "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(210_000)), "毒性表現例"
+    rows = [(i, ordinary if i < 14 else toxic) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = train_toxicity(docs, spark.createDataFrame([(i, int(i >= 14)) for i, _ in rows], "doc_id long, toxic int"))
+    assert model.pair.ratio(toxic) > 0 > model.pair.ratio(ordinary[-5:])
+    assert {r.doc_id: r.predicted for r in score_toxicity(docs, model).collect()} == {i: int(i >= 14) for i, _ in rows}
