@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import texts
+from ._common import stored, texts
 
 WORDS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 K1, B = 1.2, 0.75
@@ -55,36 +56,53 @@ class Hit:
     answer: float
 
 
+@dataclass
+class ItemStatistics:
+    """Of the whole table of items that aren't blank: how many hold a word, how many there are, their words, the longest's words."""
+
+    held: dict[bytes, int]
+    items: int
+    words: int
+    longest: int
+
+
 @dataclass
 class ItemIndex:
-    """The index of a slice of items; ``search(words)`` gives the best verified passage of each item."""
+    """The index of a slice of items; ``search(words)`` gives the best verified passage of each item.
+
+    ``whole`` are the statistics of the table that the slice is of (of the slice's words, at least); without them the slice is the table.
+    """
 
     items: list[tuple[int | None, bytes]]
     threshold: float = 0.6
     overlap: float = 0.5
     common: float = 0.25
     terms: dict[bytes, int] = field(default_factory=dict)
+    whole: ItemStatistics | None = None
 
     def __post_init__(self):
         # blank items match nothing
         split = [(i, t, w) for i, t in self.items if (w := words_of(t))]
         self.names = [i for i, _, _ in split]
         self.parts = [tuple(map(runs, question_and_answer(t))) for _, t, _ in split]
-        held = Counter(x for *_, w in split for x in set(w))
-        for x in sorted(held):
+        own = Counter(x for *_, w in split for x in set(w))
+        for x in sorted(own):
             self.terms[x] = len(self.terms)
-        n, mean = len(split), sum(len(w) for *_, w in split) / max(1, len(split))
+        whole = self.whole or ItemStatistics(own, len(split), sum(len(w) for *_, w in split), max((len(w) for *_, w in split), default=1))
+        self.whole = None  # not to be broadcast
+        held, all_items, mean = whole.held, whole.items, whole.words / max(1, whole.items)
+        n = len(split)
         self.impacts: list[dict[int, float]] = []
         self.needed = np.full(-(-n // BLOCK), np.inf)
         best: dict[tuple[int, int], float] = {}
         for i, (*_, w) in enumerate(split):
             tf = Counter(w)
-            weight = {x: math.log(1 + (n - held[x] + 0.5) / (held[x] + 0.5)) * m * (K1 + 1) / (m + K1 * (1 - B + B * len(w) / mean)) for x, m in tf.items()}
-            whole = sum(weight.values())
-            self.impacts.append({self.terms[x]: v / whole for x, v in weight.items()})
+            weight = {x: math.log(1 + (all_items - held[x] + 0.5) / (held[x] + 0.5)) * m * (K1 + 1) / (m + K1 * (1 - B + B * len(w) / mean)) for x, m in tf.items()}
+            most = sum(weight.values())
+            self.impacts.append({self.terms[x]: v / most for x, v in weight.items()})
             mass = 0.0
             for x in sorted(weight, key=lambda x: (-held[x], x)):
-                share = weight[x] / whole
+                share = weight[x] / most
                 if mass + share <= self.common:  # opens nothing by itself
                     mass += share
                     continue
@@ -95,7 +113,7 @@ class ItemIndex:
         self.block = np.array([b for _, b in order], np.int64)
         self.largest = np.array([best[k] for k in order])
         self.first = np.searchsorted(np.array([t for t, _ in order], np.int64), np.arange(len(self.terms) + 1))
-        self.step = max((len(w) for *_, w in split), default=1)  # passages of two steps, one step apart, hold any item whole
+        self.step = whole.longest  # passages of two steps, one step apart, hold any item whole
 
     def search(self, words: list[bytes]) -> list[Hit]:
         best: dict[int, Hit] = {}
@@ -138,12 +156,44 @@ class ItemIndex:
                     yield i, Hit(self.names[i], low + start, score, q, a)
 
 
-def indexes(items: DataFrame, slice_items: int = 20_000, **options) -> list[ItemIndex]:
-    """Indexes of ``items(item_id, text)`` in slices of about ``slice_items``, each small enough to be broadcast; null texts match nothing."""
+def _words(parts: DataFrame) -> DataFrame:
+    """``part, word, items, words, longest`` of ``parts(part, text)``: the items that hold each word; for the null word, of all items, and their words."""
+
+    def count(batches):
+        for batch in batches:
+            found: dict[tuple[int, bytes | None], list[int]] = {}
+            for part, t in zip(batch["part"].to_pylist(), texts(batch["text"]), strict=True):
+                if w := words_of(t):
+                    for x in (None, *set(w)):
+                        row = found.setdefault((part, x), [0, 0, 0])
+                        row[:] = row[0] + 1, row[1] + len(w), max(row[2], len(w))
+            keys, rows = list(found), list(found.values())
+            columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "word", "items", "words", "longest"])
+
+    counted = parts.select("part", "text").mapInArrow(count, "part long, word binary, items long, words long, longest long")
+    return counted.groupBy("part", "word").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+
+
+def indexes(items: DataFrame, slice_items: int = 20_000, **options) -> Iterator[ItemIndex]:
+    """Indexes of ``items(item_id, text)`` in slices of about ``slice_items``, each small enough to be broadcast; null texts match nothing.
+
+    Statistics and the passages' width are of the whole table, so a score doesn't depend on the slices.
+    """
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     n = -(-rows.count() // slice_items)
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n)))
-    return [ItemIndex([(r["item_id"], r["text"].encode()) for r in rows.where(part == k).orderBy("item_id", "text").collect()], **options) for k in range(n)]
+    if n > 1:  # dealt once, repeated items too
+        rows = stored(rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text", F.monotonically_increasing_id()), F.lit(n))), "items")
+        by_part = stored(_words(rows), "item-words")
+        by_word = stored(by_part.groupBy("word").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest")), "item-words")
+        top = by_word.where("word is null").first()
+    for k in range(n):
+        own, whole = rows, None
+        if n > 1:
+            own = rows.where(F.col("part") == k)
+            held = by_word.join(by_part.where((F.col("part") == k) & F.col("word").isNotNull()).select("word"), "word").select("word", "items").collect()
+            whole = None if top is None else ItemStatistics({bytes(r["word"]): r["items"] for r in held}, top["items"], top["words"], top["longest"])
+        yield ItemIndex([(r["item_id"], r["text"].encode()) for r in own.orderBy("item_id", "text").collect()], whole=whole, **options)
 
 
 def contaminated_passages(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -151,12 +201,15 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, **options) -> DataF
 
     ``passage_start`` counts words. Rows of ``docs(doc_id, text)`` without a leak don't appear, so null and empty texts
     and an empty table give no rows, nor do null and blank items. Repeated documents and repeated items appear each, null ids are kept, other
-    columns are ignored. The table of test items is read in slices, a pass over the texts for each; no text moves.
+    columns are ignored. The table of test items is read in slices, a pass over the texts for each, which ends before the next but one is built; no text moves.
     """
     fields = ["doc_id", "item_id", "passage_start", "score", "question_overlap", "answer_overlap"]
     schema = "doc_id long, item_id long, passage_start long, score double, question_overlap double, answer_overlap double"
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in indexes(items, **options):
+    done: list[DataFrame] = []
+    built = indexes(items, **options)
+    index = next(built, None)
+    while index is not None:
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, held=held):
@@ -165,7 +218,13 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, **options) -> DataF
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 3 else pa.float64()) for i, c in enumerate(zip(*rows, strict=True))], names=fields)
 
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema))
+        found, index = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), next(built, None)
+        if index is None and not done:  # all in one slice
+            return found
+        done.append(stored(found, "passages"))
+        held.destroy()
+    for found in done:
+        out = out.unionByName(found)
     return out
 
 

@@ -63,3 +63,14 @@ def test_empty_tables(spark):
 def test_question_and_answer():
     assert question_and_answer(b"What is the capital of the land by the sea? The town.") == (b"what is the capital of the land by".split(), b"the sea the town".split())
     assert question_and_answer(b"one") == ([b"one"], [b"one"])
+
+
+def test_slices_change_nothing(spark):
+    items, rows = case()
+    items.append((500, " ".join(f"long{i}" for i in range(200)), "x"))  # one slice's passages must not be wider than another's
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string, score double"), spark.createDataFrame(items, "item_id long, text string, score string")
+    key = lambda x: sorted(map(str, x.collect()))
+    whole = key(contaminated_passages(docs, tests))
+    assert key(contaminated_passages(docs, tests, slice_items=9)) == whole and len(whole) > 30
+    flagged = key(docs.where(is_contaminated(docs.text, tests)))
+    assert key(docs.where(is_contaminated(docs.text, tests, slice_items=20))) == flagged
