@@ -20,15 +20,44 @@ from pyspark.sql import functions as F
 from ._common import crc_bucket, stored, texts
 
 MARK = "▁"  # opens a word
+MULTIPLIER, SLOTS = np.uint64(0x9E3779B97F4A7C15), 22
+#: Characters of short words that are handled at once, and of a long word; words from ``LONG`` characters on are walked one by one; no character.
+STRETCH, LONG, PAD = 1 << 16, 256, 0xFFFFFFFF
+
+
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    x = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
 
 
 class Lattice:
-    """Pieces by text, each with an id; ``logs[id]`` is its natural log probability, ``logs[-1]`` that of no piece."""
+    """Pieces by text, each with an id; ``logs[id]`` is its natural log probability.
+
+    Pieces are found by rolling hashes of all substrings up to the longest piece, looked up in one sorted array and then
+    compared letter by letter, so that Python sees no substring.
+    """
 
     def __init__(self, ids: dict[str, int], byte_ids: list[int], logs: np.ndarray):
         self.ids, self.byte_ids = ids, byte_ids
         self.longest = max(map(len, ids), default=1)
         self.logs = np.append(logs, -np.inf)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        letters = np.zeros((len(ids), self.longest), np.uint32)
+        row = np.repeat(np.arange(len(ids)), sizes)
+        letters[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = _codes("".join(ids))
+        h = np.zeros(len(ids), np.uint64)
+        for i in range(self.longest):
+            h = np.where(sizes > i, h * MULTIPLIER + _mixed(letters[:, i]), h)
+        order = np.argsort(h)
+        self.keys, self.letters, self.sizes = h[order], letters[order], sizes[order]
+        self.names = np.fromiter(ids.values(), np.int64, len(ids))[order]
+        self.maybe = np.zeros(1 << SLOTS, bool)
+        self.maybe[(h >> np.uint64(64 - SLOTS)).astype(np.int64)] = True
+        self.spelt: dict[int, float] = {}
 
     @classmethod
     def from_vocabulary(cls, path: str) -> Lattice:
@@ -46,68 +75,161 @@ class Lattice:
         with np.errstate(divide="ignore"):
             return cls(ids, byte_ids, np.log(weights / weights.sum()))
 
-    def _edges(self, words: list[str]):
-        """For words of one length: every (end, length) with the piece ids there (-1: none), and each place's byte weight."""
-        n, size = len(words), len(words[0])
-        for j in range(1, size + 1):
-            for k in range(1, min(self.longest, j) + 1):
-                found = np.fromiter((self.ids.get(w[j - k : j], -1) for w in words), np.int64, n)
-                if k == 1 or (found >= 0).any():
-                    yield j, k, found
-
-    def _bytes(self, words: list[str], j: int) -> np.ndarray:
-        return np.fromiter((sum(self.logs[self.byte_ids[b]] for b in w[j - 1].encode()) for w in words), np.float64, len(words))
+    def _pieces(self, codes: np.ndarray, step: int = 1):
+        """Lengths, ends and ids of all pieces in ``codes``, a word's letters ``step`` apart, by length."""
+        v, h = _mixed(codes), np.zeros(len(codes), np.uint64)
+        for k in range(1, min(self.longest, len(codes) // step) + 1):
+            h[step:] = h[:-step] * MULTIPLIER
+            h[:step] = 0
+            h += v
+            low = (k - 1) * step
+            at = np.flatnonzero(self.maybe[(h[low:] >> np.uint64(64 - SLOTS)).view(np.int64)]) + low
+            found = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+            good = (self.keys[found] == h[at]) & (self.sizes[found] == k)
+            at, found = at[good], found[good]
+            good = (codes[at[:, None] + step * np.arange(1 - k, 1)] == self.letters[found, :k]).all(1)
+            yield k, at[good], self.names[found[good]]
+
+    def _spelt(self, letter: int) -> float:
+        """The log weight of a character spelt in bytes."""
+        if letter not in self.spelt:
+            self.spelt[letter] = float(sum(self.logs[self.byte_ids[b]] for b in chr(letter).encode()))
+        return self.spelt[letter]
+
+    def _count(self, total: np.ndarray, letters: np.ndarray, share: np.ndarray) -> None:
+        """Adds what is expected of letters spelt in bytes."""
+        for c, x in zip(letters.tolist(), share.tolist(), strict=True):
+            if c != PAD and x:
+                for b in chr(c).encode():
+                    total[self.byte_ids[b]] += x
 
     def _batches(self, words: list[str]):
-        """Indices of marked words of one length, in batches of bounded size."""
-        by: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by.setdefault(len(w), []).append(i)
-        for size, at in by.items():
-            step = max(1, 400_000 // (size * min(size, self.longest)))
-            for i in range(0, len(at), step):
-                yield at[i : i + step]
-
-    def _forward(self, words: list[str]):
-        alpha = np.full((len(words[0]) + 1, len(words)), -np.inf)
+        """Indices of short marked words in ascending length and batches of bounded size, and of long ones alone."""
+        batch: list[int] = []
+        for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+            if batch and (len(words[i]) >= LONG or len(words[i]) * (len(batch) + 1) > STRETCH):
+                yield batch
+                batch = []
+            batch.append(i)
+        if batch:
+            yield batch
+
+    def _short(self, words: list[str], counts: np.ndarray | None, total: np.ndarray | None) -> np.ndarray:
+        """Log probabilities of short words in ascending length; with counts, adds the expected uses of pieces to ``total``.
+
+        Letters, and the nodes between them, are rows of a matrix with a column for each word, padded at the end.
+        """
+        n, sizes = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        rows = int(sizes[-1])
+        word = np.repeat(np.arange(n), sizes)
+        grid = np.full((rows, n), PAD, np.uint32)
+        grid[np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes), word] = _codes("".join(words))
+        codes = grid.ravel()
+        letters, same = np.unique(codes, return_inverse=True)
+        spelt = np.array([0.0 if c == PAD else self._spelt(c) for c in letters.tolist()])[same].reshape(rows, n)
+        first = np.searchsorted(sizes, np.arange(rows), side="right").tolist()  # the first word that has a letter there
+        pieces = [(k, at, self.logs[ids], ids, np.searchsorted(at, np.arange(rows + 1) * n).tolist()) for k, at, ids in self._pieces(codes, n)]
+        alpha = np.full((rows + 1, n), -np.inf)
         alpha[0] = 0
-        edges = []
-        for j, k, found in self._edges(words):
-            weight = self.logs[found]
-            spelt = None
-            if k == 1:
-                spelt = self._bytes(words, j)
-                alpha[j] = np.logaddexp(alpha[j], alpha[j - 1] + spelt)
-            alpha[j] = np.logaddexp(alpha[j], alpha[j - k] + weight)
-            edges.append((j, k, found, weight, spelt))
-        return alpha, edges
+        for j in range(rows):
+            row, w = alpha[j + 1], first[j]
+            row[w:] = alpha[j, w:] + spelt[j, w:]
+            for k, at, weight, _, cut in pieces[: j + 1]:
+                low, high = cut[j], cut[j + 1]
+                if low < high:
+                    t = at[low:high] - j * n
+                    row[t] = np.logaddexp(row[t], alpha[j + 1 - k, t] + weight[low:high])
+        out = alpha[sizes, np.arange(n)]
+        if counts is None:
+            return out
+        beta = np.full((rows + 1, n), -np.inf)
+        beta[sizes, np.arange(n)] = 0
+        for j in range(rows - 1, -1, -1):
+            row, w = beta[j], first[j]
+            row[w:] = beta[j + 1, w:] + spelt[j, w:]
+            for k, at, weight, _, cut in pieces[: rows - j]:
+                low, high = cut[j + k - 1], cut[j + k]
+                if low < high:
+                    t = at[low:high] - (j + k - 1) * n
+                    row[t] = np.logaddexp(row[t], beta[j + k, t] + weight[low:high])
+        before, after = alpha.ravel(), beta.ravel()
+        for k, at, weight, ids, _ in pieces:
+            w = at % n
+            total += np.bincount(ids, np.exp(before[at + (1 - k) * n] + weight + after[at + n] - out[w]) * counts[w], len(total))
+        share = np.exp(alpha[:-1] + spelt + beta[1:] - out) * counts
+        self._count(total, letters, np.bincount(same, share.ravel(), len(letters)))
+        return out
 
-    def log_probabilities(self, words: list[str]) -> np.ndarray:
-        """Natural log of each word's probability over all segmentations."""
+    def _long(self, word: str, count: float, total: np.ndarray | None) -> float:
+        """As ``_short`` for one word of any length, a stretch at a time; kept are the values at the stretches' edges."""
+        reach, size = self.longest, len(word)
+        carried = [np.r_[np.full(reach, -np.inf), 0.0]]  # the forward values of the last nodes before each stretch
+        edges = lambda at: self._stretch_edges(word, at, min(size, at + STRETCH))
+        for at in range(0, size, STRETCH):
+            carried.append(self._walk(carried[-1], *edges(at)[:3])[-reach - 1 :])
+        whole = float(carried[-1][-1])
+        if total is None:
+            return whole
+        after = np.r_[np.full(reach, -np.inf), 0.0]  # the backward values of the nodes up to the stretch's end
+        for i, at in reversed(list(enumerate(range(0, size, STRETCH)))):
+            to, source, weight, ids, codes = edges(at)
+            alpha = self._walk(carried[i], to, source, weight)
+            last = len(alpha) - 1
+            beta = self._walk(after[::-1], last - source, last - to, weight, last + 1)[::-1]
+            share = np.exp(alpha[source] + weight + beta[to] - whole) * count
+            total += np.bincount(ids[ids >= 0], share[ids >= 0], len(total))
+            letters, same = np.unique(codes, return_inverse=True)
+            self._count(total, letters, np.bincount(same, share[ids < 0], len(letters)))
+            after = beta[: reach + 1]
+        return whole
+
+    def _stretch_edges(self, word: str, at: int, end: int):
+        """Edges that end in a stretch of a word, between nodes counted from ``longest`` before it, pieces' before those spelt in bytes (id -1); its letters."""
+        before = min(at, self.longest)
+        codes = _codes(word[at - before : end])
+        found = [(e[e >= before], k, ids[e >= before]) for k, e, ids in self._pieces(codes)]
+        own = np.arange(before, len(codes))
+        letters, same = np.unique(codes[before:], return_inverse=True)
+        stop = np.concatenate([*(e for e, _, _ in found), own])
+        k = np.concatenate([*(np.full(len(e), k) for e, k, _ in found), np.ones(len(own), np.int64)])
+        ids = np.concatenate([*(i for *_, i in found), np.full(len(own), -1)])
+        weight = np.r_[self.logs[ids[ids >= 0]], np.array([self._spelt(c) for c in letters.tolist()])[same]]
+        to = stop - before + self.longest + 1
+        return to, to - k, weight, ids, codes[before:]
+
+    @staticmethod
+    def _walk(known: np.ndarray, to: np.ndarray, source: np.ndarray, weight: np.ndarray, nodes: int | None = None) -> np.ndarray:
+        """Forward values of a stretch's nodes after the ``known`` ones, edge by edge."""
+        value = np.full(int(to.max()) + 1 if nodes is None else nodes, -np.inf).tolist()
+        value[: len(known)] = known.tolist()
+        exp, log1p, low = math.exp, math.log1p, -math.inf
+        order = np.lexsort((source, to))
+        for t, s, w in zip(to[order].tolist(), source[order].tolist(), weight[order].tolist(), strict=True):
+            x, y = value[s] + w, value[t]
+            if x == low:
+                continue
+            if y > x:
+                x, y = y, x
+            value[t] = x + log1p(exp(y - x))
+        return np.array(value)
+
+    def _all(self, words: list[str], counts: np.ndarray | None, total: np.ndarray | None) -> np.ndarray:
         marked, out = [MARK + w for w in words], np.empty(len(words))
         for at in self._batches(marked):
-            out[at] = self._forward([marked[i] for i in at])[0][-1]
+            if len(marked[at[0]]) >= LONG:
+                out[at[0]] = self._long(marked[at[0]], 0.0 if counts is None else counts[at[0]], total)
+            else:
+                out[at] = self._short([marked[i] for i in at], None if counts is None else counts[at], total)
         return out
 
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Natural log of each word's probability over all segmentations."""
+        return self._all(words, None, None)
+
     def expected_counts(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """How often each piece is expected in the words' segmentations, each word counted so many times."""
-        marked, total = [MARK + w for w in words], np.zeros(len(self.logs) - 1)
-        for at in self._batches(marked):
-            part = [marked[i] for i in at]
-            alpha, edges = self._forward(part)
-            beta = np.full_like(alpha, -np.inf)
-            beta[-1] = 0
-            many = counts[at]
-            for j, k, found, weight, spelt in reversed(edges):
-                share = np.exp(alpha[j - k] + weight + beta[j] - alpha[-1]) * many
-                np.add.at(total, found[found >= 0], share[found >= 0])
-                if spelt is not None:
-                    share = np.exp(alpha[j - 1] + spelt + beta[j] - alpha[-1]) * many
-                    for i in np.flatnonzero(share > 1e-12):
-                        for b in part[i][j - 1].encode():
-                            total[self.byte_ids[b]] += share[i]
-                    beta[j - 1] = np.logaddexp(beta[j - 1], beta[j] + spelt)
-                beta[j - k] = np.logaddexp(beta[j - k], beta[j] + weight)
+        total = np.zeros(len(self.logs) - 1)
+        self._all(words, counts, total)
         return total
 
 

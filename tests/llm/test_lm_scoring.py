@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from tessera.llm import lm_scoring
 from tessera.llm.lm_scoring import MARK, Lattice, score_documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -81,3 +82,21 @@ def test_empty_table_and_nothing_to_learn(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = score_documents(spark.createDataFrame([(held, "word")], schema), PIECES).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (2, 0, 0, 0) and -40 < r.score < 0
+
+
+def test_words_of_any_length(spark, monkeypatch):
+    rnd = random.Random(3)
+    lattice = Lattice.from_vocabulary(PIECES)
+    words = ["".join(rnd.choice("etaoin shrdlué漢".replace(" ", "")) for _ in range(n)) for n in (1, 40, 255, 256, 300, 700)]
+    counts = np.arange(1.0, 7)
+    whole, expected = lattice.log_probabilities(words), lattice.expected_counts(words, counts)
+    monkeypatch.setattr(lm_scoring, "LONG", 8)
+    monkeypatch.setattr(lm_scoring, "STRETCH", 50)  # stretches shorter than words
+    assert lattice.log_probabilities(words) == pytest.approx(whole)
+    assert lattice.expected_counts(words, counts) == pytest.approx(expected)
+
+
+def test_one_word_of_a_million_characters(spark):
+    docs = spark.createDataFrame([(1, "Q2FmZQ" * 170_000), (2, "short")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in score_documents(docs, PIECES).collect()}
+    assert rows[1].n_tokens == 2 and -5e6 < rows[1].score < -1e6 and -40 < rows[2].score < 0
