@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -229,9 +228,9 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, **options) -> DataF
 
 
 def _leaks(held):
-    @F.pandas_udf("boolean")
-    def leaks(rows: pd.Series) -> pd.Series:
-        return pd.Series([bool(held.value.search(words_of((t or "").encode()))) for t in rows], dtype=bool)
+    @F.arrow_udf("boolean")
+    def leaks(rows: pa.Array) -> pa.Array:
+        return pa.array([bool(held.value.search(words_of(t))) for i in range(0, len(rows), 500) for t in texts(rows.slice(i, 500))], pa.bool_())
 
     return leaks
 

@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import partitions, stored
-from .tokenizing import encoder
+from .tokenizing import encoder, forget
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it), and so on
 Plan = list[tuple[Pattern, int]]  # a pattern, and how many sequences have it
+#: Word pieces that a worker remembers.
+REMEMBER = 800_000
 
 
 def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
@@ -177,16 +179,17 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     return placed.select(*names, F.expr("_sequence + (_rank - _from) div _each").alias("sequence_id"), F.expr("_offset + (_rank - _from) % _each * length").alias("offset"))
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, ids: bool = False, remember: int = REMEMBER, keep: bool = True) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32[, ids]``: each document's ids and the end id, cut only where longer than ``capacity``.
 
     Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``. Null and empty texts are the end id alone. Rows stay where they are; repeated rows and null ids are kept.
+    ``remember``: word pieces whose ids a worker remembers, some 200 bytes each; ``keep``: from task to task. Neither changes an id.
     """
     fields = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * ids]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())][: len(fields)]
 
     def run(batches):
-        enc = encoder(tokenizer, added=True)
+        enc = encoder(tokenizer, remember, added=True)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             rows = []
@@ -200,11 +203,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=fields)
+        if not keep:
+            forget()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, ids: bool = False, remember: int = REMEMBER, keep: bool = True) -> DataFrame:
     """The pieces of ``docs(doc_id, text)`` with their sequence and place; with ``ids``, the pieces' tokens too."""
-    return pack(token_pieces(docs, tokenizer, capacity, end_id, ids), capacity)
+    return pack(token_pieces(docs, tokenizer, capacity, end_id, ids, remember, keep), capacity)

@@ -142,11 +142,18 @@ class Encoder:
         return self.encode_many([text])[0]
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, int, bool], Encoder] = {}
 
 
 def encoder(path: str, remember: int = 800_000, added: bool = False) -> Encoder:
-    """The worker's own encoder of this tokenizer file; a worker serves many tasks."""
-    if (path, added) not in _ENCODERS:
-        _ENCODERS[path, added] = Encoder(path, remember, added)
-    return _ENCODERS[path, added]
+    """The worker's own encoder of this tokenizer file; a worker serves many tasks, and keeps the encoder it used last."""
+    key = (path, remember, added)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(path, remember, added)
+    return _ENCODERS[key]
+
+
+def forget() -> None:
+    """Frees the worker's encoder, for jobs whose other stages need the memory."""
+    _ENCODERS.clear()

@@ -13,7 +13,6 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -217,11 +216,12 @@ class ToxicityModel:
     def column(self, text: Column, spark) -> Column:
         held = spark.sparkContext.broadcast(self)
 
-        @F.pandas_udf("double")
-        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("double")
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             ratios = None if held.value.pair is None else _Ratios(held.value.pair)  # freed with the task
             for rows in batches:
-                yield pd.Series(held.value.scores(((t or "").encode() for t in rows), ratios))
+                parts = [held.value.scores(texts(rows.slice(i, 500)), ratios) for i in range(0, len(rows), 500)]
+                yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
         return score(text)
 
