@@ -12,6 +12,9 @@ from tessera.llm.ngram_jaccard import one_of_each_group
 from tessera.llm.packing import pack_documents
 from tessera.llm.toxicity import train_toxicity, training_labels
 
+#: Word pieces that the packing stage remembers; its workers forget them with the task, as other stages share the executors.
+REMEMBER = 200_000
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that score below one half."""
@@ -31,7 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of the remaining documents lies in sequences of 4096 tokens."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remember=REMEMBER, keep=False)
 
 
 STAGES = [("toxicity", toxicity), ("ngram_jaccard", ngram_jaccard), ("decontamination", decontamination), ("packing", packing)]
