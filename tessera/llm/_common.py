@@ -41,6 +41,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str = "inner", salts: int = 32) -> DataFrame:
+    """``left.join(right, on, how)`` where one key may hold most rows of ``left``: they are dealt to ``salts`` places by the column ``by``.
+
+    ``right`` has few rows a key and is copied only to the places that ``left`` has of that key, found by a combining
+    aggregate; a key with one row of ``left`` is copied once. ``left`` is read twice.
+    """
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    places = salted.select(*on, "_salt").distinct()
+    return salted.join(places.join(right, on), [*on, "_salt"], how).drop("_salt")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}") in taken:
+        pass
+    return name
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """Arrow's file system and path of a URI, for byte access inside tasks."""
     return fs.FileSystem.from_uri(uri)

@@ -1,22 +1,39 @@
-"""Connected components of a distributed edge list by alternating large-star and small-star steps."""
+"""Connected components of a distributed edge list: stars are drawn in first, what is left takes alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import salted_join, stored
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of ``edges``; component is the smallest node that links reach.
 
-    Loops and rows with a null end are ignored; repeated edges count once; no edges give no rows. A hub's edges are
-    spread by AQE's skew join; its minimum is a combining aggregate, so no group meets in one task. Each round is
-    written to the shared folder, so lineage stays short and a lost executor costs one round at most.
+    Loops and rows with a null end are ignored; repeated edges count once; no edges give no rows. ``b`` is the side on which many edges
+    may meet, as where copies point at one of them: each ``a`` is drawn in to its smallest ``b``, the rounds run on
+    the ``b`` nodes alone, and the others take their component by a salted join. So no round sees a star's leaves, and no
+    join deals a star to one task. Each round is written to the shared folder, so lineage stays short and a lost executor costs one round at most.
     """
-    e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a is not null and b is not null and a > b").distinct()
-    e, mark = stored(e, "edges"), None
+    e = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct(), "edges")
+    drawn = stored(e.groupBy("a").agg(F.min("b").alias("p")), "drawn")
+    targets = e.select(F.col("b").alias("a")).distinct()
+    between = e.join(drawn, "a").where("b <> p").select(F.col("b").alias("x"), F.col("p").alias("y"))
+    between = between.unionByName(drawn.join(targets, "a", "left_semi").select(F.col("a").alias("x"), F.col("p").alias("y")))
+    core = _star_rounds(between)
+    named = targets.select(F.col("a").alias("p")).join(core.withColumnRenamed("node", "p"), "p", "left").select("p", F.coalesce("component", "p").alias("c"))
+    # a drawn-in node may be smaller than all targets of its component
+    leaves = stored(salted_join(drawn, named, ["p"], by="a").select(F.col("a").alias("node"), "c"), "leaves")
+    nodes = leaves.unionByName(named.select(F.col("p").alias("node"), "c")).distinct()
+    least = nodes.groupBy("c").agg(F.min("node").alias("component"))
+    return salted_join(nodes, least, ["c"], by="node").select("node", "component")
+
+
+def _star_rounds(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` of ``edges(x, y)``."""
+    e = stored(edges.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a > b").distinct(), "edges")
+    mark = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -1,11 +1,11 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Documents become sets of hashed word shingles. Equal sets are one node. Similar nodes are put into groups: nodes that
-share a minimum hash are compared with one of them only, another for each of several hashes, and what links is one group. The matrix has a row for
-each token of a group's union; a node may be linked with a member of a group only if at least the threshold's share of
-its own tokens is in that union, so only groups that reach this bound are opened. Groups are found by rare tokens: a node
-and a group's members meet under the tokens that are rare enough in both for their sizes, in a few at least; every link lies
-among these meetings. Copies and near copies meet
+share a minimum hash are compared with one of them only, another for each of several hashes, and what links is one group, dealt to parts
+of some dozens of members. The stored matrix has a row for each rare token, part of a group and size of its members; a node meets
+the parts that share a token with it which is rare enough in both for their sizes, and every link lies among these meetings. A node that doesn't link with
+its group's smallest member is held against the parts' token unions: it may be linked with a member only if at least the
+threshold's share of its own tokens is in the union, and only parts that reach this bound are opened. Copies and near copies meet
 their group's smallest node, never each other, so a group's size costs in proportion.
 """
 
@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bloom_of, ceil_share, partitions, stored, texts
+from ._common import bloom_of, ceil_share, partitions, salted_join, stored, texts, unused
 from .graph import connected_components
 
 #: Minimum hashes of a set, and how many two sets must share to be compared while groups are made.
@@ -162,31 +162,33 @@ def _levels(counted: DataFrame) -> np.ndarray:
     return out
 
 
-def _rarest(k: int, levels, percent: int):
-    """``sid, n, tokens``: each set's size and rarest tokens, rarest first, enough to meet every similar set. Once for each set and task."""
+def _rarest(k: int, levels, percent: int, wanted=None):
+    """``sid, n, places, tokens``: each set's size and rarest tokens, rarest first with their places in that order, enough to meet every
+    similar set; with ``wanted``, only those that this Bloom filter may hold. Once for each set and task."""
+    schema = pa.schema([("sid", pa.int64()), ("n", pa.int32()), ("places", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            sid, n, tokens, held = [], [], [], 0
+            rows, held = [], 0
             for t in texts(batch["text"]):
                 s = shingle_set(t, k)
                 if not len(s) or (i := set_id(s)) in seen:
                     continue
                 seen.add(i)
                 rank = levels.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                sid.append(i)
-                n.append(len(s))
-                s = s[np.argsort(rank, kind="stable")[: len(s) - ceil_share(len(s), percent) + SHARED]]
-                tokens.append(_long(s))
-                held += len(s)
+                rare = _long(s[np.argsort(rank, kind="stable")[: len(s) - ceil_share(len(s), percent) + SHARED]])
+                places = np.arange(len(rare)) if wanted is None else np.flatnonzero(wanted.value.has(rare))
+                if len(places):
+                    rows.append((i, len(s), places.astype(np.int32), rare[places]))
+                    held += len(places)
                 if held > 500_000:
-                    yield pa.RecordBatch.from_pydict({"sid": pa.array(sid, pa.int64()), "n": pa.array(n, pa.int32()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
-                    sid, n, tokens, held = [], [], [], 0
-            if sid:
-                yield pa.RecordBatch.from_pydict({"sid": pa.array(sid, pa.int64()), "n": pa.array(n, pa.int32()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return run, "sid long, n int, tokens array<long>"
+    return run, "sid long, n int, places array<int>, tokens array<long>"
 
 
 def _packed_texts(wanted):
@@ -210,85 +212,38 @@ def _packed_texts(wanted):
     return run, "text_key long, blob binary"
 
 
-def _meet(run: list[tuple], percent: int, out: tuple[list, list, list]) -> None:
-    """One token's rows ``gid, own, n, i`` by size, i the token's place in the node's order: each node with every group that has
-    a member of its size or smaller for which the token is rare enough on both sides.
+def _token_rows(source: DataFrame, groups: DataFrame, k: int, levels, percent: int) -> DataFrame:
+    """``token, sid, gid, part, n, reach``: the rarest tokens that sets of two groups hold at least, of every set that has them.
 
     Sets of sizes n >= m link with at least a = percent * (n + m) / (100 + percent) tokens in common, so SHARED of them are
-    among the n - a + SHARED rarest of the one and the m - a + SHARED rarest of the other.
+    among the n - a + SHARED rarest of the one and the m - a + SHARED rarest of the other. ``reach``: the largest size of another set for which
+    the token is rare enough in this one. Most tokens are a single group's: which are not is found by a combining
+    aggregate over tokens alone, and only those, as a Bloom filter tells, are dealt out with their sets.
     """
-    left, right, need = out
-    sizes, groups, reaches = (np.empty(len(run), np.int64) for _ in range(3))
-    filed, start = 0, 0
-    for g, own, n, i in run:
-        most = (n - i + SHARED - 1) * (100 + percent) // percent - n  # the largest other size for which the place is rare enough
-        while start < filed and 100 * sizes[start] < percent * n:
-            start += 1
-        if start < filed:
-            if filed - start > 24:
-                s = slice(start, filed)
-                near = np.unique(groups[s][(sizes[s] <= most) & (reaches[s] >= n)]).tolist()
-            else:
-                near = {groups.item(j) for j in range(start, filed) if sizes.item(j) <= most and reaches.item(j) >= n}
-            for x in near:
-                if x != g:
-                    left.append(g if own is None else own)
-                    right.append(x)
-                    need.append(min(SHARED, ceil_share(n, percent)))
-        if most >= n:
-            sizes[filed], groups[filed], reaches[filed] = n, g, most
-            filed += 1
-
-
-def _meetings(percent: int):
-    """``sid, gid, need`` from rows sorted by token and size."""
-
-    def made(out):
-        return pa.RecordBatch.from_pydict({"sid": pa.array(out[0], pa.int64()), "gid": pa.array(out[1], pa.int64()), "need": pa.array(out[2], pa.int8())})
-
-    def run(batches):
-        token, rows, out = None, [], ([], [], [])
-        for batch in _shared_only(batches):
-            for t, *row in zip(*(batch[c].to_pylist() for c in ("token", "gid", "own", "n", "i")), strict=True):
-                if t != token:
-                    if len(rows) > 1:
-                        _meet(rows, percent, out)
-                    token, rows = t, []
-                    if len(out[0]) > 200_000:
-                        yield made(out)
-                        out = ([], [], [])
-                rows.append(row)
-        if len(rows) > 1:
-            _meet(rows, percent, out)
-        if out[0]:
-            yield made(out)
-
-    return run
-
-
-def _shared_only(batches):
-    """Drops tokens that a single group has, before they reach Python's loop; rows come sorted by token."""
-    held: list[pa.RecordBatch] = []
-
-    def parted(t: pa.Table, ends: bool):
-        tok, gid = t["token"].to_numpy(), t["gid"].to_numpy()
-        start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-        size = np.diff(np.r_[start, len(tok)])
-        mixed = np.logical_or.reduceat(gid != np.repeat(gid[start], size), start)
-        if not ends:
-            mixed[-1] = False
-        return t.filter(pa.array(np.repeat(mixed, size))), None if ends else t.slice(int(start[-1]))
-
-    for batch in batches:
-        if held and batch.num_rows and batch["token"][-1].as_py() == held[0]["token"][0].as_py():
-            held.append(batch)  # a token that fills batches
-            continue
-        if batch.num_rows:
-            done, rest = parted(pa.Table.from_batches([*held, batch]).combine_chunks(), ends=False)
-            yield from done.combine_chunks().to_batches()
-            held = rest.combine_chunks().to_batches()
-    if held:
-        yield from parted(pa.Table.from_batches(held).combine_chunks(), ends=True)[0].combine_chunks().to_batches()
+    spark = source.sparkSession
+    gid = F.coalesce("gid", "sid").alias("gid")
+    run, schema = _rarest(k, levels, percent)
+    held = source.select("text").mapInArrow(run, schema).join(groups.select("sid", "gid"), "sid", "left").select(F.explode("tokens").alias("token"), gid)
+    common = held.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low <> high").select("token")
+    run, schema = _rarest(k, levels, percent, spark.sparkContext.broadcast(bloom_of(stored(common, "tokens"))))
+    rows = source.select("text").mapInArrow(run, schema).join(groups, "sid", "left")
+    rows = rows.select("sid", gid, F.coalesce("part", F.lit(0)).alias("part"), "n", F.explode(F.arrays_zip("places", "tokens")).alias("x"))
+    reach = F.expr(f"cast((n - x.places + {SHARED - 1}) * {100 + percent} div {percent} - n as int)")
+    return stored(rows.select(F.col("x.tokens").alias("token"), "sid", "gid", "part", "n", reach.alias("reach")).distinct(), "token-rows")
+
+
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """``sid, gid, part``: sets, and the parts of other groups that have a member of their size or smaller with which they may link.
+
+    The token-group matrix has a row for each rare token, part of a group and size of its members. A token that one group's many
+    members share is one row a part and size; one that many sets ask for is salted.
+    """
+    matrix = rows.where("reach >= n").groupBy("token", "gid", "part", F.col("n").alias("m")).agg(F.max("reach").alias("reached"))
+    matrix = stored(matrix.select("token", F.col("gid").alias("g"), F.col("part").alias("p"), "m", "reached"), "matrix")
+    several = matrix.groupBy("token").agg(F.count("*").alias("entries"), F.min("g").alias("low"), F.max("g").alias("high"))
+    asked = salted_join(rows.select("token", "sid", "gid", "n", "reach"), matrix.join(several.select("token"), "token"), ["token"], by="sid")
+    fits = f"g <> gid and m <= n and 100 * m >= {percent} * n and m <= reach and reached >= n and (m < n or g < gid)"
+    return stored(asked.where(fits).select("sid", F.col("g").alias("gid"), F.col("p").alias("part")).distinct(), "met")
 
 
 class _Sets:
@@ -320,33 +275,70 @@ def _verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFr
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
 
 
-def _opened(members: DataFrame, queries: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links ``a, b`` of ``queries(gid, sid)`` with groups' ``members(gid, sid, m)``, m the group's size.
+def _by_part(rows: DataFrame, spark) -> DataFrame:
+    """``gid, part, kind, sid, blob`` dealt by part, what is of kind 0 first."""
+    return rows.repartition(partitions(spark), "gid", "part").sortWithinPartitions("gid", "part", "kind").select("gid", "part", "kind", "sid", "blob")
 
-    A group's members are dealt to parts of about ``UNION_MEMBERS``. A part's token union bounds a query's overlap with
-    each member; a part that reaches the bound is opened, up to the first link, which is all that components need.
-    """
-    parts = F.expr(f"cast(ceil(m / {UNION_MEMBERS}) as int)")
-    own = members.select("gid", F.pmod(F.xxhash64("sid"), parts).cast("int").alias("part"), F.lit(0).alias("kind"), "sid")
-    sizes = members.select("gid", parts.alias("parts")).distinct()
-    asked = queries.join(sizes, "gid").select("gid", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(1).alias("kind"), "sid")
-    rows = own.unionByName(asked).join(sets.select("sid", "blob"), "sid").repartition(partitions(members.sparkSession), "gid", "part").sortWithinPartitions("gid", "part", "kind")
+
+def _unions(members: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """``gid, part, blob``: the union of the tokens of each part's ``members(gid, part, sid)``, sorted and compressed."""
+    rows = members.select("gid", "part", F.lit(0).alias("kind"), "sid").join(sets.select("sid", "blob"), "sid")
 
     def run(batches):
-        unzip, group = zstandard.ZstdDecompressor(), None
+        unzip, zipper = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        now, union = None, np.empty(0, np.uint64)
+        made = lambda: pa.RecordBatch.from_pydict({"gid": pa.array([now[0]], pa.int64()), "part": pa.array([now[1]], pa.int32()), "blob": pa.array([zipper.compress(np.diff(union, prepend=np.uint64(0)).tobytes())], pa.binary())})
+        for batch in batches:
+            for gid, part, blob in zip(*(batch[c].to_pylist() for c in ("gid", "part", "blob")), strict=True):
+                if (gid, part) != now:
+                    if now is not None:
+                        yield made()
+                    now, union = (gid, part), np.empty(0, np.uint64)
+                union = np.union1d(union, shingle_set(unzip.decompress(blob), k))
+        if now is not None:
+            yield made()
+
+    return stored(_by_part(rows, members.sparkSession).mapInArrow(run, "gid long, part int, blob binary"), "unions")
+
+
+def _qualifying(asked: DataFrame, unions: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """The rows of ``asked(sid, gid, part)`` whose set has enough tokens in the part's union to be similar to a member."""
+    own = unions.select("gid", "part", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("sid"), "blob")
+    rows = own.unionByName(asked.select("gid", "part", F.lit(1).alias("kind"), "sid").join(sets.select("sid", "blob"), "sid"))
+
+    def run(batches):
+        unzip, union, now = zstandard.ZstdDecompressor(), np.empty(0, np.uint64), None
+        for batch in batches:
+            found = []
+            for gid, part, kind, sid, blob in zip(*(batch[c].to_pylist() for c in ("gid", "part", "kind", "sid", "blob")), strict=True):
+                if kind == 0:
+                    union, now = np.cumsum(np.frombuffer(unzip.decompress(blob), np.uint64), dtype=np.uint64), (gid, part)
+                elif now == (gid, part):
+                    s = shingle_set(unzip.decompress(blob), k)
+                    if 100 * len(np.intersect1d(s, union, assume_unique=True)) >= percent * len(s):
+                        found.append((sid, gid, part))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["sid", "gid", "part"])
+
+    return stored(_by_part(rows, asked.sparkSession).mapInArrow(run, "sid long, gid long, part int"), "qualifying")
+
+
+def _opened(members: DataFrame, asked: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links ``a, b`` of ``asked(sid, gid, part)`` with the parts' ``members(gid, part, sid)``, the first of each, which is all that components need."""
+    open_ = members.join(asked.select("gid", "part").distinct(), ["gid", "part"], "left_semi")
+    rows = open_.select("gid", "part", F.lit(0).alias("kind"), "sid").unionByName(asked.select("gid", "part", F.lit(1).alias("kind"), "sid")).join(sets.select("sid", "blob"), "sid")
+
+    def run(batches):
+        unzip, now, inside = zstandard.ZstdDecompressor(), None, []
         for batch in batches:
             a, b = [], []
             for gid, part, kind, sid, blob in zip(*(batch[c].to_pylist() for c in ("gid", "part", "kind", "sid", "blob")), strict=True):
-                if (gid, part) != group:
-                    group, inside, union = (gid, part), [], None
+                if (gid, part) != now:
+                    now, inside = (gid, part), []
                 s = shingle_set(unzip.decompress(blob), k)
                 if kind == 0:
                     inside.append((sid, s))
                     continue
-                if union is None:
-                    union = np.unique(np.concatenate([x for _, x in inside])) if inside else s[:0]
-                if 100 * len(np.intersect1d(s, union, assume_unique=True)) < percent * len(s):
-                    continue
                 for other, x in inside:
                     if 100 * min(len(s), len(x)) >= percent * max(len(s), len(x)) and similar(s, x, percent):
                         a.append(sid)
@@ -355,7 +347,7 @@ def _opened(members: DataFrame, queries: DataFrame, sets: DataFrame, k: int, per
             if a:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.select("gid", "part", "kind", "sid", "blob").mapInArrow(run, "a long, b long")
+    return stored(_by_part(rows, members.sparkSession).mapInArrow(run, "a long, b long"), "links")
 
 
 def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -376,35 +368,33 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     keyed = nodes.select("sid", F.posexplode("keys").alias("r", "key"))
     buckets = keyed.groupBy("r", "key").agg(F.count("*").alias("m")).where("m > 1")
-    alikes = stored(keyed.join(buckets, ["r", "key"]), "buckets")
+    alikes = stored(salted_join(keyed, buckets, ["r", "key"], by="sid"), "buckets")
     # every other hash compares with the node that most others share keys with, the rest with any one
     popular = alikes.groupBy("sid").agg(F.sum("m").alias("popular"))
     order = F.struct(F.when(F.col("r") % 2 == 0, F.col("popular")).otherwise(0), F.xxhash64("sid", "r"))
     centres = alikes.join(popular, "sid").groupBy("r", "key").agg(F.max_by("sid", order).alias("centre"))
-    near = alikes.join(centres, ["r", "key"]).where("sid <> centre").select(F.greatest("sid", "centre").alias("a"), F.least("sid", "centre").alias("b")).distinct()
+    near = salted_join(alikes, centres, ["r", "key"], by="sid").where("sid <> centre").select(F.col("sid").alias("a"), F.col("centre").alias("b")).distinct()
     keys_of = lambda side: nodes.select(F.col("sid").alias(side), F.col("keys").alias("keys_" + side))
     alike = f"size(filter(zip_with(keys_a, keys_b, (x, y) -> x = y), x -> x)) >= {ALIKE}"
-    pairs = stored(near.join(keys_of("a"), "a").join(keys_of("b"), "b").where(alike).select("a", "b"), "pairs")
+    pairs = stored(salted_join(near.join(keys_of("a"), "a"), keys_of("b"), ["b"], by="a").where(alike).select("a", "b"), "pairs")
     links = stored(_verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), k, percent), "links")
-    groups = stored(connected_components(links), "groups")
-    label = groups.select(F.col("node").alias("sid"), F.col("component").alias("gid"))
+    label = stored(connected_components(links), "groups").select(F.col("node").alias("sid"), F.col("component").alias("gid"))
+    parts = label.groupBy("gid").agg(F.expr(f"cast(ceil(count(*) / {UNION_MEMBERS}) as int)").alias("parts"))
+    groups = stored(salted_join(label, parts, ["gid"], by="sid").select("sid", "gid", F.expr("cast(pmod(xxhash64(sid), parts) as int)").alias("part")), "members")
 
     levels = spark.sparkContext.broadcast(_levels(all_rows.where("kind > 0")))
-    rarest, out = _rarest(k, levels, percent)
-    probes = source.select("text").mapInArrow(rarest, out).join(label, "sid", "left").select(F.posexplode("tokens").alias("i", "token"), F.coalesce("gid", "sid").alias("gid"), F.expr("case when gid <> sid then sid end").alias("own"), "n")
-    dealt = probes.repartition(partitions(spark), "token").sortWithinPartitions("token", "n")
-    meetings = dealt.mapInArrow(_meetings(percent), "sid long, gid long, need tinyint").groupBy("sid", "gid").agg(F.count("*").alias("shared"), F.min("need").alias("need"))
-    met = stored(meetings.where("shared >= need").select("sid", "gid"), "met")
-
-    large = label.join(met.select("gid").distinct(), "gid", "left_semi")
-    members = stored(large.join(large.groupBy("gid").agg(F.count("*").alias("m")), "gid"), "members")
-    sets = sets_of(members.select("sid").union(met.select("sid")).union(met.select("gid")).distinct())
-    first = stored(_verified(met.select(F.col("sid").alias("a"), F.col("gid").alias("b")), sets, k, percent), "links")
-    rest = met.join(first.select(F.col("a").alias("sid"), F.col("b").alias("gid")), ["sid", "gid"], "left_anti")
-    more = stored(_opened(members, rest, sets, k, percent), "links")
-
-    linked = connected_components(links.unionByName(first).unionByName(more))
-    found = rows.select("doc_id", "text_key", "n", "sid").join(linked.select(F.col("node").alias("sid"), "component"), "sid", "left")
+    met = _met(_token_rows(source, groups, k, levels, percent), percent)
+    ends = met.select("sid").union(met.select("gid")).distinct()
+    sets = sets_of(ends)
+    first = stored(_verified(met.select(F.col("sid").alias("a"), F.col("gid").alias("b")).distinct(), sets, k, percent), "links")
+    rest = stored(met.join(first.select(F.col("a").alias("sid"), F.col("b").alias("gid")), ["sid", "gid"], "left_anti").join(groups.select("gid").distinct(), "gid", "left_semi"), "rest")
+    members = stored(groups.join(rest.select("gid", "part").distinct(), ["gid", "part"], "left_semi"), "members")
+    inner = sets_of(members.select("sid").distinct())
+    asked = _qualifying(rest, _unions(members, inner, k), sets, k, percent)
+    more = _opened(members, asked, sets.unionByName(inner).dropDuplicates(["sid"]), k, percent)
+
+    linked = stored(connected_components(links.unionByName(first).unionByName(more)), "components")
+    found = salted_join(rows.select("doc_id", "text_key", "n", "sid"), linked.select(F.col("node").alias("sid"), "component"), ["sid"], by="doc_id", how="left")
     return found.withColumn("component", F.coalesce("component", "sid", F.xxhash64("doc_id")))
 
 
@@ -416,9 +406,9 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) ->
     the component's id is null only if all its ids are. Empty table: no rows. Other columns are ignored. Texts, sets and
     shingles are told apart by 64-bit hashes.
     """
-    rows = _components(docs, k, percent)
+    rows = stored(_components(docs, k, percent), "named")
     least = rows.where("sid is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return salted_join(rows, least, ["component"], by="doc_id", how="left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -427,8 +417,9 @@ def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     Null ids count last, equal ids by the text's hash; of rows equal in both, one stays. Rows without words all stay.
     """
     rows = stored(_components(docs, k, percent).where("sid is not null"), "components")
+    key = unused(docs, "row_key")
     pick = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("row"))
-    pick = pick.select(F.xxhash64("row.doc_id", "row.text_key").alias("_row_key")).distinct()
+    pick = pick.select(F.xxhash64("row.doc_id", "row.text_key").alias(key)).distinct()
     blank = F.coalesce(~F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(True))
-    keyed = docs.where(~blank).withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    return docs.where(blank).unionByName(keyed.join(pick, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns))
+    keyed = docs.where(~blank).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    return docs.where(blank).unionByName(keyed.join(pick, key, "left_semi").dropDuplicates([key]).select(*docs.columns))
