@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import partitions, stored
+from ._common import partitions, stored, unused
 from .tokenizing import encoder, forget
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it), and so on
 Plan = list[tuple[Pattern, int]]  # a pattern, and how many sequences have it
 #: Word pieces that a worker remembers.
 REMEMBER = 800_000
+#: Stretches of ranks that a length's places are filed under.
+SHELVES = 32
 
 
 def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
@@ -87,18 +89,27 @@ def _fits_inside(small: list[int], large: list[int]) -> bool:
 
 
 def undominated_fillings(room: int, counts: dict[int, int], width: int, items: int) -> list[tuple[int, ...]]:
-    """Sets of at most ``items`` lengths for this room, fullest first, the ``width`` fullest; none can be laid into the pieces of another."""
+    """Sets of lengths for this room, fullest first, the ``width`` fullest; none can be laid into the pieces of another.
+
+    Beside n pieces chosen the ``width`` / 2 ** n longest that fit are tried, at least one; from ``items`` pieces on, the longest as often
+    as it fits, and so on, so that nothing more fits beside a set. The same for few lengths as for many.
+    """
     lengths = sorted(x for x in counts if counts[x] and x <= room)
     found: set[tuple[int, ...]] = set()
 
     def extend(chosen: tuple[int, ...], left: int, highest: int) -> None:
         fits = lengths[: bisect_right(lengths, min(left, highest))]
         fits = [x for x in fits if chosen.count(x) < counts[x]]
-        if not fits or len(chosen) == items:
+        while fits and len(chosen) >= items:
+            x = fits[-1]
+            times = min(counts[x] - chosen.count(x), left // x)
+            chosen, left = (*chosen, *[x] * times), left - x * times
+            fits = [y for y in fits[:-1] if y <= left and chosen.count(y) < counts[y]]
+        if not fits:
             found.add(chosen)
             return
-        # with many lengths: the longest few, and beyond two pieces the longest alone
-        for x in fits[-(width if len(chosen) < 2 else 1) :] if len(lengths) > 40 else fits:
+        # the longest first: they leave the least room
+        for x in fits[-max(1, width >> len(chosen)) :]:
             extend((*chosen, x), left - x, x)
 
     extend((), room, room)
@@ -111,26 +122,37 @@ def undominated_fillings(room: int, counts: dict[int, int], width: int, items: i
     return kept
 
 
-def bin_completion(counts: dict[int, int], capacity: int, effort: int = 200_000, width: int = 12, items: int = 6) -> Plan:
-    """The best plan found within the effort (search nodes times lengths); never more sequences than best-fit decreasing gives."""
+def bin_completion(counts: dict[int, int], capacity: int, effort: int = 300, width: int = 16, items: int = 6) -> Plan:
+    """The best plan found within ``effort`` search nodes; never more sequences than best-fit decreasing gives.
+
+    The width of the fillings tried is doubled from 2 to ``width``, each with an equal share of the effort, until a plan meets the lower bound.
+    """
     counts = {x: n for x, n in counts.items() if n}
     best = best_fit_decreasing(counts, capacity)
     used, least = sum(n for _, n in best), lower_bound(counts, capacity)
+    shares = [w for w in (2, 4, 8, 16, 32, 64) if w <= width]
+    for w in shares:
+        if used > least:
+            best, used = _search(counts, capacity, effort // len(shares), w, items, best, used, least)
+    return best
+
+
+def _search(counts: dict[int, int], capacity: int, effort: int, width: int, items: int, best: Plan, used: int, least: int) -> tuple[Plan, int]:
+    """Branch and bound, depth first, from the incumbent ``best`` of ``used`` sequences."""
     total = sum(x * n for x, n in counts.items())
     # a frame: what is left, patterns so far, sequences so far, waste so far
     stack: list[tuple[dict[int, int], Plan, int, int]] = [(counts, [], 0, 0)]
     while stack and effort > 0 and used > least:
         left, plan, n, waste = stack.pop()
-        effort -= 1 + len(left)
+        effort -= 1
         if not left:
             if n < used:
                 best, used = plan, n
             continue
-        allowed = (used - 1) * capacity - total
         rest = best_fit_decreasing(left, capacity)
         if n + sum(t for _, t in rest) < used:
             best, used = plan + rest, n + sum(t for _, t in rest)
-            allowed = (used - 1) * capacity - total
+        allowed = (used - 1) * capacity - total
         top = max(left)
         beside = {**left, top: left[top] - 1}
         branches = []
@@ -145,7 +167,7 @@ def bin_completion(counts: dict[int, int], capacity: int, effort: int = 200_000,
                     after = {x: m for x, m in ((x, m - times * need.get(x, 0)) for x, m in left.items()) if m}
                     branches.append((after, [*plan, (tuple(need.items()), times)], n + times, waste + times * spill))
         stack += reversed(branches)
-    return best
+    return best, used
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -159,24 +181,29 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     checked = pieces.select(*names).withColumn("length", F.expr(f"if(length between 1 and {capacity}, length, raise_error('a piece is empty, null or longer than a sequence'))"))
     # stored first: dealing by ranges reads its input twice
+    part, at, rank, shelf, plan_row = (unused(pieces, c) for c in ("part", "at", "rank", "shelf", "plan"))
     ranged = stored(checked, "unpacked").repartitionByRange(partitions(spark), "length", F.xxhash64(*names)).sortWithinPartitions("length", *[c for c in names if c != "length"])
-    rows = stored(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "pieces")
-    runs = rows.groupBy("_part", "length").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    runs = runs.withColumn("_base", F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n") - F.col("_first"))
+    rows = stored(ranged.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()), "pieces")
+    runs = rows.groupBy(part, "length").agg(F.min(at).alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy(part)) - F.col("n") - F.col("first")
+    step = F.sum("n").over(Window.partitionBy("length")) / SHELVES
+    runs = runs.select(part, "length", before.alias(rank), F.ceil(step).cast("long").alias(shelf))
     counts = {int(r["length"]): r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
 
-    places, sequence, rank = [], 0, dict.fromkeys(counts, 0)
+    # a length's places, filed under the stretches of ranks that they lie in
+    places, sequence, filled = [], 0, dict.fromkeys(counts, 0)
     for pattern, times in bin_completion(counts, capacity):
-        at = 0
+        offset = 0
         for length, each in pattern:
-            places.append((length, rank[length], rank[length] + each * times, sequence, each, at))
-            rank[length] += each * times
-            at += each * length
+            since, until, width = filled[length], filled[length] + each * times, -(-counts[length] // SHELVES)
+            places += [(length, i, (since, until, sequence, each, offset)) for i in range(since // width, (until - 1) // width + 1)]
+            filled[length] = until
+            offset += each * length
         sequence += times
-    plan = spark.createDataFrame(places, "_length long, _from long, _to long, _sequence long, _each long, _offset long")
-    ranked = rows.join(runs.select("_part", "length", "_base"), ["_part", "length"]).withColumn("_rank", F.col("_at") + F.col("_base"))
-    placed = ranked.join(F.broadcast(plan), F.expr("length = _length and _rank >= _from and _rank < _to"))
-    return placed.select(*names, F.expr("_sequence + (_rank - _from) div _each").alias("sequence_id"), F.expr("_offset + (_rank - _from) % _each * length").alias("offset"))
+    plan = spark.createDataFrame(places, f"length int, {shelf} long, {plan_row} struct<since long, until long, sequence long, each long, offset long>").withColumn("length", F.col("length").cast(pieces.schema["length"].dataType))
+    ranked = rows.join(runs, [part, "length"]).withColumn(rank, F.col(at) + F.col(rank)).withColumn(shelf, F.expr(f"{rank} div {shelf}"))
+    found = ranked.join(F.broadcast(plan), ["length", shelf]).where(f"{rank} >= {plan_row}.since and {rank} < {plan_row}.until")
+    return found.select(*names, F.expr(f"{plan_row}.sequence + ({rank} - {plan_row}.since) div {plan_row}.each").alias("sequence_id"), F.expr(f"{plan_row}.offset + ({rank} - {plan_row}.since) % {plan_row}.each * length").alias("offset"))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, ids: bool = False, remember: int = REMEMBER, keep: bool = True) -> DataFrame:
