@@ -29,6 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, whose session now sends Python at most ``rows`` rows at a time where it has Spark's own 10,000: texts are long, and the JVM,
+    its pipes and the worker hold a batch each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

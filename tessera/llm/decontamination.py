@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored, texts
+from ._common import bounded_batches, stored, texts
 
 WORDS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 K1, B = 1.2, 0.75
@@ -179,7 +179,7 @@ def indexes(items: DataFrame, slice_items: int = 20_000, **options) -> Iterator[
 
     Statistics and the passages' width are of the whole table, so a score doesn't depend on the slices.
     """
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    rows = bounded_batches(items).select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     n = -(-rows.count() // slice_items)
     if n > 1:  # dealt once, repeated items too
         rows = stored(rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text", F.monotonically_increasing_id()), F.lit(n))), "items")

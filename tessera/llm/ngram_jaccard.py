@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bloom_of, ceil_share, partitions, salted_join, stored, texts, unused
+from ._common import bloom_of, bounded_batches, ceil_share, partitions, salted_join, stored, texts, unused
 from .graph import connected_components
 
 #: Minimum hashes of a set, and how many two sets must share to be compared while groups are made.
@@ -353,7 +353,7 @@ def _opened(members: DataFrame, asked: DataFrame, sets: DataFrame, k: int, perce
 def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """``doc_id, text_key, n, sid, component`` of every row; component names a group of nodes, or a row without words."""
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    source = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     run, schema = _summaries(k)
     all_rows = stored(source.mapInArrow(run, schema), "shingles")
     rows = all_rows.where("kind = 0")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import partitions, stored, unused
+from ._common import bounded_batches, partitions, stored, unused
 from .tokenizing import encoder, forget
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many of it), and so on
@@ -234,7 +234,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
             forget()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, ids: bool = False, remember: int = REMEMBER, keep: bool = True) -> DataFrame:

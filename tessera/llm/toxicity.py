@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_bucket, texts
+from ._common import bounded_batches, crc_bucket, texts
 
 WORDS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 DISCOUNT, SYMBOLS = 0.75, 1 << 16
@@ -234,7 +234,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 10_000,
     the sample is kept from the counts for the curve, which weighs classes as all labels have them. All grams of
     the sample are the model. Without texts of both classes every score is the share of toxic labels.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     marked = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picked = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
