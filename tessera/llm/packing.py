@@ -23,8 +23,6 @@ Pattern = tuple[tuple[int, int], ...]  # (length, how many of it), and so on
 Plan = list[tuple[Pattern, int]]  # a pattern, and how many sequences have it
 #: Word pieces that a worker remembers.
 REMEMBER = 800_000
-#: Stretches of ranks that a length's places are filed under.
-SHELVES = 32
 
 
 def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
@@ -186,23 +184,26 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     rows = stored(ranged.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()), "pieces")
     runs = rows.groupBy(part, "length").agg(F.min(at).alias("first"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy(part)) - F.col("n") - F.col("first")
-    step = F.sum("n").over(Window.partitionBy("length")) / SHELVES
-    runs = runs.select(part, "length", before.alias(rank), F.ceil(step).cast("long").alias(shelf))
+    runs = runs.select(part, "length", before.alias(rank))
     counts = {int(r["length"]): r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
 
-    # a length's places, filed under the stretches of ranks that they lie in
-    places, sequence, filled = [], 0, dict.fromkeys(counts, 0)
+    # a length's places, filed under stretches of ranks, as many as it has places
+    places: dict[int, list[tuple]] = {x: [] for x in counts}
+    sequence, filled = 0, dict.fromkeys(counts, 0)
     for pattern, times in bin_completion(counts, capacity):
         offset = 0
         for length, each in pattern:
-            since, until, width = filled[length], filled[length] + each * times, -(-counts[length] // SHELVES)
-            places += [(length, i, (since, until, sequence, each, offset)) for i in range(since // width, (until - 1) // width + 1)]
-            filled[length] = until
+            places[length].append((filled[length], filled[length] + each * times, sequence, each, offset))
+            filled[length] += each * times
             offset += each * length
         sequence += times
-    plan = spark.createDataFrame(places, f"length int, {shelf} long, {plan_row} struct<since long, until long, sequence long, each long, offset long>").withColumn("length", F.col("length").cast(pieces.schema["length"].dataType))
+    widths = {x: -(-counts[x] // len(found)) for x, found in places.items()}
+    filed = [(x, i, widths[x], p) for x, found in places.items() for p in found for i in range(p[0] // widths[x], (p[1] - 1) // widths[x] + 1)]
+    kind = pieces.schema["length"].dataType
+    plan = spark.createDataFrame(filed, f"length int, {shelf} long, width long, {plan_row} struct<since long, until long, sequence long, each long, offset long>").withColumn("length", F.col("length").cast(kind))
+    runs = runs.join(F.broadcast(plan.select("length", F.col("width").alias(shelf)).distinct()), "length")
     ranked = rows.join(runs, [part, "length"]).withColumn(rank, F.col(at) + F.col(rank)).withColumn(shelf, F.expr(f"{rank} div {shelf}"))
-    found = ranked.join(F.broadcast(plan), ["length", shelf]).where(f"{rank} >= {plan_row}.since and {rank} < {plan_row}.until")
+    found = ranked.join(F.broadcast(plan.drop("width")), ["length", shelf]).where(f"{rank} >= {plan_row}.since and {rank} < {plan_row}.until")
     return found.select(*names, F.expr(f"{plan_row}.sequence + ({rank} - {plan_row}.since) div {plan_row}.each").alias("sequence_id"), F.expr(f"{plan_row}.offset + ({rank} - {plan_row}.since) % {plan_row}.each * length").alias("offset"))
 
 
