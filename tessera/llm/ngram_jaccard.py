@@ -423,3 +423,19 @@ def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFra
     blank = F.coalesce(~F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(True))
     keyed = docs.where(~blank).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
     return docs.where(blank).unionByName(keyed.join(pick, key, "left_semi").dropDuplicates([key]).select(*docs.columns))
+
+
+#: ``ngram_jaccard_components`` in DuckDB's SQL: all pairs that share a shingle are counted.
+ORACLE_SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), shingles as (
+  select doc_id, unnest(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [hash(array_to_string(w, ' '))] else [] end)) as s from words
+), sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as m from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join sizes x on a = x.doc_id join sizes y on b = y.doc_id where 100 * m >= 75 * (x.n + y.n - m)),
+ways as (select a, b from links union all select b, a from links),
+reach as (select a as node, b as other from ways union select r.node, l.b from reach r join ways l on r.other = l.a),
+lowest as (select node, min(other) as c from reach group by node)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) as component_id
+from documents d left join sizes s on d.doc_id = s.doc_id left join lowest l on d.doc_id = l.node"""

@@ -7,12 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, toxicity, url_filter, warc
+from . import embedding_dedup, ngram_jaccard, toxicity, url_filter, warc
 from ._common import table
 from .decontamination import contaminated_passages
 from .license_scan import scan_licenses
 from .lm_scoring import score_documents
-from .ngram_jaccard import ngram_jaccard_components
 from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
 
@@ -56,7 +55,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_components(table(spark, sf_dir, "documents"))
+    return ngram_jaccard.ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -64,4 +63,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": embedding_dedup.ORACLE_SQL, "op4_url_filter": url_filter.oracle()}
+    return {
+        "op1_embedding_near_dedup": embedding_dedup.ORACLE_SQL,
+        "op4_url_filter": url_filter.oracle(),
+        "op9_warc": warc.ORACLE_SQL,
+        "op10_ngram_jaccard_join": ngram_jaccard.ORACLE_SQL,
+    }

@@ -250,3 +250,13 @@ def read_warc(archives: DataFrame, range_bytes: int = RANGE_BYTES, payload: bool
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """What the archives of ``pages`` hold when read back."""
     return read_warc(write_warc(pages)).drop("url")
+
+
+#: What ``round_trip`` gives in DuckDB's SQL; five hexadecimal digits are four of base32.
+ORACLE_SQL = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+d as (select *, upper(sha1(body)) as h, min(page_id) over (partition by body) as least from p)
+select page_id, octet_length(encode(body))::bigint as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (i // 4 * 5 + 1)::int, 5))::bigint >> (15 - i % 4 * 5)) & 31) + 1)::int, 1)), '') as payload_digest,
+  case when page_id = least then 'response' else 'revisit' end as record_type, case when page_id <> least then least end as refers_to
+from d"""
