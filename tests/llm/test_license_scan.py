@@ -2,7 +2,7 @@ import random
 
 import regex
 
-from tessera.llm.license_scan import BASE, evaluate, parse_expression, scan_licenses
+from tessera.llm.license_scan import BASE, NOTICES, evaluate, parse_expression, scan_licenses
 
 
 def brute(text):
@@ -43,5 +43,33 @@ def test_tags_and_notices(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_only_identifiers_are_labels(spark):
+    assert parse_expression("mit and then some prose") == ["mit"]
+    assert parse_expression("mit or gpl-2.0+ and nothing else") == ["mit", "gpl-2.0+", "or"]
+    assert parse_expression("unknown words here") is None
+    assert parse_expression("licenseref-own or (mit and prose") is None
+    assert parse_expression("licenseref-own or lgpl-2.1-or-later") == ["licenseref-own", "lgpl-2.1-or-later", "or"]
+    docs = spark.createDataFrame([(1, "SPDX-License-Identifier: acme or mit\nacme notice")], "doc_id long, text string")
+    assert scan_licenses(docs).first().labels == ""
+    assert scan_licenses(docs, {"acme notice": "acme"}, frozenset({"acme", "mit"})).first().labels == "acme,mit"
+
+
+def brute_all(text):
+    """All of a text's columns, phrase by phrase, for texts without tags."""
+    low = "".join(c.lower() if c.isascii() else c for c in text or "")
+    words = regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    count = lambda phrase: sum(words[i : i + len(phrase.split())] == phrase.split() for i in range(len(words)))
+    found = [(p, x, count(p)) for p, x in [*BASE.items(), *NOTICES.items()]]
+    return ",".join(sorted({x for _, x, n in found if n})), 1 - 0.5 ** sum(n for *_, n in found)
+
+
+def test_labels_and_scores_against_brute_force(spark):
+    rnd = random.Random(4)
+    bits = [*BASE, *NOTICES, "gnu", "version", "2", "cc by", "4.0", "Public-Domain", "word"]
+    rows = [(i, " ".join(rnd.choice(bits) for _ in range(rnd.randrange(12)))) for i in range(300)]
+    got = {r.doc_id: (r.labels, r.score) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: brute_all(t) for i, t in rows}
+
+
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
