@@ -98,7 +98,6 @@ def most_urgent_hazard(spark, d):
 shared("p1_ndwi", "select t, r, c, round(case when green + nir > 0 then (green - nir) / (green + nir) end, 9) as ndwi, round((green - nir) / (green + nir + 0.000001), 9) as ndwi_eps from fx_pixel")
 shared("p2_boa_offset", """select p.t, p.r, p.c, round(cast(greatest(p.green - coalesce(s.boa_offset, case when s.date >= date '1998-01-25' then 1000 else 0 end), 1) as double), 9) as green
   from fx_pixel p join fx_scene s on p.t = s.t""")
-shared("p10_utm_zone", "select id, cast(floor((x / 10 - 100 + 180) / 6) as int) + 1 as zone from fx_naip")
 shared("p12_local_projection", """select id, round(radians(x / 1000) * 6378137 * cos(radians(45.0)), 6) as px, round(radians(y / 1000) * 6378137, 6) as py,
   round(degrees(radians(x / 1000) * 6378137 * cos(radians(45.0)) / (6378137 * cos(radians(45.0)))) * 1000, 6) as back_x from fx_naip""")
 shared("p13_haversine", """select a.id, b.id as ref_id, round(2 * 6371000 * asin(sqrt(power(sin(radians(b.y - a.y) / 2000), 2)
@@ -200,8 +199,6 @@ shared("a29_coverage", "select count(distinct (cast(floor(x / 5) as bigint) * 10
 shared("a31_block_min", "select cast(floor(r / 4.0) as bigint) as br, cast(floor(c / 4.0) as bigint) as bc, min(ft) as ft from fx_grid group by 1, 2")
 shared("a33_flag_clusters", "select cast(floor(x / 40) as bigint) as cx, cast(floor(y / 40) as bigint) as cy, count(*) as n, count(distinct reporter) as reporters, min(accuracy) as best, max(t) as newest from fx_flag where status = 'pending' group by 1, 2")
 shared("a4_stage_cuts", f"with s as (select t, sum(case when valid and {_NDWI} >= 0 then 1 else 0 end) / cast(greatest(sum(case when valid then 1 else 0 end), 1) as double) as stage from fx_pixel group by t), q as (select percentile_cont(0.3) within group (order by stage) as lo, percentile_cont(0.7) within group (order by stage) as hi from s) select t, stage <= lo as low, stage >= hi as high from s cross join q")
-shared("a22_depth_regression", "select round(regr_slope(depth_ft, x), 6) as slope, round(regr_intercept(depth_ft, x), 6) as intercept, round(corr(depth_ft, x), 6) as r from fx_sounding")
-shared("a18_ring_core_stats", "select cast(floor(id / 10.0) as bigint) as chip, avg(case when id % 10 < 3 then area_m2 end) as core, avg(case when id % 10 >= 3 then area_m2 end) as ring, round(coalesce(nullif(stddev_pop(case when id % 10 >= 3 then area_m2 end), 0), 1.0), 9) as sd from fx_naip group by 1")
 
 _OTSU = f"""
 with v as (select t as g, {_NDWI} as v from fx_pixel where valid and {_NDWI} is not null),
@@ -259,16 +256,10 @@ def _a34(spark, d):
     return trajectory.strongest_claims(points)
 
 
-shared("w2_gap_runs", """with s as (select x, case when x - lag(x) over (order by x, id) > 12 then 1 else 0 end as cut from fx_sounding),
-g as (select x, sum(cut) over (order by x rows between unbounded preceding and current row) as run from (select distinct x, max(cut) over (partition by x) as cut from s) u)
-select run, count(*) as n, min(x) as lo, max(x) as hi from g group by run""")
-shared("w4_speed_heading", """select seq, trip, case when t_ms - lag(t_ms) over w > 0 then round(sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)) / (t_ms - lag(t_ms) over w), 9) end as v,
-  case when sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)) > 3 then round(atan2(y - lag(y) over w, x - lag(x) over w), 9) end as course from fx_fix window w as (partition by trip order by t_ms, seq)""")
 shared("w7_flight_rank", "select year, n, row_number() over (order by n desc, year) as rank, round(greatest(0.15, n / cast(max(n) over () as double)), 3) as weight from (select year, count(*) as n from fx_vote group by year) v")
 shared("w13_recent_history", "select seq, trip from (select seq, trip, row_number() over (partition by trip order by t_ms desc, seq desc) as rn from fx_fix) f where rn <= 50")
 shared("o2_review_queue", "select cx, cy, row_number() over (order by reporters desc, n desc, coalesce(best, 999), newest desc, cx, cy) as place from (select cast(floor(x / 40) as bigint) as cx, cast(floor(y / 40) as bigint) as cy, count(*) as n, count(distinct reporter) as reporters, min(accuracy) as best, max(t) as newest from fx_flag where status = 'pending' group by 1, 2) g")
 shared("o4_sections_by_count", "select sx, sy, row_number() over (order by n desc, sx, sy) - 1 as id from (select cast(floor(x / 400) as bigint) as sx, cast(floor(y / 400) as bigint) as sy, count(*) as n from fx_naip group by 1, 2) s")
-shared("o5_top_surprises", "select id, score from (select id, area_m2 * flights as score, row_number() over (order by area_m2 * flights desc, id) as rn from fx_naip) s where rn <= 120")
 shared("u1_evidence_union", """select 'sentinel' as source, id, cls, cast(null as double) as area_m2, cast(null as double) as dry_frac from fx_sentinel
   union all select 'naip', id, cls, area_m2, null from fx_naip union all select 'bright', id, null, area_m2, dry_frac from fx_bright
   union all select 'human', id, kind, null, null from fx_ref union all select 'buoy', id, null, null, null from fx_buoy""")
@@ -293,8 +284,6 @@ def _r1(spark, d):
     return out.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
-shared("r3_gradient", "select a.r, a.c, round(sqrt(power((e.ft - w.ft) / 2, 2) + power((n.ft - s.ft) / 2, 2)), 6) as g from fx_grid a join fx_grid e on a.r = e.r and a.c + 1 = e.c join fx_grid w on a.r = w.r and a.c - 1 = w.c join fx_grid n on a.r + 1 = n.r and a.c = n.c join fx_grid s on a.r - 1 = s.r and a.c = s.c")
-shared("r4_median_filter", "select r, c, median(ft) as ft from (select v.r + dr as r, v.c + dc as c, v.ft from fx_grid v cross join (select -1 as dr union all select 0 union all select 1) a cross join (select -1 as dc union all select 0 union all select 1) b) u group by r, c")
 shared("r17_resample_average", "select cast(floor(r / 3.0) as bigint) as r, cast(floor(c / 3.0) as bigint) as c, round(avg(ft), 9) as ft from fx_grid group by 1, 2")
 
 

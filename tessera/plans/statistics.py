@@ -8,7 +8,6 @@ shared("f1_scene_pushdown", "select o_orderkey as id, o_totalprice as price from
 shared("f2_season", "select o_orderkey as id, month(o_orderdate) as m from orders where month(o_orderdate) in (6, 7, 8, 9, 10)")
 shared("f3_year_window", "select o_orderkey as id from orders where year(o_orderdate) >= 1995 and o_orderdate < date '1997-01-01'")
 shared("f4_scene_validity", "select t, avg(cast(case when valid then 1 else 0 end as double)) as valid_share from fx_pixel group by t having avg(cast(case when valid then 1 else 0 end as double)) >= 0.5")
-shared("f5_scene_gate", "select t, date, usable from fx_scene where usable >= 0.65 and (select count(*) from fx_scene) >= 5")
 shared("f6_trusted_months", "select t, date from fx_scene where month(date) in (7, 8) and usable > 0.6")
 shared("f7_pixel_validity", "select t, count(*) as n from fx_pixel where valid and green is not null and nir is not null and green + nir > 0 group by t")
 shared("f10_bbox_prefilter", "select id from fx_sounding where x between 500 and 1500 and y between 500 and 1500 and (x - 1000) * (x - 1000) + (y - 1000) * (y - 1000) <= 250000")
@@ -19,21 +18,13 @@ shared("f17_payload_bounds", "select trip, case when count(*) > 150 then 413 whe
 shared("f19_minimum_sample", "select cls, avg(area_m2) as area_m2 from fx_naip group by cls having count(*) >= 5")
 shared("f20_coverage_gate", "select t, avg(cast(case when nir > 100 then 1 else 0 end as double)) as got from fx_pixel group by t having avg(cast(case when nir > 100 then 1 else 0 end as double)) >= 0.3")
 shared("p3_clamp", "select t, r, c, round(cast(greatest(0.2, least(0.4, green)) as double), 9) as green from fx_pixel")
-shared("p4_baseline_tag", "select c_custkey as id, case when c_mktsegment >= 'FURNITURE' then 1 else 0 end as baseline from customer")
 shared("p5_luminance", "select t, r, c, round((green + nir + green) / 3, 9) as lum from fx_pixel")
-shared("p6_zscore", "select id, round((area_m2 - avg(area_m2) over ()) / nullif(stddev_pop(area_m2) over (), 0), 6) as z from fx_naip")
 shared("p7_stumpf_ratio", "select t, r, c, round(ln(greatest(nir, 1)) / nullif(ln(greatest(nir / 10, 1)), 0), 6) as ratio from fx_pixel")
 shared("p8_lyzenga", "select t, r, c, round(ln(greatest(nir - 50, 0.000001)), 6) as v from fx_pixel")
-shared("p14_label_normalise", "select distinct lower(replace(trim(c_mktsegment), ' ', '_')) as label from customer")
-shared("p15_safe_parse", "select event_id as id, try_cast(substr(event_type, 1, 1) as double) as v from events where try_cast(substr(event_type, 1, 1) as double) is null")
-shared("p23_tier", """select id, case when cls in ('island', 'exposed') then 'confirmed' when area_m2 % 11 >= 5 then 'likely' when cls = 'rock' then 'likely' else 'unverified' end as tier from fx_naip""")
-shared("p24_verify_verdict", "select id, case when area_m2 / 50 >= 0.9 then 'rock_confirmed' when flights >= 5 then 'shoal_confirmed' else 'open_water' end as verdict from fx_naip")
-shared("p25_signature_verdict", "select id, case when area_m2 % 7 >= 3 then 'dry' when area_m2 % 5 >= 2 then 'bottom' else 'invisible' end as verdict from fx_naip")
 shared("p26_flight_weight", "select year, round(greatest(0.15, n / cast(max(n) over () as double)), 3) as weight, case when n >= 0.8 * max(n) over () then 'CLEAR' when n >= 0.4 * max(n) over () then 'usable' else 'GLARY' end as verdict from (select year, count(*) as n from fx_vote group by year) v")
 shared("p34_depth_at_point", "select s.id, g.ft from fx_sounding s left join fx_grid g on cast(floor(s.x / 50 + 0.5) as bigint) = g.r and cast(floor(s.y / 40.06) as bigint) = g.c")
 shared("p38_pixel_affine", "select id, round((x - 12.5) / 0.6, 6) as px, round((2003 - y) / 0.6, 6) as py from fx_naip")
 shared("p42_lake_code", "select distinct upper(trim(c_mktsegment)) as code, length(trim(c_mktsegment)) between 4 and 12 as ok from customer")
-shared("p43_surprise_score", "select id, area_m2 + 12 * (flights - 2) + 4 * greatest(0, flights - 4) as score, case when flights > 4 then 'crowded' when area_m2 > 25 then 'rise' else 'passage' end as why from fx_naip")
 shared("p44_summary_text", "select cls, concat(cls, ': ', cast(count(*) as string)) as line from fx_naip group by cls")
 shared("p45_defaults", "select n.id, coalesce(f.status, 'unchecked') as verdict, coalesce(cast(f.accuracy as double), -1) as accuracy from fx_naip n left join fx_flag f on n.id = f.id")
 shared("j9_newest_scene", "select id, t from (select s.id, c.t, row_number() over (partition by s.id order by c.date desc) as rn from fx_sentinel s cross join fx_scene c where c.usable > 0.6 and s.x >= c.t * 200) m where rn = 1")
@@ -51,7 +42,6 @@ shared("a19_median_composite", "select r, c, median(nir) as nir, avg(cast(case w
 shared("a20_deep_baseline", "select t, percentile_cont(0.005) within group (order by nir) as deep, percentile_cont(0.02) within group (order by nir) as low from fx_pixel group by t")
 shared("a21_band_correlation", "select band, round(corr(depth_ft, x), 6) as r, count(*) as n from (select depth_ft, x, band, lo, hi from fx_sounding cross join (select 'shallow' as band, 0 as lo, 40 as hi union all select 'mid', 20, 80 union all select 'all', 0, 1000) b) s where depth_ft >= lo and depth_ft < hi group by band having count(*) >= 2")
 shared("a24_precision_recall_f1", "select tier, hit, n, coalesce(cast(2 * hit as double) / nullif(hit + n, 0), 0) as f1 from (select tier, sum(case when cls = 'rock' then 1 else 0 end) as hit, count(*) as n from fx_naip group by tier) t")
-shared("a25_upper_median", "select d as upper_median from (select area_m2 as d, row_number() over (order by area_m2) as rn, count(*) over () as n from fx_naip) r where rn = cast(floor(n / 2.0) as bigint) + 1")
 shared("a27_detection_ceiling", "select sum(case when area_m2 % 7 >= 3 or area_m2 % 5 >= 2 then 1 else 0 end) as seen, count(*) as covered, sum(case when area_m2 % 7 >= 3 or area_m2 % 5 >= 2 then 1 else 0 end) / cast(count(*) as double) as ceiling from fx_naip")
 shared("a32_reach_share", "select sum(case when ft > 25 then 1 else 0 end) as far, count(ft) as cells, max(ft) as hi from fx_grid")
 shared("a36_density", "select count(*) as n, count(*) / (1999 * 2003 / cast(1000000 as double)) as per_km2 from fx_naip")
@@ -65,15 +55,7 @@ shared("r20_threshold_sweep", "select dry, area, sum(case when dry_frac >= dry a
 shared("g8_track_length", "select trip, round(sum(sqrt(power(x - px, 2) + power(y - py, 2))), 4) as m from (select trip, x, y, lag(x) over (partition by trip order by t_ms, seq) as px, lag(y) over (partition by trip order by t_ms, seq) as py from fx_fix) f where px is not null group by trip")
 shared("g14_grid_index", "select cast(floor(x / 200) as bigint) as cx, cast(floor(y / 200) as bigint) as cy, count(*) as n, min(id) as first_id from fx_naip group by 1, 2")
 shared("n6_two_scopes", "select scope, count(*) as n, round(avg(area_m2), 6) as area_m2 from (select 'ALL' as scope, area_m2 from fx_naip union all select 'OFFSHORE', area_m2 from fx_naip where x > 50 and y > 50) s group by scope")
-shared("u2_swept_merge", "select cx, cy, max(t) as t, count(distinct src) as sources from (select cast(floor(x / 40) as bigint) as cx, cast(floor(y / 40) as bigint) as cy, t, reporter % 2 as src from fx_flag) s group by cx, cy")
 shared("u6_contour_levels", "select distinct cast(level as double) as level, level % 10 = 0 as major from (select floor(ft / 5) * 5 as level from fx_grid where ft is not null union all select floor(ft / 10) * 10 from fx_grid where ft is not null) l")
 shared("t10s_stale_cells", "select cast(floor(x / 5) as bigint) as cx, cast(floor(y / 5) as bigint) as cy, max(t_ms) as newest from fx_fix where accuracy <= 12 group by 1, 2 having max(t_ms) < (select max(t_ms) - 86400 from fx_fix)")
-# The coefficients of NOAA's low-precision solar position.
-shared("p9_solar_elevation", """select id, round(90 - degrees(acos(greatest(-1.0, least(1.0, sin(lat) * sin(decl) + cos(lat) * cos(decl) * cos(radians((15 * 60 + eq + 4 * (-70.0)) / 4 - 180)))))), 6) as elevation
-  from (select id, radians(cast(45 as double)) as lat,
-    229.18 * (0.000075 + 0.001868 * cos(f) - 0.032077 * sin(f) - 0.014615 * cos(2 * f) - 0.040849 * sin(2 * f)) as eq,
-    0.006918 - 0.399912 * cos(f) + 0.070257 * sin(f) - 0.006758 * cos(2 * f) + 0.000907 * sin(2 * f) - 0.002697 * cos(3 * f) + 0.00148 * sin(3 * f) as decl
-    from (select o_orderkey as id, 2 * pi() / 365 * (dayofyear(o_orderdate) - 1 + cast(3 as double) / 24) as f from orders) a) b""")
 shared("w12_grid_risers", "select a.r, a.c, a.ft - e.ft as riser_e, a.ft - n.ft as riser_n from fx_grid a join fx_grid e on a.r = e.r and a.c + 1 = e.c join fx_grid n on a.r + 1 = n.r and a.c = n.c where e.ft > a.ft or n.ft > a.ft")
 shared("t14s_boat_readout", "select f.seq, g.ft, round(f.speed * 1.943844, 6) as knots, case when g.ft is null then 'unknown' when g.ft > 25 then 'deep' else 'shallow' end as state from fx_fix f left join fx_grid g on cast(floor(f.x / 25) as bigint) = g.r and f.seq % 50 = g.c")
-shared("t5s_replayed_coverage", "select trip, count(*) as cells, min(first_t) as first_t from (select trip, cast(floor(x / 5) as bigint) as cx, cast(floor(y / 5) as bigint) as cy, min(t_ms) as first_t from fx_fix where accuracy <= 12 group by 1, 2, 3) c group by trip")

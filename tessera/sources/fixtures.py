@@ -61,6 +61,29 @@ FIXTURES = {
     "fx_vote": """
         select cast(o_custkey as bigint) as item, cast(year(o_orderdate) as bigint) as year, cast(round(o_totalprice * 100) as bigint) as cents, o_orderstatus = 'F' as bright
         from {orders}""",
+    "fx_hazard": """
+        select n.id, n.x, n.y, n.area_m2, n.flights, b.dry_frac,
+          case n.id % 6 when 0 then 'island' when 1 then 'exposed' when 2 then 'drawdown' when 3 then 'rock' else 'shoal' end as cls,
+          case n.id % 5 when 0 then 'both' when 1 then 'naip_only' when 2 then 'bright_only' when 3 then 'sentinel_only' else 'human_mapped' end as evidence,
+          cast(n.id % 29 as double) / 400 as land_frac, case when n.id % 7 <> 0 then cast(n.id % 11 as double) / 4 end as sigma,
+          cast(n.id % 17 as double) / 4 as z_nir, cast(n.id * 7 % 13 as double) / 4 as z_green
+        from {fx_naip} n left join {fx_bright} b on n.id = b.id""",
+    "fx_take": """
+        select cast(o_orderkey as bigint) as id, o_orderdate as date, cast(o_orderkey % 24 as double) + 0.25 as hour, cast(30 + o_custkey % 40 as double) as lat, cast(o_orderkey % 97 - 120 as double) as lon,
+          cast(o_orderkey % 101 as double) / 100 as usable, case o_orderkey % 4 when 0 then '05.09' when 1 then '02.14' when 2 then 'unknown' else '04.00' end as baseline
+        from {orders}""",
+    "fx_element": """
+        select cast(o_orderkey as bigint) as id, case when o_orderkey % 3 = 0 then 'node' else 'way' end as kind,
+          chr(123) || case o_orderkey % 7 when 0 then '"building":"yes"' when 1 then '"man_made":"pier","tourism":"x"' when 2 then '"leisure":"slipway","name":"ramp &amp; dock "'
+            when 3 then '"tourism":"camp_site"' when 4 then '"seamark:type":"rock","natural":"bare_rock"' when 5 then '"man_made":"mast"' else '' end || chr(125) as tags,
+          case when o_orderkey % 12 <> 0 then cast(o_custkey % 1800 as double) / 10 - 90 end as lon, case when o_orderkey % 12 <> 0 then cast(o_orderkey % 700 as double) / 10 end as lat,
+          case when o_orderkey % 2 = 0 then 3 else 4 end as corners, cast(o_custkey % 1800 as double) as x0, cast(o_orderkey % 700 as double) as y0
+        from {orders}""",
+    "fx_ring": """
+        select cast(s_suppkey as bigint) as id, v.ring, v.seq,
+          cast((7919 * cast(s_suppkey as bigint)) % 1999 as double) + (40 + s_suppkey % 50) * v.u as x, cast((10473 * cast(s_suppkey as bigint)) % 2003 as double) + (30 + s_suppkey % 40) * v.w as y
+        from {supplier} cross join (select 0 as ring, 0 as seq, cast(0.0 as double) as u, cast(0.0 as double) as w union all select 0, 1, 1.0, 0.125 union all select 0, 2, 1.25, 1.0 union all select 0, 3, 0.0, 0.875
+          union all select 1, 0, 0.25, 0.25 union all select 1, 1, 0.5, 0.25 union all select 1, 2, 0.25, 0.5) v""",
 }
 #: How the two dialects spell the parts that differ.
 SPARK = {"epoch": "unix_timestamp(ts)", "k": "get_json_object(props, '$.k')"}
