@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .spatial import segment_distance
@@ -23,7 +23,52 @@ def inside_and_shore(points: DataFrame, polygon: DataFrame) -> DataFrame:
     return each.groupBy("id").agg((F.sum(F.coalesce(crosses, F.lit(False)).cast("int")) % 2 == 1).alias("inside"), F.min(shore).alias("shore_m"))
 
 
-def area(polygon: DataFrame) -> DataFrame:
-    """``area``: the shell's shoelace area less the holes'."""
-    twice = polygon.groupBy("ring").agg(F.abs(F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0"))).alias("a"))
-    return twice.agg((F.sum(F.when(F.col("ring") == 0, F.col("a")).otherwise(-F.col("a"))) / 2).alias("area"))
+def ring_edges(vertices: DataFrame) -> DataFrame:
+    """``id, ring, seq, x0, y0, x1, y1`` of closed rings from ``vertices(id, ring, seq, x, y)``; ring 0 is the shell, others are holes."""
+    w = Window.partitionBy("id", "ring").orderBy("seq")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    then = F.coalesce(F.lead(F.struct("x", "y")).over(w), F.first(F.struct("x", "y")).over(whole))
+    return vertices.withColumn("_t", then).select("id", "ring", "seq", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("_t.x").alias("x1"), F.col("_t.y").alias("y1"))
+
+
+def measures(edges_: DataFrame) -> DataFrame:
+    """``id, area, perimeter, cx, cy`` of polygons: shoelace area and centroid of the shell less the holes, the shell's length."""
+    cross = F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")
+    ring = edges_.groupBy("id", "ring").agg(F.sum(cross).alias("a"), F.sum((F.col("x0") + F.col("x1")) * cross).alias("mx"), F.sum((F.col("y0") + F.col("y1")) * cross).alias("my"), F.sum(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("m"))
+    sign = F.when(F.col("ring") == 0, F.signum("a")).otherwise(-F.signum("a"))
+    total = ring.groupBy("id").agg(F.sum(sign * F.col("a")).alias("a"), F.sum(sign * F.col("mx")).alias("mx"), F.sum(sign * F.col("my")).alias("my"), F.max(F.when(F.col("ring") == 0, F.col("m"))).alias("perimeter"))
+    return total.select("id", (F.col("a") / 2).alias("area"), "perimeter", (F.col("mx") / (3 * F.col("a"))).alias("cx"), (F.col("my") / (3 * F.col("a"))).alias("cy"))
+
+
+def area_in_box(edges_: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
+    """``id, area`` of each polygon's part in the box: every edge's integral of its height over the box's floor, cut at the box's sides, signed by its direction."""
+    clip = lambda v, low, high: F.greatest(low, F.least(high, v))
+    xa, xb = clip(F.col("x0"), x0, x1), clip(F.col("x1"), x0, x1)
+    slope = (F.col("y1") - F.col("y0")) / F.nullif(F.col("x1") - F.col("x0"), F.lit(0.0))
+    ya, yb = F.col("y0") + slope * (xa - F.col("x0")), F.col("y0") + slope * (xb - F.col("x0"))
+    above = lambda y: F.when(y <= y0, 0.0).when(y <= y1, (y - y0) * (y - y0) / 2).otherwise((y1 - y0) * (y1 - y0) / 2 + (y - y1) * (y1 - y0))
+    height = F.when(F.abs(yb - ya) < 1e-9, clip(ya, y0, y1) - y0).otherwise((above(yb) - above(ya)) / F.when(F.abs(yb - ya) < 1e-9, 1.0).otherwise(yb - ya))
+    part = F.coalesce((xb - xa) * height, F.lit(0.0))
+    ring = edges_.groupBy("id", "ring").agg(F.abs(F.sum(part)).alias("a"))
+    return ring.groupBy("id").agg(F.sum(F.when(F.col("ring") == 0, F.col("a")).otherwise(-F.col("a"))).alias("area"))
+
+
+def polyline(spark: SparkSession, points: list[tuple[float, float]]) -> DataFrame:
+    """``id, seq, x, y`` of one line, as small as its text."""
+    return spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(points)], "id long, seq int, x double, y double")
+
+
+def densified(vertices: DataFrame, step: float) -> DataFrame:
+    """``id, k, x, y``: max(2, length / step) + 1 points evenly along each line of ``vertices(id, seq, x, y)``, both ends included.
+
+    A point at normalised length k / n lies on the segment whose stretch of length holds it; segments make their own points.
+    """
+    w = Window.partitionBy("id").orderBy("seq")
+    s = vertices.withColumn("x1", F.lead("x").over(w)).withColumn("y1", F.lead("y").over(w)).where("x1 is not null").withColumn("m", F.hypot(F.col("x1") - F.col("x"), F.col("y1") - F.col("y")))
+    s = s.withColumn("before", F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).join(s.groupBy("id").agg(F.sum("m").alias("total"), F.max("seq").alias("last")), "id")
+    s = s.withColumn("n", F.greatest(F.lit(2), F.floor(F.col("total") / step).cast("int"))).withColumn("unit", F.col("total") / F.col("n"))
+    first, after = F.ceil(F.col("before") / F.col("unit") - 1e-9).cast("int"), F.ceil((F.col("before") + F.col("m")) / F.col("unit") - 1e-9).cast("int") - 1
+    own = F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: (i >= first) & ((i <= after) | (F.col("seq") == F.col("last"))))
+    k = s.withColumn("k", F.explode(own))
+    along = (F.col("k") * F.col("unit") - F.col("before")) / F.col("m")
+    return k.select("id", "k", (F.col("x") + (F.col("x1") - F.col("x")) * along).alias("x"), (F.col("y") + (F.col("y1") - F.col("y")) * along).alias("y"))

@@ -33,10 +33,10 @@ def otsu_thresholds(values: DataFrame, group: str, value: str, bins: int = 512,
     return span.join(best, group, "left").select(group, F.when(F.col("n") >= least, F.col("cut")).alias("cut")).select(group, F.coalesce("cut", F.lit(fallback)).alias("threshold"))
 
 
-def window_mean_sd(cells: DataFrame, value: str, k: int, rows: int, cols: int) -> DataFrame:
-    """``r, c, n, mean, sd`` over the (2k+1)-square window, edges replicated; the variance is floored at 1e-6.
+def window_values(cells: DataFrame, value: str, k: int, rows: int, cols: int) -> DataFrame:
+    """``r, c, v``: every known value of each cell's (2k+1)-square window, edges replicated.
 
-    Each cell is sent to the windows that use it, as often as clamping repeats it, and windows are combining aggregates; null values don't count.
+    Each cell is sent to the windows that use it, as often as clamping repeats it; null values don't count.
     """
     d = list(range(-k, k + 1))
     targets = cells.where(F.col(value).isNotNull()).select("r", "c", F.col(value).alias("v"))
@@ -46,8 +46,14 @@ def window_mean_sd(cells: DataFrame, value: str, k: int, rows: int, cols: int) -
     ints = out.withColumn("r", F.col("r").cast("int")).withColumn("c", F.col("c").cast("int"))
     placed = ints.withColumn("wr", F.explode(span("r", rows))).withColumn("wc", F.explode(span("c", cols)))
     ok = (F.greatest(F.lit(0), F.least(F.lit(rows - 1), F.col("wr") + F.col("dr"))) == F.col("r")) & (F.greatest(F.lit(0), F.least(F.lit(cols - 1), F.col("wc") + F.col("dc"))) == F.col("c"))
-    agg = placed.where(ok).groupBy(F.col("wr").alias("r"), F.col("wc").alias("c")).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.avg(F.col("v") * F.col("v")).alias("sq"))
-    return agg.select("r", "c", "n", "mean", F.sqrt(F.greatest(F.lit(1e-6), F.col("sq") - F.col("mean") * F.col("mean"))).alias("sd"))
+    return placed.where(ok).select(F.col("wr").alias("r"), F.col("wc").alias("c"), "v")
+
+
+def window_mean_sd(cells: DataFrame, value: str, k: int, rows: int, cols: int) -> DataFrame:
+    """``r, c, n, mean, sd`` over the (2k+1)-square window; the variance is floored at 1e-6, and nothing is told of windows known to 5 % or less."""
+    agg = window_values(cells, value, k, rows, cols).groupBy("r", "c").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.avg(F.col("v") * F.col("v")).alias("sq"))
+    enough = F.col("n") > 0.05 * (2 * k + 1) ** 2
+    return agg.select("r", "c", "n", F.when(enough, F.col("mean")).alias("mean"), F.when(enough, F.sqrt(F.greatest(F.lit(1e-6), F.col("sq") - F.col("mean") * F.col("mean")))).alias("sd"))
 
 
 def marching_squares(grid: DataFrame, levels: list[float]) -> DataFrame:
@@ -67,3 +73,58 @@ def marching_squares(grid: DataFrame, levels: list[float]) -> DataFrame:
     seg = lambda a, b: "named_struct('x0', cast({} as double), 'y0', cast({} as double), 'x1', cast({} as double), 'y1', cast({} as double))".format(*point[a], *point[b])
     cases = " ".join(f"when {k} then array({', '.join(seg(v[i], v[i + 1]) for i in range(0, len(v), 2))})" for k, v in joins.items())
     return lv.withColumn("s", F.explode(F.expr(f"case code {cases} end"))).select("level", "r", "c", "s.x0", "s.y0", "s.x1", "s.y1")
+
+
+def gradient(cells: DataFrame, value: str) -> DataFrame:
+    """``r, c, g``: the gradient's magnitude, central differences inside, one-sided at the grid's borders; null beside an unknown value."""
+
+    def slope(part: str, along: str):
+        w = Window.partitionBy(part).orderBy(along)
+        here = F.struct(F.col(along).alias("at"), F.col(value).alias("v"))
+        after, before = F.lead(here).over(w), F.lag(here).over(w)
+        has_after, has_before = F.coalesce(after["at"] == F.col(along) + 1, F.lit(False)), F.coalesce(before["at"] == F.col(along) - 1, F.lit(False))
+        return F.when(has_after & has_before, (after["v"] - before["v"]) / 2).when(has_after, after["v"] - F.col(value)).when(has_before, F.col(value) - before["v"])
+
+    return cells.withColumn("_dc", slope("r", "c")).withColumn("_dr", slope("c", "r")).select("r", "c", F.sqrt(F.col("_dc") ** 2 + F.col("_dr") ** 2).alias("g")).where("g is not null")
+
+
+def smooth(cells: DataFrame, value: str, sigma: float) -> DataFrame:
+    """``r, c, v``: a Gaussian of the known values, cut at four sigmas, borders mirrored; weights are those of the known cells in reach.
+
+    Separable: each pass sends a cell to 2 * radius + 1 places along one axis, and places are combining sums.
+    """
+    radius = int(4 * sigma + 0.5)
+    size = cells.agg((F.max("r") + 1).alias("_rows"), (F.max("c") + 1).alias("_cols"))
+    now = cells.where(F.col(value).isNotNull()).select("r", "c", F.col(value).alias("_s"), F.lit(1.0).alias("_w")).join(F.broadcast(size))  # one row
+    for axis, length, other in (("r", "_rows", "c"), ("c", "_cols", "r")):
+        seen = F.explode(F.array(F.col(axis), -1 - F.col(axis), 2 * F.col(length) - 1 - F.col(axis)))  # itself and its two mirror images
+        sent = now.withColumn("_p", seen).where(F.col("_p").between(-radius, F.col(length) - 1 + radius))
+        sent = sent.withColumn("_to", F.explode(F.expr(f"sequence(greatest(0L, _p - {radius}), least({length} - 1, _p + {radius}))")))
+        g = F.exp(-((F.col("_to") - F.col("_p")) ** 2) / (2 * sigma * sigma))
+        now = sent.groupBy(F.col("_to").alias(axis), other, "_rows", "_cols").agg(F.sum(F.col("_s") * g).alias("_s"), F.sum(F.col("_w") * g).alias("_w"))
+    return now.select("r", "c", (F.col("_s") / F.col("_w")).alias("v"))
+
+
+def outlines(blobs: DataFrame) -> DataFrame:
+    """Directed boundary edges ``blob, x0, y0, x1, y1`` of ``blobs(r, c, blob)``, the blob on the left; an edge where the neighbour is of another blob or none."""
+    sides = [(0, 1, (1, 0), (1, 1)), (0, -1, (0, 1), (0, 0)), (1, 0, (1, 1), (0, 1)), (-1, 0, (0, 0), (1, 0))]  # neighbour's row and column, the edge's ends as x, y
+    each = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(a[0]).alias("ax"), F.lit(a[1]).alias("ay"), F.lit(b[0]).alias("bx"), F.lit(b[1]).alias("by")) for dr, dc, a, b in sides]))
+    sent = blobs.withColumn("s", each).select("blob", "r", "c", (F.col("r") + F.col("s.dr")).alias("nr"), (F.col("c") + F.col("s.dc")).alias("nc"), "s")
+    same = blobs.select("blob", F.col("r").alias("nr"), F.col("c").alias("nc"))
+    return sent.join(same, ["blob", "nr", "nc"], "left_anti").select("blob", (F.col("c") + F.col("s.ax")).alias("x0"), (F.col("r") + F.col("s.ay")).alias("y0"), (F.col("c") + F.col("s.bx")).alias("x1"), (F.col("r") + F.col("s.by")).alias("y1"))
+
+
+def equalised(pixels: DataFrame, group: str, value: str, knots: int = 129, blend: float = 0.5) -> DataFrame:
+    """Adds ``eq`` (rank by the group's quantile knots, linear between them) and ``mixed`` (blended with a stretch to the 99.9th percentile).
+
+    A group is summed up as an array of knots, made monotone by a running maximum; rows meet only that array.
+    """
+    at = [i / (knots - 1) for i in range(knots)]
+    k = pixels.groupBy(group).agg(F.percentile(value, F.array(*map(F.lit, at))).alias("_k"), F.percentile(value, F.lit(0.999)).alias("_top"))
+    k = k.withColumn("_k", F.transform("_k", lambda x, i: F.array_max(F.slice("_k", 1, i + 1))))
+    v = F.col(value)
+    below = F.size(F.filter("_k", lambda x: x <= v))  # knots up to the value
+    low, high = F.element_at("_k", F.greatest(below, F.lit(1))), F.element_at("_k", F.least(below + 1, F.lit(knots)))
+    eq = F.when(below == 0, 0.0).when(below >= knots, 1.0).otherwise((below - 1 + (v - low) / F.when(high > low, high - low).otherwise(1.0)) / (knots - 1))
+    out = pixels.join(F.broadcast(k), group).withColumn("eq", eq)  # an array for each group
+    return out.withColumn("mixed", blend * F.col("eq") + (1 - blend) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / F.greatest(F.col("_top"), F.lit(1e-6))))).drop("_k", "_top")

@@ -48,3 +48,48 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     length2 = dx * dx + dy * dy
     t = F.when(length2 == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / F.when(length2 == 0, 1.0).otherwise(length2))))
     return distance(px, py, ax + t * dx, ay + t * dy)
+
+
+def box_join(left: DataFrame, right: DataFrame, half: float) -> DataFrame:
+    """Pairs ``l_*``, ``r_*`` whose coordinates differ by ``half`` at most."""
+    pairs = distance_join(left, right, half * 2**0.5)
+    return pairs.where((F.abs(F.col("l_x") - F.col("r_x")) <= half) & (F.abs(F.col("l_y") - F.col("r_y")) <= half))
+
+
+def nearest(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
+    """``l_id, r_id, d``: each left row's nearest right row at any distance (ties: the smallest id); nothing if there is no right row.
+
+    Those with none within the radius try again with twice as much, so rows in dense parts meet near neighbours only and
+    few rows reach far; the last round's cells are as wide as the whole extent.
+    """
+    from ..functions.storage import kept
+
+    waiting, out = left.select("id", "x", "y"), None
+    if right.limit(1).count() == 0:
+        return waiting.select(F.col("id").alias("l_id"), F.col("id").alias("r_id"), F.lit(0.0).alias("d")).limit(0)
+    while True:
+        best = F.min_by(F.struct("r_id", "d"), F.struct("d", "r_id"))
+        found = kept(distance_join(waiting, right.select("id", "x", "y"), radius).groupBy("l_id").agg(best.alias("b")).select("l_id", "b.r_id", "b.d"), "nearest")
+        out = found if out is None else out.unionByName(found)
+        waiting = kept(waiting.join(found.select(F.col("l_id").alias("id")), "id", "left_anti"), "waiting")
+        if waiting.limit(1).count() == 0:
+            return out
+        radius *= 2
+
+
+def first_come(rows: DataFrame, radius: float) -> DataFrame:
+    """Rows in order of id, each kept unless a row kept before lies within the radius.
+
+    In rounds: a row none of whose earlier neighbours is undecided is kept if none of them was kept; each round settles at least the
+    smallest id of every cluster, most rows in the first rounds.
+    """
+    from ..functions.storage import kept
+
+    pairs = distance_join(rows.select("id", "x", "y"), rows.select("id", "x", "y"), radius).where("r_id < l_id").select(F.col("l_id").alias("id"), F.col("r_id").alias("earlier"))
+    pairs = kept(pairs, "earlier")
+    state = kept(rows.select("id", F.lit(None).cast("boolean").alias("keep")), "state")
+    while state.where("keep is null").limit(1).count():
+        seen = pairs.join(state.select(F.col("id").alias("earlier"), "keep"), "earlier").groupBy("id").agg(F.bool_or("keep").alias("blocked"), F.count_if(F.col("keep").isNull()).alias("open"))
+        decided = F.when(F.coalesce("blocked", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
+        state = kept(state.join(seen, "id", "left").select("id", F.coalesce("keep", decided).alias("keep")), "state")
+    return rows.join(state.where("keep").select("id"), "id", "left_semi")

@@ -154,11 +154,6 @@ def _j4(spark, d):
     return spatial.has_none_within(fixture(spark, d, "fx_bright").where("area_m2 >= 10"), fixture(spark, d, "fx_naip").where("area_m2 >= 10"), 15.0).select("id", "dry_frac")
 
 
-@built("j5_refs_not_yet_known", f"select a.id, a.kind from fx_ref a where not exists (select 1 from fx_naip b where {_PAIR} <= 15)")
-def _j5(spark, d):
-    return spatial.has_none_within(fixture(spark, d, "fx_ref"), fixture(spark, d, "fx_naip"), 15.0).select("id", "kind")
-
-
 @built("j7_recall_precision", f"""
 select (select count(*) from fx_ref a where exists (select 1 from fx_naip b where {_PAIR} <= 15)) as hit_refs, (select count(*) from fx_ref) as refs,
   (select count(*) from fx_naip a where exists (select 1 from fx_ref b where {_PAIR} <= 15)) as hit_dets, (select count(*) from fx_naip) as dets""")
@@ -197,7 +192,6 @@ shared("a15_depth_summary", "select min(depth_ft) as lo, median(depth_ft) as mid
 shared("a26_shallow_share", "select round(avg(cast(case when depth_ft < 10 then 1 else 0 end as double)), 9) as shallow, median(depth_ft) as mid from fx_sounding")
 shared("a29_coverage", "select count(distinct (cast(floor(x / 5) as bigint) * 1000000 + cast(floor(y / 5) as bigint))) as cells, count(distinct (cast(floor(x / 5) as bigint) * 1000000 + cast(floor(y / 5) as bigint))) * cast(25 as double) / 3000 as km_driven from fx_fix where accuracy <= 12")
 shared("a31_block_min", "select cast(floor(r / 4.0) as bigint) as br, cast(floor(c / 4.0) as bigint) as bc, min(ft) as ft from fx_grid group by 1, 2")
-shared("a33_flag_clusters", "select cast(floor(x / 40) as bigint) as cx, cast(floor(y / 40) as bigint) as cy, count(*) as n, count(distinct reporter) as reporters, min(accuracy) as best, max(t) as newest from fx_flag where status = 'pending' group by 1, 2")
 shared("a4_stage_cuts", f"with s as (select t, sum(case when valid and {_NDWI} >= 0 then 1 else 0 end) / cast(greatest(sum(case when valid then 1 else 0 end), 1) as double) as stage from fx_pixel group by t), q as (select percentile_cont(0.3) within group (order by stage) as lo, percentile_cont(0.7) within group (order by stage) as hi from s) select t, stage <= lo as low, stage >= hi as high from s cross join q")
 
 _OTSU = f"""
@@ -258,7 +252,6 @@ def _a34(spark, d):
 
 shared("w7_flight_rank", "select year, n, row_number() over (order by n desc, year) as rank, round(greatest(0.15, n / cast(max(n) over () as double)), 3) as weight from (select year, count(*) as n from fx_vote group by year) v")
 shared("w13_recent_history", "select seq, trip from (select seq, trip, row_number() over (partition by trip order by t_ms desc, seq desc) as rn from fx_fix) f where rn <= 50")
-shared("o2_review_queue", "select cx, cy, row_number() over (order by reporters desc, n desc, coalesce(best, 999), newest desc, cx, cy) as place from (select cast(floor(x / 40) as bigint) as cx, cast(floor(y / 40) as bigint) as cy, count(*) as n, count(distinct reporter) as reporters, min(accuracy) as best, max(t) as newest from fx_flag where status = 'pending' group by 1, 2) g")
 shared("o4_sections_by_count", "select sx, sy, row_number() over (order by n desc, sx, sy) - 1 as id from (select cast(floor(x / 400) as bigint) as sx, cast(floor(y / 400) as bigint) as sy, count(*) as n from fx_naip group by 1, 2) s")
 shared("u1_evidence_union", """select 'sentinel' as source, id, cls, cast(null as double) as area_m2, cast(null as double) as dry_frac from fx_sentinel
   union all select 'naip', id, cls, area_m2, null from fx_naip union all select 'bright', id, null, area_m2, dry_frac from fx_bright
@@ -276,7 +269,7 @@ shared("u9_set_difference", "select id from fx_naip except select id from fx_bri
 @built("r1_window_mean_sd", """
 with w as (select g.r as wr, g.c as wc, v.ft as v from fx_grid g cross join (select unnest(range(-2, 3)) as dr) a cross join (select unnest(range(-2, 3)) as dc) b
   join fx_grid v on v.r = greatest(0, least((select max(r) from fx_grid), g.r + dr)) and v.c = greatest(0, least(49, g.c + dc)) where v.ft is not null)
-select wr as r, wc as c, count(*) as n, round(avg(v), 6) as mean, round(sqrt(greatest(0.000001, avg(v * v) - avg(v) * avg(v))), 6) as sd from w group by wr, wc""")
+select wr as r, wc as c, count(*) as n, case when count(*) > 1.25 then round(avg(v), 6) end as mean, case when count(*) > 1.25 then round(sqrt(greatest(0.000001, avg(v * v) - avg(v) * avg(v))), 6) end as sd from w group by wr, wc""")
 def _r1(spark, d):
     grid = fixture(spark, d, "fx_grid")
     rows = grid.agg(F.max("r")).first()[0] + 1
@@ -331,9 +324,3 @@ def _j13(spark, d):
     centres = cells.select((F.col("sx") * 1000 + F.col("sy")).alias("id"), (F.col("sx") * 400 + 200.0).alias("x"), (F.col("sy") * 400 + 200.0).alias("y"))
     pairs = spatial.distance_join(centres, fixture(spark, d, "fx_sentinel"), 300.0)
     return pairs.groupBy(F.col("l_id").alias("id")).agg(F.countDistinct("r_cls").alias("kinds"), F.count("*").alias("n"))
-
-
-@built("j22_densest_neighbourhood", f"select a.id, count(*) as n from fx_naip a join fx_naip b on {_PAIR} <= 100 group by a.id")
-def _j22(spark, d):
-    naip = fixture(spark, d, "fx_naip").select("id", "x", "y")
-    return spatial.distance_join(naip, naip, 100.0).groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("n"))

@@ -27,7 +27,6 @@ shared("p38_pixel_affine", "select id, round((x - 12.5) / 0.6, 6) as px, round((
 shared("p42_lake_code", "select distinct upper(trim(c_mktsegment)) as code, length(trim(c_mktsegment)) between 4 and 12 as ok from customer")
 shared("p44_summary_text", "select cls, concat(cls, ': ', cast(count(*) as string)) as line from fx_naip group by cls")
 shared("p45_defaults", "select n.id, coalesce(f.status, 'unchecked') as verdict, coalesce(cast(f.accuracy as double), -1) as accuracy from fx_naip n left join fx_flag f on n.id = f.id")
-shared("j9_newest_scene", "select id, t from (select s.id, c.t, row_number() over (partition by s.id order by c.date desc) as rn from fx_sentinel s cross join fx_scene c where c.usable > 0.6 and s.x >= c.t * 200) m where rn = 1")
 shared("j10_sounding_window", "select s.id, median(g.ft) as mid, avg(g.ft) as mean from (select id, cast(floor(x / 50) as bigint) + dr as r, cast(floor(y / 41) as bigint) + dc as c from fx_sounding cross join (select -1 as dr union all select 0 union all select 1) a cross join (select -1 as dc union all select 0 union all select 1) b) s join fx_grid g on s.r = g.r and s.c = g.c group by s.id having count(g.ft) >= 5")
 shared("j14_reviewed_sections", "select cast(floor(n.x / 400) as bigint) as sx, cast(floor(n.y / 400) as bigint) as sy from fx_naip n join (select distinct id from fx_flag where reviewed_t is not null) f on n.id = f.id group by 1, 2")
 shared("j17_results_by_index", "select n.id, coalesce(b.dry_frac, -1.0) as dry_frac, case when b.id is null then 'unchecked' else 'checked' end as state from fx_naip n left join fx_bright b on n.id = b.id")
@@ -51,11 +50,9 @@ shared("o6_best_flights", "select year, n from (select year, n, row_number() ove
 shared("o9_latest_scene_wins", "select r, c, t, nir from (select r, c, t, nir, row_number() over (partition by r, c order by t desc) as rn from fx_pixel where valid) m where rn = 1")
 shared("r10_snapped_grid", "select id, floor(x / 30) * cast(30 as double) as gx, ceil(y / 30) * cast(30 as double) as gy from fx_naip")
 shared("r19_distance_bands", "select id, case when sqrt((x - 1000) * (x - 1000) + (y - 1000) * (y - 1000)) <= 200 then 'core' when sqrt((x - 1000) * (x - 1000) + (y - 1000) * (y - 1000)) <= 600 then 'ring' else 'out' end as band from fx_naip")
-shared("r20_threshold_sweep", "select dry, area, sum(case when dry_frac >= dry and area_m2 >= area then 1 else 0 end) as kept from fx_bright cross join (select cast(0.2 as double) as dry union all select cast(0.5 as double) union all select cast(0.8 as double)) a cross join (select 5 as area union all select 10 union all select 20 union all select 30) b group by dry, area")
 shared("g8_track_length", "select trip, round(sum(sqrt(power(x - px, 2) + power(y - py, 2))), 4) as m from (select trip, x, y, lag(x) over (partition by trip order by t_ms, seq) as px, lag(y) over (partition by trip order by t_ms, seq) as py from fx_fix) f where px is not null group by trip")
 shared("g14_grid_index", "select cast(floor(x / 200) as bigint) as cx, cast(floor(y / 200) as bigint) as cy, count(*) as n, min(id) as first_id from fx_naip group by 1, 2")
 shared("n6_two_scopes", "select scope, count(*) as n, round(avg(area_m2), 6) as area_m2 from (select 'ALL' as scope, area_m2 from fx_naip union all select 'OFFSHORE', area_m2 from fx_naip where x > 50 and y > 50) s group by scope")
 shared("u6_contour_levels", "select distinct cast(level as double) as level, level % 10 = 0 as major from (select floor(ft / 5) * 5 as level from fx_grid where ft is not null union all select floor(ft / 10) * 10 from fx_grid where ft is not null) l")
 shared("t10s_stale_cells", "select cast(floor(x / 5) as bigint) as cx, cast(floor(y / 5) as bigint) as cy, max(t_ms) as newest from fx_fix where accuracy <= 12 group by 1, 2 having max(t_ms) < (select max(t_ms) - 86400 from fx_fix)")
 shared("w12_grid_risers", "select a.r, a.c, a.ft - e.ft as riser_e, a.ft - n.ft as riser_n from fx_grid a join fx_grid e on a.r = e.r and a.c + 1 = e.c join fx_grid n on a.r + 1 = n.r and a.c = n.c where e.ft > a.ft or n.ft > a.ft")
-shared("t14s_boat_readout", "select f.seq, g.ft, round(f.speed * 1.943844, 6) as knots, case when g.ft is null then 'unknown' when g.ft > 25 then 'deep' else 'shallow' end as state from fx_fix f left join fx_grid g on cast(floor(f.x / 25) as bigint) = g.r and f.seq % 50 = g.c")
