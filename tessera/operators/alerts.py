@@ -61,3 +61,10 @@ def most_urgent(hits: DataFrame) -> DataFrame:
     """The first hit of each fix by time to contact, severity, confirmation, range and id, with its alert level."""
     w = Window.partitionBy("seq").orderBy("ttc", F.desc("severity"), F.desc("confirmed"), "range_m", "hazard_id")
     return hits.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn").withColumn("level", alert_level(F.col("range_m"), F.col("ttc")))
+
+
+def held_alerts(levels: DataFrame, hold: int = 4000) -> DataFrame:
+    """Adds ``shown`` to ``levels(trip, t_ms, seq, level)``: a clear level within ``hold`` of the trip's last other level still shows caution."""
+    w = Window.partitionBy("trip").orderBy("t_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("level") != "clear", F.col("t_ms")), ignorenulls=True).over(w)
+    return levels.withColumn("shown", F.when(F.col("level") != "clear", F.col("level")).when(F.col("t_ms") - last < hold, "caution").otherwise("clear"))

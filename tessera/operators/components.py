@@ -27,3 +27,19 @@ def grid_components(cells: DataFrame, width: int) -> DataFrame:
         if total == mark:
             return now.select("r", "c", F.col("label").alias("blob"))
         mark = total
+
+
+def lines_of(ways: DataFrame) -> DataFrame:
+    """``id, line`` of ``ways(id, a, b)``: ways that share an end, whichever way round, are one line, named by its smallest id."""
+    ends = kept(ways.select("id", F.explode(F.array("a", "b")).alias("p")), "ends")
+    now = kept(ways.select("id", F.col("id").alias("line")), "lines")
+    mark = None
+    while True:
+        at = ends.join(now, "id").groupBy("p").agg(F.min("line").alias("low"))
+        low = ends.join(at, "p").groupBy("id").agg(F.min("low").alias("low"))
+        sunk = kept(now.join(low, "id").select("id", F.least("line", "low").alias("line")), "sunk")
+        now = kept(sunk.join(sunk.select(F.col("id").alias("line"), F.col("line").alias("far")), "line", "left").select("id", F.coalesce("far", "line").alias("line")), "lines")
+        total = now.agg(F.sum("line")).first()[0]
+        if total == mark:
+            return now
+        mark = total

@@ -58,3 +58,43 @@ def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
     at = r"<coordinates>\s*([-0-9.]+),([-0-9.]+)"
     found = marks.where(F.col("text").rlike(at))
     return found.select("file", F.regexp_extract("text", at, 1).cast("double").alias("lon"), F.regexp_extract("text", at, 2).cast("double").alias("lat"), "text")
+
+
+def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """As ``read_points`` for features a line each, as ``write_points`` leaves them."""
+    read = spark.read.schema(f"type string, geometry struct<type:string,coordinates:array<double>>, properties {properties}").json(path)
+    return read.select(F.get(F.col("geometry.coordinates"), F.lit(0)).alias("x"), F.get(F.col("geometry.coordinates"), F.lit(1)).alias("y"), "properties.*")
+
+
+def read_polygons(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """``rings`` (arrays of points, the shell first) and the named properties of GeoJSON polygon features, a line each."""
+    read = spark.read.schema(f"type string, geometry struct<type:string,coordinates:array<array<array<double>>>>, properties {properties}").json(path)
+    return read.where("geometry.type = 'Polygon'").select(F.col("geometry.coordinates").alias("rings"), "properties.*")
+
+
+def read_elements(spark: SparkSession, path: str) -> DataFrame:
+    """``id, type, tags, lat, lon`` of map elements from documents ``{"elements": [...]}``, a line each; tags are a map."""
+    read = spark.read.schema("elements array<struct<id:long,type:string,tags:map<string,string>,lat:double,lon:double>>").json(path)
+    return read.select(F.explode("elements").alias("e")).select("e.*")
+
+
+def first_existing(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The first of several parquet tables that exists."""
+    for path in paths:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    raise FileNotFoundError(", ".join(paths))
+
+
+def whitelisted(rows: DataFrame, path: str) -> DataFrame:
+    """The rows whose id the parquet table at ``path`` lists; all of them if there is no such table."""
+    try:
+        ids = rows.sparkSession.read.parquet(path).select("id")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return rows
+    return rows.join(ids, "id", "left_semi")
