@@ -72,3 +72,27 @@ def densified(vertices: DataFrame, step: float) -> DataFrame:
     k = s.withColumn("k", F.explode(own))
     along = (F.col("k") * F.col("unit") - F.col("before")) / F.col("m")
     return k.select("id", "k", (F.col("x") + (F.col("x1") - F.col("x")) * along).alias("x"), (F.col("y") + (F.col("y1") - F.col("y")) * along).alias("y"))
+
+
+def placed_along(vertices: DataFrame, every: float) -> DataFrame:
+    """``id, k, x, y``: points each ``every`` of length along the lines of ``vertices(id, seq, x, y)``, from the start and short of the end.
+
+    A segment places those whose length falls on it, so a line's points are made where its segments are. Segments without length place none.
+    """
+    w = Window.partitionBy("id").orderBy("seq")
+    s = vertices.withColumn("x1", F.lead("x").over(w)).withColumn("y1", F.lead("y").over(w)).where("x1 is not null").withColumn("m", F.hypot(F.col("x1") - F.col("x"), F.col("y1") - F.col("y")))
+    s = s.withColumn("before", F.coalesce(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).where("m > 0")
+    first, after = F.ceil(F.col("before") / every).cast("int"), F.ceil((F.col("before") + F.col("m")) / every).cast("int")
+    k = s.where(after > first).withColumn("k", F.explode(F.sequence(first, after - 1)))
+    along = (F.col("k") * every - F.col("before")) / F.col("m")
+    return k.select("id", "k", (F.col("x") + (F.col("x1") - F.col("x")) * along).alias("x"), (F.col("y") + (F.col("y1") - F.col("y")) * along).alias("y"))
+
+
+def representative_points(edges_: DataFrame) -> DataFrame:
+    """``id, x, y``: a point inside each polygon, the middle of the widest stretch that half its shell's height has inside it; holes are left out."""
+    middle = edges_.where("ring = 0").groupBy("id").agg(((F.min("y0") + F.max("y0")) / 2).alias("y"))
+    met = edges_.join(middle, "id").where((F.col("y0") > F.col("y")) != (F.col("y1") > F.col("y")))
+    met = met.select("id", "y", (F.col("x0") + (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))).alias("x"))
+    w = Window.partitionBy("id").orderBy("x")
+    stretch = met.withColumn("to", F.lead("x").over(w)).withColumn("n", F.row_number().over(w)).where("n % 2 = 1 and to is not null")
+    return stretch.groupBy("id").agg(F.max_by((F.col("x") + F.col("to")) / 2, F.struct(F.col("to") - F.col("x"), -F.col("x"))).alias("x"), F.first("y").alias("y"))

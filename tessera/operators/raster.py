@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import kept
+
 
 def ndwi(green: Column, nir: Column) -> Column:
     return F.when(green + nir > 0, (green - nir) / F.when(green + nir > 0, green + nir).otherwise(1.0))
@@ -128,3 +130,45 @@ def equalised(pixels: DataFrame, group: str, value: str, knots: int = 129, blend
     eq = F.when(below == 0, 0.0).when(below >= knots, 1.0).otherwise((below - 1 + (v - low) / F.when(high > low, high - low).otherwise(1.0)) / (knots - 1))
     out = pixels.join(F.broadcast(k), group).withColumn("eq", eq)  # an array for each group
     return out.withColumn("mixed", blend * F.col("eq") + (1 - blend) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / F.greatest(F.col("_top"), F.lit(1e-6))))).drop("_k", "_top")
+
+
+def polylines(segments: DataFrame, keys: float) -> DataFrame:
+    """``level, line, pos, x, y, step, closed``: contour segments chained to lines of more than two points, in order.
+
+    Ends within 1 / ``keys`` (after rounding) are one point; ``step`` is the distance from the point before, null at the first. Segments have the
+    inside on their right, so each leads to one next; where several begin at a point, the one of the smallest cell is next and the others begin
+    lines of their own. Positions come by pointer jumping over all segments: rounds grow with the logarithm of the longest line,
+    each written out, and no line is held in one task. A closed line begins at its smallest segment and ends where it began.
+    """
+    point = lambda x, y: F.concat_ws(":", "level", F.round(F.col(x) * keys).cast("long"), F.round(F.col(y) * keys).cast("long"))
+    s = segments.withColumn("a", point("x0", "y0")).withColumn("b", point("x1", "y1")).where("a <> b")
+    s = s.withColumn("_of_a", F.row_number().over(Window.partitionBy("a").orderBy("r", "c", "b"))).withColumn("_of_b", F.row_number().over(Window.partitionBy("b").orderBy("r", "c", "a")))
+    s = kept(s.withColumn("id", F.concat_ws("|", "a", "b", "_of_a")), "segments")
+    then = s.where("_of_a = 1").select(F.col("a").alias("b"), F.col("id").alias("next"))
+    # the first that arrives goes on; what arrives later ends there
+    now = kept(s.join(then, "b", "left").select("id", F.when(F.col("_of_b") == 1, F.col("next")).alias("next")), "chains")
+    walked = _walk(now)
+    rings = walked.where("next is not null").select("id", F.col("least").alias("line"))
+    cut = kept(now.join(rings, "id").select("id", F.when(F.col("next") != F.col("line"), F.col("next")).alias("next"), "line"), "rings")
+    round_ = _walk(cut.select("id", "next")).join(cut.select("id", "line"), "id").select("id", "line", "left", F.lit(True).alias("closed"))
+    placed = walked.where("next is null").select("id", F.col("last").alias("line"), "left", F.lit(False).alias("closed")).unionByName(round_)
+    size = placed.groupBy("line").agg((F.max("left") + 1).alias("n")).where("n > 1")
+    placed = placed.join(size, "line").withColumn("pos", F.col("n") - F.col("left")).join(s, "id")
+    ends = placed.select("level", "line", "pos", F.col("x1").alias("x"), F.col("y1").alias("y"), F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("step"), "closed")
+    begins = placed.where("pos = 1").select("level", "line", F.lit(0).cast("long").alias("pos"), F.col("x0").alias("x"), F.col("y0").alias("y"), F.lit(None).cast("double").alias("step"), "closed")
+    return ends.unionByName(begins)
+
+
+def _walk(chains: DataFrame) -> DataFrame:
+    """``id, next, last, left, least`` of ``chains(id, next)``, of which no two have one next: the last of each chain, the steps to it and, for
+    those that go round, where next isn't null, the smallest id."""
+    now = kept(chains.select("id", "next", F.coalesce("next", "id").alias("last"), F.col("next").isNotNull().cast("long").alias("left"), F.col("id").alias("least")), "walk")
+    mark = None
+    while True:
+        far = now.select(F.col("id").alias("next"), F.col("next").alias("far"), F.col("last").alias("far_last"), F.col("left").alias("far_left"), F.col("least").alias("far_least"))
+        # what has arrived keeps its place
+        now = kept(now.join(far, "next", "left").select("id", F.col("far").alias("next"), F.coalesce("far_last", "last").alias("last"), (F.col("left") + F.coalesce("far_left", F.lit(0))).alias("left"), F.least("least", F.coalesce("far_least", "least")).alias("least")), "walk")
+        seen = now.agg(F.count("next"), F.sum(F.xxhash64("least").cast("decimal(38,0)"))).first()
+        if seen == mark:
+            return now
+        mark = seen
