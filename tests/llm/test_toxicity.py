@@ -63,6 +63,49 @@ def test_shared_probabilities_sum_to_one():
     assert m.ratio("zzzz") == 0
 
 
+def brute(counted, order, discount=0.75):
+    """log P(toxic) - log P(ordinary) of a gram by sums over all grams, from ``counted(gram -> (ordinary, toxic))``."""
+    seen = {g[-n:] for g in counted for n in range(2, len(g) + 1)}
+    before = {}
+    for s in seen:
+        before[s[1:]] = before.get(s[1:], 0) + 1
+
+    def shared(gram):
+        p = 1 / 65536
+        for n in range(1, len(gram) + 1):
+            s = gram[-n:]
+            same = [m for x, m in before.items() if len(x) == n and x[:-1] == s[:-1]]
+            if same:
+                p = (max(before.get(s, 0) - discount, 0) + discount * len(same) * p) / sum(same)
+        return p
+
+    def of(gram, k):
+        low = shared(gram[1:])
+        same = [c[k] for x, c in counted.items() if x[:-1] == gram[:-1] and c[k]]
+        return (max(counted.get(gram, (0, 0))[k] - discount, 0) + discount * len(same) * low) / sum(same) if same else low
+
+    return shared, lambda gram: np.log(of(gram, 1) / of(gram, 0))
+
+
+def test_ratios_against_brute_force():
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcé") for _ in range(rnd.randrange(1, 9))).encode()
+    for order in (2, 3, 5):
+        counted = {}
+        for _ in range(60):
+            k = rnd.randrange(2)
+            for g in grams_of(word(), order):
+                now = counted.setdefault(g, [0, 0])
+                now[k] += 1
+        m = KneserNey([(g, *c) for g, c in counted.items()], order)
+        shared, ratio = brute(counted, order)
+        words = [word() for _ in range(40)] + [b"zz", b"abz", b"a"]
+        for g in {g for w in words for g in grams_of(w, order)}:
+            assert m.ratio(g) == pytest.approx(ratio(g), abs=1e-9)
+            assert m.shared(g[1:]) == pytest.approx(shared(g[1:]))
+        assert m.word_ratios(words) == pytest.approx([sum(map(ratio, grams_of(w, order))) for w in words], abs=1e-9)
+
+
 def test_logistic():
     x = np.array([[0.0, 1], [1, 0], [2, 1], [3, 0]])
     b = fit_logistic(x, np.array([0, 0, 1, 1.0]), np.ones(4))
