@@ -96,3 +96,19 @@ def representative_points(edges_: DataFrame) -> DataFrame:
     w = Window.partitionBy("id").orderBy("x")
     stretch = met.withColumn("to", F.lead("x").over(w)).withColumn("n", F.row_number().over(w)).where("n % 2 = 1 and to is not null")
     return stretch.groupBy("id").agg(F.max_by((F.col("x") + F.col("to")) / 2, F.struct(F.col("to") - F.col("x"), -F.col("x"))).alias("x"), F.first("y").alias("y"))
+
+
+def meets_box(edges_: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
+    """``id, meets``: whether each polygon and the closed box share a point: an edge runs through the box, or the box's corner lies inside."""
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+
+    def stretch(d: Column, a: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        """The part of the edge, as shares of its length, that lies between the two."""
+        one, two = (low - a) / F.nullif(d, F.lit(0.0)), (high - a) / F.nullif(d, F.lit(0.0))
+        level = F.when((a >= low) & (a <= high), 0.0).otherwise(2.0)
+        return F.when(d == 0, level).otherwise(F.least(one, two)), F.when(d == 0, 1.0).otherwise(F.greatest(one, two))
+
+    (xa, xb), (ya, yb) = stretch(dx, F.col("x0"), x0, x1), stretch(dy, F.col("y0"), y0, y1)
+    through = F.greatest(xa, ya, F.lit(0.0)) <= F.least(xb, yb, F.lit(1.0))
+    crosses = ((F.col("y0") > y0) != (F.col("y1") > y0)) & (x0 < F.col("x0") + (y0 - F.col("y0")) * dx / F.nullif(dy, F.lit(0.0)))
+    return edges_.groupBy("id").agg((F.bool_or(through) | (F.sum(F.coalesce(crosses, F.lit(False)).cast("int")) % 2 == 1)).alias("meets"))

@@ -90,3 +90,17 @@ def _f14(spark, d):
 def _j23(spark, d):
     """The detection that a tap at each flag hits: the nearest within 22."""
     return spatial.nearest_within(fixture(spark, d, "fx_flag"), fixture(spark, d, "fx_naip"), 22.0).select(F.col("l_id").alias("id"), F.col("r_id").alias("hit"))
+
+
+# an edge and a box share a point unless an axis or the edge's own line parts them
+@built("g10_box_meets_polygon", f"""with {_RING}, b as (select id, floor(min(x) / 25) * 25 + 37.3::double as l, floor(min(y) / 25) * 25 + 12.3::double as m from fx_ring group by id),
+o as (select e.*, l, m from e join b on e.id = b.id),
+s as (select *, (x1 - x0) * (m - y0) - (y1 - y0) * (l - x0) as p, (x1 - x0) * (m - y0) - (y1 - y0) * (l + 20 - x0) as q, (x1 - x0) * (m + 15 - y0) - (y1 - y0) * (l - x0) as t, (x1 - x0) * (m + 15 - y0) - (y1 - y0) * (l + 20 - x0) as w from o)
+select id, bool_or(least(x0, x1) <= l + 20 and greatest(x0, x1) >= l and least(y0, y1) <= m + 15 and greatest(y0, y1) >= m and least(p, q, t, w) <= 0 and greatest(p, q, t, w) >= 0)
+  or sum(case when (y0 > m) <> (y1 > m) and l < x0 + (m - y0) / (y1 - y0) * (x1 - x0) then 1 else 0 end) % 2 = 1 as meets from s group by id""")
+def _g10(spark, d):
+    """Whether each polygon and a box of 20 x 15 near its lower left corner share a point."""
+    vertices = fixture(spark, d, "fx_ring")
+    low = lambda c, by: (F.floor(F.min(c) / 25) * 25 + by).cast("double")
+    e = geometry.ring_edges(vertices).join(vertices.groupBy("id").agg(low("x", 37.3).alias("l"), low("y", 12.3).alias("m")), "id")
+    return geometry.meets_box(e, F.col("l"), F.col("m"), F.col("l") + 20, F.col("m") + 15)

@@ -61,6 +61,21 @@ def test_representative_points_avoid_holes(spark):
     assert geometry.representative_points(e.limit(0)).collect() == []
 
 
+def test_boxes_and_polygons(spark):
+    square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    rows = [(1, ring, i, a + ring * (4 - 0.8 * a), b + ring * (4 - 0.8 * b)) for ring in (0, 1) for i, (a, b) in enumerate(square)]  # a hole from 4 to 6
+    e = geometry.ring_edges(spark.createDataFrame(rows, "id long, ring int, seq int, x double, y double"))
+    from pyspark.sql import functions as F
+
+    def meets(*box):
+        return [r.meets for r in geometry.meets_box(e, *[F.lit(float(v)) for v in box]).collect()]
+
+    assert meets(1, 1, 2, 2) == [True] and meets(-5, -5, 20, 20) == [True] and meets(-5, 3, 20, 4) == [True]  # inside, around, through
+    assert meets(4.5, 4.5, 5.5, 5.5) == [False] and meets(11, 0, 12, 9) == [False]  # in the hole, beside
+    assert meets(10, 10, 12, 12) == [True]  # a corner touches
+    assert geometry.meets_box(e.limit(0), *[F.lit(0.0)] * 4).collect() == []
+
+
 def test_distance_joins(spark):
     at = lambda rows: spark.createDataFrame(rows, "id long, x double, y double")
     a, none = at([(1, 0.0, 0.0), (2, None, 0.0), (3, -7.0, 0.0)]), at([])
