@@ -88,6 +88,11 @@ def crc_bucket(doc_id, modulus: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def id_text(doc_id):
+    """The id as text; a null id is empty."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+
+
 class Bloom:
     """A fixed-size bit array over 64-bit keys, so that it may be broadcast whatever it has seen; false positives only."""
 

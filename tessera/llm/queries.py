@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, ngram_jaccard, toxicity, url_filter, warc
+from . import embedding_dedup, fill_in_middle, ngram_jaccard, toxicity, url_filter, warc
 from ._common import table
 from .decontamination import contaminated_passages
 from .license_scan import scan_licenses
@@ -58,6 +58,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -68,4 +72,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_url_filter": url_filter.oracle(),
         "op9_warc": warc.ORACLE_SQL,
         "op10_ngram_jaccard_join": ngram_jaccard.ORACLE_SQL,
+        "op11_fill_in_middle": fill_in_middle.ORACLE_SQL,
     }
