@@ -12,6 +12,8 @@ from ._common import table
 from .decontamination import contaminated_passages
 from .license_scan import scan_licenses
 from .lm_scoring import score_documents
+from .maxscore import ORACLE_SQL as TOP_SQL
+from .maxscore import top_inner_products
 from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
 
@@ -62,6 +64,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -73,4 +79,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_warc": warc.ORACLE_SQL,
         "op10_ngram_jaccard_join": ngram_jaccard.ORACLE_SQL,
         "op11_fill_in_middle": fill_in_middle.ORACLE_SQL,
+        "op12_exact_top_k": TOP_SQL,
     }
