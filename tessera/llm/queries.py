@@ -15,6 +15,8 @@ from .lm_scoring import score_documents
 from .maxscore import ORACLE_SQL as TOP_SQL
 from .maxscore import top_inner_products
 from .packing import pack_documents
+from .spelling import ORACLE_SQL as SPELLING_SQL
+from .spelling import spelling_variants
 from .token_files import read_token_files, write_token_files
 
 
@@ -68,6 +70,10 @@ def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -80,4 +86,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_ngram_jaccard_join": ngram_jaccard.ORACLE_SQL,
         "op11_fill_in_middle": fill_in_middle.ORACLE_SQL,
         "op12_exact_top_k": TOP_SQL,
+        "op13_spelling_variants": SPELLING_SQL,
     }
