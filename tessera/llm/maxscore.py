@@ -21,7 +21,7 @@ from ._common import stored
 LONG = (1 << 63) - 1
 EXACT = float(1 << 53)
 LIMIT = float(1 << 63) * (1 - 1e-9)  # scores beyond it may be clipped to equal ones, so none is skipped for another
-INDEX = "shard long, size int, small boolean, ids binary, x binary, dims binary, signs binary, low binary, high binary, starts binary, postings binary"
+INDEX = "shard long, size int, small boolean, ids binary, x binary, dims binary, signs binary, low binary, high binary, starts binary, postings binary, values binary"
 
 
 def _padded(lists: list[list[float]], scale: float) -> np.ndarray:
@@ -45,15 +45,19 @@ def _index(x: np.ndarray) -> dict[str, np.ndarray]:
     edge = lambda f: f.reduceat(magnitude, starts) if len(starts) else np.zeros(0)
     return {
         "dims": dims[starts].astype(np.int32), "signs": signs[starts].astype(np.int32), "low": edge(np.minimum), "high": edge(np.maximum),
-        "starts": np.r_[starts, len(rows)].astype(np.int64), "postings": rows.astype(np.int32),
+        "starts": np.r_[starts, len(rows)].astype(np.int64), "postings": rows.astype(np.int32), "values": x[rows, dims],
     }
 
 
 class Shard:
     """Rows of one shard, in order of id, with their posting lists."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, dims, signs, low, high, starts, postings):
-        self.ids, self.x, self.dims, self.signs, self.low, self.high, self.starts, self.postings = ids, x, dims, signs, low, high, starts, postings
+    def __init__(self, ids: np.ndarray, x: np.ndarray, dims, signs, low, high, starts, postings, values):
+        self.ids, self.x, self.dims, self.signs, self.low, self.high, self.starts, self.postings, self.values = ids, x, dims, signs, low, high, starts, postings, values
+        self.columns = np.ascontiguousarray(x.T)
+        self.widest = np.abs(x).max(0, initial=0)
+        last = np.r_[(dims[1:] != dims[:-1]) | (signs[1:] != signs[:-1]), True] if len(dims) else np.zeros(0, bool)
+        self.end = starts[1:][last][np.cumsum(np.r_[0, last[:-1]])] if len(dims) else starts  # where the lists of a term's dimension and sign end
         first = np.r_[True, (dims[1:] != dims[:-1]) | (signs[1:] != signs[:-1])] if len(dims) else np.zeros(0, bool)
         self.below = np.where(first, 0.0, np.r_[0.0, high[:-1]]) if len(dims) else high  # the next lower layer's largest
         self.visited = self.skipped = 0
@@ -62,32 +66,25 @@ class Shard:
     def of_row(cls, r: dict) -> Shard:
         read = lambda name, kind: np.frombuffer(r[name], kind)
         x = read("x", np.float32 if r["small"] else np.float64).astype(np.float64).reshape(r["size"], -1)
-        return cls(read("ids", np.int64), x, read("dims", np.int32), read("signs", np.int32), read("low", np.float64), read("high", np.float64), read("starts", np.int64), read("postings", np.int32))
+        values = read("values", np.float32 if r["small"] else np.float64).astype(np.float64)
+        return cls(read("ids", np.int64), x, read("dims", np.int32), read("signs", np.int32), read("low", np.float64), read("high", np.float64), read("starts", np.int64), read("postings", np.int32).astype(np.int64), values)
 
     def top(self, name: int, q: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores (as doubles) of the rows that may be among the k best of query ``q``, all of them with ``least`` or more; not row ``name`` itself."""
         q = np.r_[q, np.zeros(max(0, self.x.shape[1] - len(q)))][: self.x.shape[1]]
         weight = q[self.dims] * self.signs
         active = np.flatnonzero(weight > 0)
-        slack = 1e-9 * float(np.abs(q) @ np.abs(self.x).max(0, initial=0)) if not self.exact(q) else 0.0
+        exact = self.exact(q)
+        slack = 0.0 if exact else 1e-9 * float(np.abs(q) @ self.widest)
         floor = min(least, LIMIT) - slack
         bound, step = weight[active] * self.high[active], weight[active] * (self.high[active] - self.below[active])
         order = np.argsort(bound, kind="stable")
-        total = np.cumsum(step[order])
-        cut = int(np.searchsorted(total, floor, "left"))  # so many terms are non-essential: their bounds sum to less than the floor
-        lists = active[order[cut:]]
-        if floor > 0 and not len(lists):
-            self.skipped += len(self.ids)
-            return self.ids[:0], np.zeros(0)
+        cut = int(np.searchsorted(np.cumsum(step[order]), floor, "left"))  # so many terms are non-essential: their bounds sum to less than the floor
+        essential, others = np.sort(active[order[cut:]]), active[order[:cut]]
         if floor <= 0:  # rows without any positive term may enter
             rows, score = np.arange(len(self.ids)), self.x @ q
         else:
-            many = self.starts[lists + 1] - self.starts[lists]
-            at = np.repeat(self.starts[lists] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-            found = self.postings[at]
-            part = np.bincount(found, self.x[found, np.repeat(self.dims[lists], many)] * np.repeat(q[self.dims[lists]], many), len(self.ids))
-            rows = np.flatnonzero(np.bincount(found, minlength=len(self.ids)))
-            rows, score = self._probe(rows, part[rows], q, k, floor, lists, active[order[:cut]], name)
+            rows, score = self._probe(q, k, floor, essential, others, name, 0.0 if exact else 1e-9)
         self.visited += len(rows)
         self.skipped += len(self.ids) - len(rows)
         keep = (score >= floor) & (self.ids[rows] != name)
@@ -95,33 +92,42 @@ class Shard:
 
     def exact(self, q: np.ndarray) -> bool:
         """Whether sums of products are exact in doubles."""
-        return float(np.abs(q) @ np.abs(self.x).max(0, initial=0)) < EXACT
-
-    def _probe(self, rows, part, q, k, floor, essential, others, name):
-        """Whole scores of the rows whose essential part can still reach the floor; the best k by their part raise it first."""
+        return float(np.abs(q[: len(self.widest)]) @ self.widest[: len(q)]) < EXACT
+
+    def _probe(self, q, k, floor, essential, others, name, error):
+        """Rows and whole scores of those that can reach the floor; the best k by their essential part raise it first."""
+        part = np.zeros(len(self.ids))
+        dims = self.dims[essential]
+        # a dimension's essential layers lie side by side: from its lowest essential one to its end
+        for t in essential[np.flatnonzero(np.r_[True, dims[1:] != dims[:-1]])] if len(dims) else ():
+            d, at = self.dims[t], slice(self.starts[t], self.end[t])
+            np.add.at(part, self.postings[at], self.values[at] * q[d])
         reach = np.zeros(len(q))  # the largest magnitude of a dimension that no essential list holds
         np.maximum.at(reach, self.dims[others], self.high[others])
         least = np.full(len(q), np.inf)  # the smallest magnitude that one holds
-        np.minimum.at(least, self.dims[essential], self.low[essential])
+        np.minimum.at(least, dims, self.low[essential])
         open_ = reach * np.abs(q)
         rest = float(open_.sum())
-        alive = part + rest >= floor
-        rows, part = rows[alive], part[alive]
+        rows = np.flatnonzero((part > 0) & (part + rest >= floor))  # essential parts are positive sums
+        part = part[rows]
         if len(rows) > 4 * k:
             best = rows[np.argpartition(-part, k)[: k + 1]]
             best = best[self.ids[best] != name][:k]
             if len(best) == k:
-                floor = max(floor, min(LIMIT, float((self.x[best] @ q).min())) - 1e-9 * abs(floor) * (not self.exact(q)))
-        dims = np.flatnonzero(q)
-        for d in dims[np.argsort(-open_[dims], kind="stable")]:
+                floor = max(floor, min(LIMIT, float((self.x[best] @ q).min())) - error * abs(floor))
+        every = np.flatnonzero(q)
+        few = max(4 * k, len(self.ids) // 8)  # so few are scored whole at once
+        # the largest components first: they settle most, of the bound or by what they take away
+        for group in np.array_split(every[np.argsort(-np.abs(q[every]), kind="stable")], max(1, len(every) // 4)):
             alive = part + rest >= floor
             if not alive.all():
                 rows, part = rows[alive], part[alive]
-            if len(rows) <= 4 * k:
+            if len(rows) <= few:
                 break
-            v = self.x[rows, d] * np.sign(q[d])
-            part = part + np.where(v >= least[d], 0.0, v) * abs(q[d])  # what an essential list held is counted
-            rest -= open_[d]
+            for d in group:
+                v = self.columns[d][rows] * np.sign(q[d])
+                part += np.where(v >= least[d], 0.0, v) * abs(q[d])  # what an essential list held is counted
+            rest -= float(open_[group].sum())
         return rows, self.x[rows] @ q
 
 
@@ -139,7 +145,7 @@ def _indexed(rows: DataFrame, scale: float, cells: int, widest: int, count: int)
         order = np.argsort(ids)
         x = _padded(t["v"].take(pa.array(order)).to_pylist(), scale)
         small = bool(np.abs(x).max(initial=0) <= 1 << 24)  # whole numbers of that size are exact in four bytes
-        made = {k: [v.tobytes()] for k, v in _index(x).items()}
+        made = {k: [(v.astype(np.float32) if small and k == "values" else v).tobytes()] for k, v in _index(x).items()}
         own = {"shard": pa.array([t["shard"][0].as_py()], pa.int64()), "size": pa.array([len(ids)], pa.int32()), "small": [small]}
         return pa.table({**own, "ids": [ids[order].tobytes()], "x": [(x.astype(np.float32) if small else x).tobytes()], **made})
 
