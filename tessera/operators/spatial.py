@@ -56,25 +56,87 @@ def box_join(left: DataFrame, right: DataFrame, half: float) -> DataFrame:
     return pairs.where((F.abs(F.col("l_x") - F.col("r_x")) <= half) & (F.abs(F.col("l_y") - F.col("r_y")) <= half))
 
 
-def nearest(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """``l_id, r_id, d``: each left row's nearest right row at any distance (ties: the smallest id); nothing if there is no right row.
+class Pyramid:
+    """Points in a tree of square cells, four to a side of the next: cells of up to ``leaf`` different points aren't divided further.
 
-    Those with none within the radius try again with twice as much, so rows in dense parts meet near neighbours only and
-    few rows reach far; the last round's cells are as wide as the whole extent.
+    ``levels`` holds the occupied cells of each level with the box around their points, ``points`` the points under their undivided
+    cell. Equal points are one, under the smallest id; rows without a coordinate are left out. Every level is one combining aggregate, and only points of
+    crowded cells go on to the next, so depth follows the densest spot and a crowd in one place is divided as finely as it needs.
     """
-    from ..functions.storage import kept
 
-    waiting, out = left.select("id", "x", "y"), None
-    if right.limit(1).count() == 0:
-        return waiting.select(F.col("id").alias("l_id"), F.col("id").alias("r_id"), F.lit(0.0).alias("d")).limit(0)
-    while True:
-        best = F.min_by(F.struct("r_id", "d"), F.struct("d", "r_id"))
-        found = kept(distance_join(waiting, right.select("id", "x", "y"), radius).groupBy("l_id").agg(best.alias("b")).select("l_id", "b.r_id", "b.d"), "nearest")
-        out = found if out is None else out.unionByName(found)
-        waiting = kept(waiting.join(found.select(F.col("l_id").alias("id")), "id", "left_anti"), "waiting")
-        if waiting.limit(1).count() == 0:
-            return out
-        radius *= 2
+    DEEPEST = 24
+
+    def __init__(self, rows: DataFrame, leaf: int = 16):
+        from ..functions.storage import kept
+
+        rest = kept(rows.where("x is not null and y is not null").groupBy(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min("id").alias("id")), "points")
+        x0, x1, y0, y1 = rest.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+        self.empty = x0 is None
+        self.levels: list[DataFrame] = []
+        if self.empty:
+            return
+        side = max(x1 - x0, y1 - y0) or 1.0
+        filed = []
+        for level in range(self.DEEPEST + 1):
+            # a power of four times the same number: a cell's number is a fourth of each of its children's
+            at = lambda c, low, n=4.0**level: F.floor((F.col(c) - low) / side * n).cast("long")
+            keyed = rest.withColumn("level", F.lit(level)).withColumn("cx", at("x", x0)).withColumn("cy", at("y", y0))
+            cells = keyed.groupBy("level", "cx", "cy").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+            cells = kept(cells.withColumn("whole", (F.col("n") <= leaf) | F.lit(level == self.DEEPEST)), "cells")
+            self.levels.append(cells)
+            whole, crowded = cells.where("whole").select("cx", "cy"), cells.where("not whole").select("cx", "cy")
+            filed.append(keyed.join(whole, ["cx", "cy"], "left_semi"))
+            if crowded.limit(1).count() == 0:
+                break
+            rest = kept(keyed.join(crowded, ["cx", "cy"], "left_semi").select("x", "y", "id"), "crowded")
+        self.points = filed[0]
+        for part in filed[1:]:
+            self.points = self.points.unionByName(part)
+
+
+def opened(rows: DataFrame, tree: Pyramid) -> DataFrame:
+    """``l_id, l_x, l_y, level, cx, cy``: for each of ``rows(id, x, y)`` the undivided cells that may hold its nearest point.
+
+    Level by level a row's cells give way to their occupied children; the least of their farthest distances bounds the nearest
+    point, and cells whose nearest corner lies beyond it are closed. So a row keeps a few cells a level, however far the points are.
+    """
+    gap = lambda c, low, high: F.greatest(F.lit(0.0), low - c, c - high)
+    reach = lambda c, low, high: F.greatest(F.abs(c - low), F.abs(c - high))
+    x, y = F.col("l_x"), F.col("l_y")
+    w = Window.partitionBy("l_id")
+
+    def closer(cells: DataFrame) -> DataFrame:
+        box = [F.col(c) for c in ("x0", "x1", "y0", "y1")]
+        far = F.hypot(reach(x, *box[:2]), reach(y, *box[2:]))
+        out = cells.withColumn("_far", F.min(far).over(w))
+        return out.where(F.hypot(gap(x, *box[:2]), gap(y, *box[2:])) <= F.col("_far") * (1 + 1e-12)).drop("_far")
+
+    held = rows.where("x is not null and y is not null").select(F.col("id").alias("l_id"), F.col("x").cast("double").alias("l_x"), F.col("y").cast("double").alias("l_y"))
+    top = tree.levels[0].drop("n")
+    fields = top.columns
+    first = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in fields]) for r in top.collect()])  # one cell, four at most where points lie on the far edges
+    now = closer(held.withColumn("_c", F.explode(first)).select("l_id", "l_x", "l_y", "_c.*"))
+    for cells in tree.levels[1:]:
+        below = cells.drop("n").select(F.struct(*fields).alias("_b"), F.floor(F.col("cx") / 4).cast("long").alias("px"), F.floor(F.col("cy") / 4).cast("long").alias("py"))
+        met = now.join(below, (F.col("cx") == F.col("px")) & (F.col("cy") == F.col("py")) & ~F.col("whole"), "left")
+        now = closer(met.select("l_id", "l_x", "l_y", *[F.coalesce(F.col("_b." + c), F.col(c)).alias(c) for c in fields]))
+    return now.select("l_id", "l_x", "l_y", "level", "cx", "cy")
+
+
+def nearest(left: DataFrame, right: DataFrame, leaf: int = 16) -> DataFrame:
+    """``l_id, r_id, d``: each left row's nearest right row at any distance (ties: the smallest id).
+
+    Rows of either side without a coordinate take no part; nothing comes where the right side is empty. A left row meets the points
+    of the few cells that a ``Pyramid`` leaves open for it.
+    """
+    tree = Pyramid(right.select("id", "x", "y"), leaf)
+    if tree.empty:
+        return left.select(F.col("id").alias("l_id"), F.lit(None).cast(right.schema["id"].dataType).alias("r_id"), F.lit(0.0).alias("d")).limit(0)
+    points = tree.points.select("level", "cx", "cy", F.col("id").alias("r_id"), F.col("x").alias("r_x"), F.col("y").alias("r_y"))
+    met = opened(left.select("id", "x", "y"), tree).join(points, ["level", "cx", "cy"])
+    d = distance(F.col("l_x"), F.col("l_y"), F.col("r_x"), F.col("r_y"))
+    best = F.min_by(F.struct("r_id", "d"), F.struct("d", "r_id"))
+    return met.select("l_id", "r_id", d.alias("d")).groupBy("l_id").agg(best.alias("b")).select("l_id", "b.r_id", "b.d")
 
 
 def first_come(rows: DataFrame, radius: float) -> DataFrame:

@@ -90,7 +90,7 @@ _CELLS = "w as (select r, c, c * 40.0::double as x, r * 40.0::double as y from f
 
 def _reach(spark, d):
     cells = fixture(spark, d, "fx_grid").where("ft is not null").select(F.struct("r", "c").alias("id"), (F.col("c") * 40.0).alias("x"), (F.col("r") * 40.0).alias("y"))
-    return spatial.nearest(cells, fixture(spark, d, "fx_sounding").select("id", "x", "y"), 64.0).select("l_id.r", "l_id.c", "d")
+    return spatial.nearest(cells, fixture(spark, d, "fx_sounding").select("id", "x", "y")).select("l_id.r", "l_id.c", "d")
 
 
 @built("j11_nearest_sounding", f"with {_CELLS} select r, c, round(m, 6) as m from n")
@@ -270,7 +270,7 @@ def _j22(spark, d):
     boats, hazards = fixture(spark, d, "fx_sentinel").select("id", "x", "y"), fixture(spark, d, "fx_naip").select("id", "x", "y")
     hazard = spatial.nearest_within(boats, hazards, 400.0).select(F.col("l_id").alias("id"), F.col("r_id").alias("hazard"), F.round("d", 6).alias("d"))
     deep = fixture(spark, d, "fx_grid").where("ft >= 30").select((F.col("r") * 1000 + F.col("c")).alias("id"), (F.col("c") * 40.0).alias("x"), (F.col("r") * 40.0).alias("y"))
-    water = spatial.nearest(boats, deep, 64.0).select(F.col("l_id").alias("id"), F.round("d", 6).alias("deep_m"))
+    water = spatial.nearest(boats, deep).select(F.col("l_id").alias("id"), F.round("d", 6).alias("deep_m"))
     near = spatial.box_join(boats, boats, 400.0).groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("near"))
     top = near.agg(F.max_by("id", F.struct("near", -F.col("id"))).alias("top"))
     out = near.join(hazard, "id", "left").join(water, "id", "left").join(F.broadcast(top))  # one row
@@ -351,7 +351,7 @@ def _t14s(spark, d):
     fixes = fixture(spark, d, "fx_fix").select(F.col("seq").alias("id"), "x", "y", "speed")
     grid = fixture(spark, d, "fx_grid")
     cells = grid.select(F.struct("r", "c").alias("id"), (F.col("c") * 40.0).alias("x"), (F.col("r") * 40.0).alias("y"))
-    reach = spatial.nearest(cells, fixture(spark, d, "fx_sounding").select("id", "x", "y"), 64.0).select("l_id.r", "l_id.c", F.col("d").alias("m"))
+    reach = spatial.nearest(cells, fixture(spark, d, "fx_sounding").select("id", "x", "y")).select("l_id.r", "l_id.c", F.col("d").alias("m"))
     hazard = spatial.nearest_within(fixes, fixture(spark, d, "fx_naip").select("id", "x", "y", "tier"), 60.0).select(F.col("l_id").alias("id"), F.col("r_tier").alias("nearest"))
     at = fixes.withColumn("r", F.floor(F.col("y") / 40 + 0.5)).withColumn("c", F.floor(F.col("x") / 40 + 0.5))
     out = at.join(grid.join(reach, ["r", "c"]), ["r", "c"], "left").join(hazard, "id", "left")
