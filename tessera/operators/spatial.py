@@ -75,12 +75,12 @@ class Pyramid:
         self.levels: list[DataFrame] = []
         if self.empty:
             return
-        side = max(x1 - x0, y1 - y0) or 1.0
+        self.x0, self.y0, self.side = x0, y0, max(x1 - x0, y1 - y0) or 1.0
+        self.box = (x0, x1, y0, y1)
+        self.all = rest
         filed = []
         for level in range(self.DEEPEST + 1):
-            # a power of four times the same number: a cell's number is a fourth of each of its children's
-            at = lambda c, low, n=4.0**level: F.floor((F.col(c) - low) / side * n).cast("long")
-            keyed = rest.withColumn("level", F.lit(level)).withColumn("cx", at("x", x0)).withColumn("cy", at("y", y0))
+            keyed = self.keyed(rest, level)
             cells = keyed.groupBy("level", "cx", "cy").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
             cells = kept(cells.withColumn("whole", (F.col("n") <= leaf) | F.lit(level == self.DEEPEST)), "cells")
             self.levels.append(cells)
@@ -93,6 +93,11 @@ class Pyramid:
         for part in filed[1:]:
             self.points = self.points.unionByName(part)
 
+    def keyed(self, points: DataFrame, level: int) -> DataFrame:
+        """``points`` with ``level, cx, cy``: a power of four times one number, so a cell's number is a fourth of each of its children's."""
+        at = lambda c, low: F.floor((F.col(c) - low) / self.side * 4.0**level).cast("long")
+        return points.withColumn("level", F.lit(level)).withColumn("cx", at("x", self.x0)).withColumn("cy", at("y", self.y0))
+
 
 def opened(rows: DataFrame, tree: Pyramid) -> DataFrame:
     """``l_id, l_x, l_y, level, cx, cy``: for each of ``rows(id, x, y)`` the undivided cells that may hold its nearest point.

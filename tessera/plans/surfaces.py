@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import geometry, raster, rules, spatial
+from ..operators import geometry, raster, rules, spatial, triangulation
 from ..operators.components import grid_components
 from ..sources.fixtures import fixture
 from .catalog import _PAIR, built
@@ -105,6 +105,40 @@ def _r16(spark, d):
     return _reach(spark, d).select("r", "c", F.when(steps <= 250, steps).otherwise(F.raise_error(F.lit("a cell lies beyond the reach that its byte can hold"))).alias("steps"))
 
 
+# every triple of soundings whose circle holds no other; of four on a circle the smallest id counts as lifted off it
+_TRIANGLES = """p as (select min(id) as id, x, y, arg_min(depth_ft, id) as v from fx_sounding group by x, y),
+tri as (select a.id as a, b.id as b, c.id as c, a.x as ax, a.y as ay, a.v as va, b.x as bx, b.y as by_, b.v as vb, c.x as cx, c.y as cy, c.v as vc, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) as turn
+  from p a join p b on a.id < b.id join p c on b.id < c.id where (b.x - a.x) * (c.y - a.y) <> (b.y - a.y) * (c.x - a.x)),
+held as (select tri.*, d.id as d, (cx - d.x) * (by_ - d.y) - (cy - d.y) * (bx - d.x) as turned,
+  ((ax - d.x) * (ax - d.x) + (ay - d.y) * (ay - d.y)) * ((bx - d.x) * (cy - d.y) - (by_ - d.y) * (cx - d.x)) - ((bx - d.x) * (bx - d.x) + (by_ - d.y) * (by_ - d.y)) * ((ax - d.x) * (cy - d.y) - (ay - d.y) * (cx - d.x))
+  + ((cx - d.x) * (cx - d.x) + (cy - d.y) * (cy - d.y)) * ((ax - d.x) * (by_ - d.y) - (ay - d.y) * (bx - d.x)) as det from tri join p d on d.id not in (a, b, c)),
+spoilt as (select distinct a, b, c from held where det * turn > 0 or (det = 0 and d > a and -turned * turn > 0)),
+delaunay as (select tri.* from tri anti join spoilt using (a, b, c))"""
+
+
+@built("r11_triangles", f"with {_TRIANGLES} select a, b, c from delaunay")
+def _r11_triangles(spark, d):
+    return triangulation.triangles(fixture(spark, d, "fx_sounding")).select("a", "b", "c")
+
+
+@built("r11_interpolated_surface", f"""with {_TRIANGLES}, g as (select r, c, c * 40.0::double as x, r * 40.0::double as y from fx_grid),
+l as (select g.r, g.c, a, b, t.c as k, va, vb, vc, ((by_ - cy) * (x - cx) + (cx - bx) * (y - cy)) / ((by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy)) as la,
+  ((cy - ay) * (x - cx) + (ax - cx) * (y - cy)) / ((by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy)) as lb from g join delaunay t on x between least(ax, bx, cx) and greatest(ax, bx, cx) and y between least(ay, by_, cy) and greatest(ay, by_, cy)),
+i as (select r, c, arg_min(la * va + lb * vb + (1 - la - lb) * vc, (a, b, k)) as v from l where least(la, lb, 1 - la - lb) >= -0.000000001 group by r, c),
+n as (select g.r, g.c, arg_min(p.v, (power(p.x - g.x, 2) + power(p.y - g.y, 2), p.id)) as v from g join p on true group by g.r, g.c)
+select g.r, g.c, round(coalesce(i.v, n.v), 6) as ft, i.v is not null as inside from g left join i using (r, c) left join n using (r, c)""")
+def _r11(spark, d):
+    """Depth at every cell of the grid: linear over the soundings' triangles, the nearest sounding's beyond their hull."""
+    soundings = fixture(spark, d, "fx_sounding")
+    cells = fixture(spark, d, "fx_grid").select("r", "c")
+    surface = cells.join(triangulation.interpolated(soundings, "depth_ft", 40.0), ["r", "c"], "left")
+    surface = surface.select(F.struct("r", "c").alias("id"), (F.col("c") * 40.0).alias("x"), (F.col("r") * 40.0).alias("y"), "v")
+    beyond = spatial.nearest(surface.where("v is null"), soundings).select(F.col("l_id").alias("id"), F.col("r_id").alias("k"))
+    depth = soundings.select(F.col("id").alias("k"), "depth_ft")
+    out = surface.join(beyond.join(depth, "k").drop("k"), "id", "left")
+    return out.select("id.r", "id.c", F.round(F.coalesce("v", "depth_ft"), 6).alias("ft"), F.col("v").isNotNull().alias("inside"))
+
+
 @built("w14_equalisation_knots", """with q as (select t, percentile_cont([i / 128.0 for i in range(0, 129)]) within group (order by nir) as k, percentile_cont(0.999) within group (order by nir) as top from fx_pixel group by t),
 v as (select p.*, k, top, len(list_filter(k, lambda x: x <= nir)) as n from fx_pixel p join q on p.t = q.t),
 e as (select *, case when n = 0 then 0.0 when n >= 129 then 1.0 else (n - 1 + (nir - k[n]) / case when k[n + 1] > k[n] then k[n + 1] - k[n] else 1 end) / 128 end as eq from v)
