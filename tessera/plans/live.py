@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.storage import shared_path
-from ..operators import alerts, flags, geometry
+from ..operators import alerts, flags, geometry, trajectory
 from ..operators.components import lines_of
 from ..sources import files
 from ..sources.fixtures import fixture
-from ..streaming import live
-from .catalog import _LEGS, _URGENT, built
+from ..streaming import live, processors
+from .catalog import _LEGS, _POINTS, _URGENT, built
 
 _FOLD = """with recursive p as (select {lake} as lake, id, t, x, y, reporter, accuracy, row_number() over (partition by {lake} order by t, id) as i from fx_flag {where}),
 k as (select p.lake, p.i, p.id, 1::bigint as cluster, [p.x] as sx, [p.y] as sy, [1::bigint] as n from p where i = 1
@@ -56,20 +56,71 @@ def _w9(spark, d):
     return alerts.held_alerts(levels).select("seq", "level", "shown")
 
 
+# every third heading and fourth speed isn't given by the device
+_DEVICE = """dv as (select seq, trip, t_ms, x, y, accuracy, case when seq % 4 <> 0 then speed end as speed, case when seq % 3 <> 0 then heading end as heading, lag(t_ms) over w as lt, lag(x) over w as lx, lag(y) over w as ly from fx_fix window w as (partition by trip order by t_ms, seq)),
+fx as (select seq, trip, t_ms, x, y, accuracy, coalesce(speed, case when t_ms - lt > 500 then sqrt(power(x - lx, 2) + power(y - ly, 2)) / ((t_ms - lt) / 1000.0) end, 0) as speed,
+  coalesce(heading, case when sqrt(power(x - lx, 2) + power(y - ly, 2)) > 3 then atan2(y - ly, x - lx) end) as heading from dv)"""
+_FOLLOWED = f"with {_DEVICE}, {_SHOWN.replace('fx_fix', 'fx')}"
+
+
+class _Device(live.Feed):
+    def fixes(self):
+        f = super().fixes()
+        return f.withColumn("speed", F.when(F.col("seq") % 4 != 0, F.col("speed"))).withColumn("heading", F.when(F.col("seq") % 3 != 0, F.col("heading")))
+
+
 def _shown(spark, d):
-    feed = live.Feed(spark, d, live.by_time(spark, d, 3), 3)
+    feed = _Device(spark, d, live.by_time(spark, d, 3), 3)
     return live.on_fix(feed, fixture(spark, d, "fx_naip"), fixture(spark, d, "fx_grid"), 40.0)
 
 
-@built("t1s_on_fix", f"""with {_SHOWN}, lg as ({_LEGS.replace('"', '')} select seq, kind, leg_m from k)
-select la.seq, lg.kind, round(lg.leg_m, 6) as leg_m, la.hazard_id, la.level, g.ft from la join fx_fix f on la.seq = f.seq left join lg on la.seq = lg.seq left join fx_grid g on floor(f.y / 40 + 0.5)::bigint = g.r and floor(f.x / 40 + 0.5)::bigint = g.c""")
+@built("t1s_on_fix", f"""{_FOLLOWED}, lg as ({_LEGS.replace('"', '')} select seq, kind, leg_m from k)
+select la.seq, round(f.speed, 6) as speed, round(f.heading, 6) as heading, lg.kind, round(lg.leg_m, 6) as leg_m, la.hazard_id, la.level, g.ft from la join fx f on la.seq = f.seq left join lg on la.seq = lg.seq left join fx_grid g on floor(f.y / 40 + 0.5)::bigint = g.r and floor(f.x / 40 + 0.5)::bigint = g.c""")
 def _t1s(spark, d):
-    return _shown(spark, d).select("seq", "kind", F.round("leg_m", 6).alias("leg_m"), "hazard_id", "level", "ft")
+    return _shown(spark, d)[0].select("seq", F.round("speed", 6).alias("speed"), F.round("heading", 6).alias("heading"), "kind", F.round("leg_m", 6).alias("leg_m"), "hazard_id", "level", "ft")
 
 
-@built("t4s_alert_hold_stream", _HELD)
+@built("t4s_alert_hold_stream", f"""with {_SHOWN},
+al as (select trip, t_ms, lead(t_ms) over (partition by trip order by t_ms) as after from (select distinct trip, t_ms from la where level <> 'clear') z)
+select seq, trip, t_ms, level, case when level <> 'clear' then level when t_ms - alarm < 4000 then 'caution' else 'clear' end as shown from la
+union all select null, trip, t_ms + 4000, null, 'clear' from al where coalesce(after > t_ms + 4000, true) and not exists (select 1 from la where la.trip = al.trip and la.t_ms = al.t_ms + 4000)""")
 def _t4s(spark, d):
-    return live.held_stream(_shown(spark, d), 3).select("seq", "level", "shown")
+    """Alerts held over fixes, and the fall to clear where no fix follows in time."""
+    fixes = fixture(spark, d, "fx_fix")
+    worst = alerts.most_urgent(alerts.corridor_scan(fixes, fixture(spark, d, "fx_naip"))).select("seq", "level")
+    return live.held_stream(fixes.join(worst, "seq", "left").select("seq", "trip", "t_ms", F.coalesce("level", F.lit("clear")).alias("level")), 3)
+
+
+# two halves of time; every tenth event of the first comes with the second, the watermark lies a quarter of the time behind
+_LATE = """b as (select min(t_ms) as lo, (max(t_ms) - min(t_ms)) // 2 + 1 as half from fx_fix),
+ar as (select f.*, case when (t_ms - lo) // half = 0 and seq % 10 <> 0 then 0 else 1 end as part, lo, half from fx_fix f cross join b),
+wm as (select max(t_ms) - max(half) // 2 as wm from ar where part = 0), lt as (select ar.*, part = 1 and t_ms <= wm as late from ar cross join wm), ok as (select * exclude (part, lo, half, late) from lt where not late)"""
+
+
+@built("t6s_late_fixes", f"""with {_LATE}, lg as ({_LEGS.replace('fx_fix', 'ok')} select seq, trip, kind, leg_m from k)
+select ok.seq, ok.trip, 'fix' as what, lg.kind, round(lg.leg_m, 6) as leg_m from ok left join lg on ok.seq = lg.seq union all select seq, trip, 'late', null, null from lt where late""")
+def _t6s_fixes(spark, d):
+    """Legs of fixes that come out of order; those that the watermark has passed are counted apart."""
+    return _late(spark, d).where("what <> 'cell'").select("seq", "trip", "what", "kind", F.round("leg_m", 6).alias("leg_m"))
+
+
+@built("t6s_late_cells", f"""with {_LATE}, n as ({_POINTS.replace('fx_fix', 'ok')}, o as (select *, row_number() over (partition by cx, cy order by planing, t_ms desc, seq) as rn from c)
+select cx, cy, t_ms, seq, accuracy, speed, planing from o where rn = 1) select * from n""")
+def _t6s_cells(spark, d):
+    return trajectory.strongest_claims(_late(spark, d).where("what = 'cell'"))
+
+
+def _late(spark, d):
+    t = F.unix_timestamp("ts")
+    low, high = spark.read.parquet(f"{d}/events.parquet").agg(F.min(t), F.max(t)).first()
+    half = (high - low) // 2 + 1
+    feed = live.Feed(spark, d, F.when((F.floor((t - low) / half) == 0) & (F.col("event_id") % 10 != 0), 0).otherwise(1), 2)
+
+    def arrivals():
+        yield from feed.arrivals()
+        yield feed.heartbeat(high)  # so far ahead that every fix is settled
+
+    return live.collected(lambda: processors.in_order(feed.fixes(), half // 2), arrivals(), "ordered", timers=True)
 
 
 _LAKES = """with k as (select cast(floor(x / 500) as bigint) as lake, cast(floor(x / 5) as bigint) as cx, cast(floor(y / 5) as bigint) as cy, t_ms, seq, speed > 6 as planing from fx_fix where accuracy <= 12)

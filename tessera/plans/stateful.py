@@ -4,20 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import alerts, trajectory
 from ..operators.components import grid_components
 from ..sources.fixtures import fixture
-from ..streaming import fixes
-from .catalog import _LEGS, _SCAN, built
+from ..streaming import live, processors
+from .catalog import _LEGS, _SCAN, BUILT, built
+
+
+def _arriving(spark, d) -> live.Feed:
+    return live.Feed(spark, d, live.by_time(spark, d, 3), 3)
+
+
+def _swept(spark, d):
+    feed = _arriving(spark, d)
+    return live.collected(lambda: processors.swept(feed.fixes()), feed.arrivals(), "swept")
 
 
 @built("t2s_stateful_legs", _LEGS + " select seq, trip, kind, round(leg_m, 6) as leg_m from k")
 def _t2s(spark, d):
-    return fixes.drained(fixes.stateful_legs(fixes.fix_stream(spark, d)), "legs").withColumn("leg_m", F.round("leg_m", 6))
+    return _swept(spark, d).where("what = 'fix' and kind is not null").select("seq", "trip", "kind", F.round("leg_m", 6).alias("leg_m"))
+
+
+@built("t2s_swept_cells", BUILT["a34_strongest_claim"][1])
+def _t2s_cells(spark, d):
+    """Cells that trips gained, arrival by arrival; the strongest claim of all trips stands."""
+    return trajectory.strongest_claims(_swept(spark, d).where("what = 'cell'"))
 
 
 @built("t3s_live_hazard_scan", _SCAN + "select seq, hazard_id, round(range_m, 6) as range_m, round(ttc, 6) as ttc, severity, confirmed from hit")
 def _t3s(spark, d):
-    hits = fixes.drained(fixes.scan_stream(fixes.fix_stream(spark, d), fixture(spark, d, "fx_naip")), "hits")
+    feed, hazards = _arriving(spark, d), fixture(spark, d, "fx_naip")
+    hits = live.collected(lambda: alerts.corridor_scan(feed.fixes(), hazards), feed.arrivals(), "hits")
     return hits.withColumn("range_m", F.round("range_m", 6)).withColumn("ttc", F.round("ttc", 6))
 
 
