@@ -16,7 +16,8 @@ def clustered(flags: DataFrame, radius: float = SAME_THING_M) -> DataFrame:
     """``lake, id, cluster`` of ``flags(lake, id, t, x, y)``: each flag, by time and id, joins the first cluster of its lake whose centroid
     lies within the radius, and moves that centroid; else it opens the next cluster.
 
-    The order decides, so a lake is one fold; lakes are side by side. Centroids are filed under cells, so a flag meets only those near it.
+    The order decides, so a lake is one fold; lakes are side by side. Centroids are filed under cells, so a flag meets only those near it. Flags
+    without a position are left out; those without a time come last.
     """
 
     def fold(_: tuple, chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,7 +41,7 @@ def clustered(flags: DataFrame, radius: float = SAME_THING_M) -> DataFrame:
             out.append(hit + 1)
         yield pd.DataFrame({"lake": rows["lake"], "id": rows["id"], "cluster": out})
 
-    return flags.select("lake", "id", "t", "x", "y").groupBy("lake").applyInPandas(fold, "lake long, id long, cluster long")
+    return flags.select("lake", "id", "t", "x", "y").where("x is not null and y is not null and not isnan(x) and not isnan(y)").groupBy("lake").applyInPandas(fold, "lake long, id long, cluster long")
 
 
 def cluster_stats(flags: DataFrame, radius: float = SAME_THING_M) -> DataFrame:

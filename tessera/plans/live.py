@@ -9,7 +9,7 @@ from ..operators import alerts, flags, geometry, trajectory
 from ..operators.components import lines_of
 from ..sources import files
 from ..sources.fixtures import fixture
-from ..streaming import live, processors
+from ..streaming import lakes, live, processors
 from .catalog import _LEGS, _POINTS, _URGENT, built
 
 _FOLD = """with recursive p as (select {lake} as lake, id, t, x, y, reporter, accuracy, row_number() over (partition by {lake} order by t, id) as i from fx_flag {where}),
@@ -123,22 +123,71 @@ def _late(spark, d):
     return live.collected(lambda: processors.in_order(feed.fixes(), half // 2), arrivals(), "ordered", timers=True)
 
 
-_LAKES = """with k as (select cast(floor(x / 500) as bigint) as lake, cast(floor(x / 5) as bigint) as cx, cast(floor(y / 5) as bigint) as cy, t_ms, seq, speed > 6 as planing from fx_fix where accuracy <= 12)
-select lake, cx, cy, t_ms, seq, planing from (select *, row_number() over (partition by lake, cx, cy order by planing, t_ms desc, seq) as rn from k) where rn = 1"""
+_UPLOADS = """ev as (select seq, trip, t_ms, x, y, speed, accuracy, case when trip % 5 = 4 then 'no' else 'LAKE' || (trip % 5) end as code from fx_fix),
+ok as (select * from ev where code <> 'no'), ce as (select code as lake, cast(floor(x / 5) as bigint) as cx, cast(floor(y / 5) as bigint) as cy, t_ms, seq, speed > 6 as planing from ok where accuracy <= 12),
+cells as (select lake, cx, cy, t_ms, seq, planing from (select *, row_number() over (partition by lake, cx, cy order by planing, t_ms desc, seq) as rn from ce) where rn = 1),
+fl as (select code as lake, seq // 2 as id, t_ms, case seq % 5 when 0 then 'confirmed' when 1 then 'rejected' else 'pending' end as status, case when seq % 5 < 2 then t_ms + seq % 1000 end as reviewed_t, seq % 3 * 100 + trip as upload from ok where seq % 4 < 2),
+flags as (select lake, id, t_ms, status, reviewed_t from (select *, row_number() over (partition by lake, id order by status = 'pending', coalesce(reviewed_t, 0) desc, upload) as rn from fl) where rn = 1)"""
 
 
-@built("t6s_late_uploads", _LAKES)
+class _Uploads:
+    """Boats upload what they swept and flagged, three times each; ids repeat between boats of a lake and between uploads."""
+
+    def __init__(self, spark, d):
+        self.lakes = lakes.Lakes(spark, shared_path(spark, "shared-lakes"))
+        live.fed(self.rows, live.Feed(spark, d, F.pmod(F.col("event_id"), F.lit(3)), 3), self.lakes.merge)
+
+    @staticmethod
+    def rows(fixes):
+        trip, seq = F.col("trip"), F.col("seq")
+        at = lambda c: F.floor(F.col(c) / 5).cast("long")
+        status = F.when(seq % 5 == 0, "confirmed").when(seq % 5 == 1, "rejected").otherwise("pending")
+        cell = F.struct(F.lit("cell").alias("what"), at("x").alias("cx"), at("y").alias("cy"), F.lit(None).cast("long").alias("id"), (F.col("speed") > 6).alias("planing"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("reviewed_t"))
+        flag = F.struct(F.lit("flag").alias("what"), F.lit(None).cast("long").alias("cx"), F.lit(None).cast("long").alias("cy"), F.floor(seq / 2).cast("long").alias("id"), F.lit(None).cast("boolean").alias("planing"), status.alias("status"), F.when(seq % 5 < 2, F.col("t_ms") + seq % 1000).alias("reviewed_t"))
+        sent = F.filter(F.array(F.when(F.col("accuracy") <= 12, cell), F.when(seq % 4 < 2, flag)), lambda r: r.isNotNull())
+        code = F.when(trip % 5 == 4, "no").otherwise(F.concat(F.lit("lake"), (trip % 5).cast("string")))
+        return fixes.select((seq % 3 * 100 + trip).alias("upload"), code.alias("code"), "t_ms", "seq", F.explode(sent).alias("r")).select("upload", "code", "t_ms", "seq", "r.*")
+
+
+@built("t8s_server_merge", f"""with {_UPLOADS} select 'cell' as what, lake, cx, cy, null::bigint as id, t_ms, seq, planing, null as status, null::bigint as reviewed_t from cells
+union all select 'flag', lake, null, null, id, t_ms, null, null, status, reviewed_t from flags""")
+def _t8s(spark, d):
+    """Uploads that interleave in time, merged lake by lake."""
+    rows = _Uploads(spark, d).lakes.rows()
+    return rows.select("what", "lake", "cx", "cy", "id", "t_ms", F.when(F.col("what") == "cell", F.col("seq")).alias("seq"), "planing", "status", "reviewed_t")
+
+
+@built("t8s_upload_answers", f"""with {_UPLOADS}, up as (select distinct seq % 3 * 100 + trip as upload, upper(code) as lake, seq % 3 as n from ev where accuracy <= 12 or seq % 4 < 2),
+so as (select distinct k.n, lake, cx, cy from (select 0 as n union all select 1 union all select 2) k join (select *, seq % 3 as m from ce) c on c.m <= k.n), size as (select n, lake, count(*) as merged from so group by n, lake)
+select upload, up.lake, case when up.lake = 'NO' then 400 else 200 end as answer, case when up.lake <> 'NO' then coalesce(merged, 0) end as merged from up left join size on up.n = size.n and up.lake = size.lake""")
+def _t8s_answers(spark, d):
+    """What each upload is told: how many cells its lake then has, or why it was turned away."""
+    return _Uploads(spark, d).lakes.answers()
+
+
+@built("t6s_late_uploads", """with k as (select cast(floor(x / 500) as bigint) as lake, cast(floor(x / 5) as bigint) as cx, cast(floor(y / 5) as bigint) as cy, t_ms, seq, speed > 6 as planing from fx_fix where accuracy <= 12)
+select lake, cx, cy, t_ms, seq, planing from (select *, row_number() over (partition by lake, cx, cy order by planing, t_ms desc, seq) as rn from k) where rn = 1""")
 def _t6s(spark, d):
     """Arrivals from the newest stretch of time to the oldest."""
-    feed = live.Feed(spark, d, 2 - live.by_time(spark, d, 3), 3)
-    return live.merged_lakes(feed, F.floor(F.col("x") / 500).cast("long"))
+    shared = lakes.Lakes(spark, shared_path(spark, "late-lakes"))
 
+    def cells(fixes):
+        # a hundred cells of 5 m are a lake's 500
+        return _Uploads.rows(fixes).where("what = 'cell'").withColumn("code", F.concat(F.lit("LAKE"), F.floor(F.col("cx") / 100).cast("string")))
 
-@built("t8s_server_merge", _LAKES)
-def _t8s(spark, d):
-    """Uploads that interleave in time."""
-    feed = live.Feed(spark, d, F.pmod(F.col("event_id"), F.lit(3)), 3)
-    return live.merged_lakes(feed, F.floor(F.col("x") / 500).cast("long"))
+    live.fed(cells, live.Feed(spark, d, 2 - live.by_time(spark, d, 3), 3), shared.merge)
+    return shared.rows().select(F.substring("lake", 5, 8).cast("long").alias("lake"), "cx", "cy", "t_ms", "seq", "planing")
+
+
+@built("k9_marks_by_key", """with c as (select 'L' || (trip % 7) as lake, seq % 60 as id, t_ms as t, seq, seq % 5 = 4 as gone, case seq % 3 when 0 then 'confirmed' else 'pending' end as status from fx_fix),
+r as (select *, row_number() over (partition by lake, id order by t desc, seq desc) as rn from c) select lake, id, t, seq, status from r where rn = 1 and not gone""")
+def _k9(spark, d):
+    """Marks put and deleted by key, older changes after newer ones too."""
+    marks = lakes.Marks(spark, shared_path(spark, "marks"))
+    seq = F.col("seq")
+    changes = lambda f: f.select(F.concat(F.lit("L"), (F.col("trip") % 7).cast("string")).alias("lake"), (seq % 60).alias("id"), F.col("t_ms").alias("t"), "seq", (seq % 5 == 4).alias("gone"), F.when(seq % 3 == 0, "confirmed").otherwise("pending").alias("status"))
+    live.fed(changes, live.Feed(spark, d, F.pmod(F.col("event_id"), F.lit(3)), 3), marks.apply)
+    return marks.rows()
 
 
 # --- sources and sinks

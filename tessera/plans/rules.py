@@ -34,7 +34,8 @@ def scene_gate(takes, sun: float = 51, usable: float = 0.85, least: int = 12):
     """The takes with the sun high enough and enough usable pixels; raises where fewer than ``least`` are left."""
     kept = takes.where((F.col("elevation") >= sun) & (F.col("usable") >= usable))
     enough = kept.agg(F.assert_true(F.count("*") >= least, F.lit("too few scenes pass the gate")).alias("ok"))
-    return kept.join(F.broadcast(enough)).drop("ok")  # one row
+    # the check's row has a null there and never passes; it is a side of its own, so no rule drops it with an unused column or an empty side
+    return kept.unionByName(enough.where("ok is not null").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kept.schema]))
 
 
 @built("f5_scene_gate", f"with {_SUN} select id, usable from sun where elevation >= 51 and usable >= 0.85")
