@@ -272,7 +272,7 @@ with w as (select g.r as wr, g.c as wc, v.ft as v from fx_grid g cross join (sel
 select wr as r, wc as c, count(*) as n, case when count(*) > 1.25 then round(avg(v), 6) end as mean, case when count(*) > 1.25 then round(sqrt(greatest(0.000001, avg(v * v) - avg(v) * avg(v))), 6) end as sd from w group by wr, wc""")
 def _r1(spark, d):
     grid = fixture(spark, d, "fx_grid")
-    rows = grid.agg(F.max("r")).first()[0] + 1
+    rows = (grid.agg(F.max("r")).first()[0] or 0) + 1
     out = raster.window_mean_sd(grid, "ft", 2, rows, 50).join(grid.select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")), ["r", "c"])
     return out.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.storage import shared_path
-from ..operators import alerts, flags, geometry, trajectory
+from ..operators import alerts, flags, geometry, rings, trajectory
 from ..operators.components import lines_of
 from ..sources import files
 from ..sources.fixtures import fixture
@@ -303,6 +303,33 @@ def _j24(spark, d):
     return lines_of(ways)
 
 
+# rings of four ways, every other one turned round; every fifth ring lacks its last point
+_WAYS = """ways as (select id, case when turned then q else p end as a, case when turned then p else q end as b, turned from (
+  select s_suppkey as id, s_suppkey * 7 % 3 = 0 as turned, s_suppkey // 4 * 10 + s_suppkey % 4 as p, case when s_suppkey // 4 % 5 = 4 and s_suppkey % 4 = 3 then -s_suppkey else s_suppkey // 4 * 10 + (s_suppkey % 4 + 1) % 4 end as q from supplier) z)"""
+
+
+@built("j24_ordered_rings", f"""with recursive {_WAYS}, walk as (select id as ring, id, a as home, b as last, 0 as pos, true as forward from ways
+  union all select w.ring, n.id, w.home, case when n.a = w.last then n.b else n.a end, w.pos + 1, n.a = w.last from walk w join ways n on n.id <> w.id and (n.a = w.last or n.b = w.last) where w.last <> w.home and w.pos < 10),
+closed as (select ring from walk group by ring having bool_or(last = home) and min(id) = ring),
+v as (select ring, pos, id, forward, i, case when forward then a else b end as pt, id + 0.5 as mid from walk join closed using (ring) join ways using (id) cross join (values (0), (1)) t(i))
+select ring, pos, id, forward, i, (case when i = 0 then pt else mid end)::double as x, (case when i = 0 then -pt else id end)::double as y from v
+union all select null, null, id, null, null, null, null from ways where id not in (select id from walk join closed using (ring))""")
+def _j24_rings(spark, d):
+    """Ways of three points stitched to rings, whichever way round; ways of rings that don't close come without a ring."""
+    k = F.col("s_suppkey").cast("long")
+    g, i = F.floor(k / 4) * 10, k % 4
+    end = F.when((F.floor(k / 4) % 5 == 4) & (i == 3), -k).otherwise(g + (i + 1) % 4)
+    turned = k * 7 % 3 == 0
+    ways = spark.read.parquet(f"{d}/supplier.parquet").select(k.alias("id"), F.when(turned, end).otherwise(g + i).alias("a"), F.when(turned, g + i).otherwise(end).alias("b"))
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    ways = ways.withColumn("points", F.array(point(F.col("a"), -F.col("a")), point(F.col("id") + 0.5, F.col("id")), point(F.col("b"), -F.col("b"))))
+    placed = rings.stitched(ways)
+    out = rings.ring_vertices(ways, placed).join(placed, ["ring", "pos"]).select("ring", "pos", "id", "forward", "i", "x", "y")
+    none = [F.lit(None).cast(out.schema[c].dataType).alias(c) for c in ("ring", "pos")]
+    rest = [F.lit(None).cast(out.schema[c].dataType).alias(c) for c in ("forward", "i", "x", "y")]
+    return out.unionByName(rings.unclosed(ways, placed).select(*none, "id", *rest))
+
+
 @built("j19_holes_in_shells", """with h as (select id, avg(x) as x, avg(y) as y from fx_ring where ring = 1 group by id), e as (select id, x as x0, y as y0, coalesce(lead(x) over w, first_value(x) over w) as x1, coalesce(lead(y) over w, first_value(y) over w) as y1 from fx_ring where ring = 0 window w as (partition by id order by seq rows between unbounded preceding and unbounded following)),
 c as (select h.id, e.id as shell, sum(case when (y0 > y) <> (y1 > y) and x < x0 + (y - y0) * (x1 - x0) / nullif(y1 - y0, 0) then 1 else 0 end) as n from h cross join e group by h.id, e.id)
 select id, shell from c where n % 2 = 1""")

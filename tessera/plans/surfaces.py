@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import geometry, raster, rules, spatial, triangulation
+from ..operators import geometry, raster, rings, rules, spatial, triangulation
 from ..operators.components import grid_components
 from ..sources.fixtures import fixture
 from .catalog import _PAIR, built
@@ -26,7 +26,7 @@ def _r3(spark, d):
   join fx_grid v on v.r = greatest(0, least((select max(r) from fx_grid), g.r + dr)) and v.c = greatest(0, least(49, g.c + dc)) where v.ft is not null group by g.r, g.c""")
 def _r4(spark, d):
     grid = fixture(spark, d, "fx_grid")
-    rows = grid.agg(F.max("r")).first()[0] + 1
+    rows = (grid.agg(F.max("r")).first()[0] or 0) + 1
     out = raster.window_values(grid, "ft", 1, rows, 50).groupBy("r", "c").agg(F.percentile("v", 0.5).alias("ft"))
     return out.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "ft").join(grid.select("r", "c"), ["r", "c"])
 
@@ -60,6 +60,25 @@ def _r8(spark, d):
     return raster.outlines(blobs).groupBy("blob").agg((F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2).cast("long").alias("area"), F.count("*").alias("edges"))
 
 
+# sides with the blob on their left, numbered by corner and direction; at a pinch the outline turns left
+_SIDES = """m as (select r, c, r * 50 + c as k from fx_grid where ft >= 20),
+reach as (select k, k as other from m union select a.k, n.k from reach a join m o on a.other = o.k join m n on abs(n.r - o.r) + abs(n.c - o.c) = 1),
+bl as (select m.r, m.c, min(other) as blob from m join reach on m.k = reach.k group by m.r, m.c),
+sd as (select blob, c + ax as x0, r + ay as y0, c + bx as x1, r + by_ as y1, way, ((r + ay) * 51 + c + ax) * 4 + way as id from bl cross join (values (0, 1, 1, 0, 1, 1, 1), (0, -1, 0, 1, 0, 0, 3), (1, 0, 1, 1, 0, 1, 2), (-1, 0, 0, 0, 1, 0, 0)) s(dr, dc, ax, ay, bx, by_, way)
+  where not exists (select 1 from bl o where o.blob = bl.blob and o.r = bl.r + dr and o.c = bl.c + dc)),
+nx as (select id, blob, x0, y0, x1, y1, way, next, then_ from (select e.*, t.id as next, t.way as then_, row_number() over (partition by e.id order by (t.way - e.way + 4) % 4 <> 1) as rn from sd e join sd t on e.blob = t.blob and e.x1 = t.x0 and e.y1 = t.y0) where rn = 1),
+wk as (select id as start, id, next, 0 as pos from nx union all select w.start, n.id, n.next, w.pos + 1 from wk w join nx n on w.next = n.id where w.next <> w.start),
+rg as (select start, id, pos from wk where start in (select start from wk group by start having min(id) = start))"""
+
+
+@built("r8_blob_polygons", f"""with recursive {_SIDES}, tn as (select next as id from nx where way <> then_), sg as (select rg.start, sum(x0 * y1 - x1 * y0) as a from rg join sd on rg.id = sd.id group by 1)
+select blob, rg.start as ring, rg.pos::int as pos, x0 as x, y0 as y, a < 0 as hole from rg join sd on rg.id = sd.id join tn on rg.id = tn.id join sg on rg.start = sg.start""")
+def _r8_polygons(spark, d):
+    """Corners of each blob's shell and holes, in order."""
+    blobs = grid_components(fixture(spark, d, "fx_grid").where("ft >= 20").select("r", "c"), 50)
+    return rings.blob_rings(blobs, 50).withColumn("pos", F.col("pos").cast("int"))
+
+
 _CORNERS = """k as (select a.r, a.c, a.ft as a, b.ft as b, d.ft as d, e.ft as e, lv as level from fx_grid a join fx_grid b on b.r = a.r and b.c = a.c + 1 join fx_grid d on d.r = a.r + 1 and d.c = a.c + 1
   join fx_grid e on e.r = a.r + 1 and e.c = a.c cross join (select unnest({levels}) as lv) l where a.ft is not null and b.ft is not null and d.ft is not null and e.ft is not null)"""
 # the crossings of a cell's four sides, in pairs: the sides whose ends lie on different sides of the level
