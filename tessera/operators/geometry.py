@@ -14,13 +14,104 @@ def edges(spark: SparkSession, rings: list[list[tuple[float, float]]]) -> DataFr
     return spark.createDataFrame([(i, *map(float, e)) for i, *e in rows], "ring int, x0 double, y0 double, x1 double, y1 double")
 
 
+#: Where in a row of cells its scan line lies: no fraction of common coordinates.
+LINE = 0.41421356237309515
+
+
+def _filed(polygon: DataFrame) -> tuple[DataFrame, float, float, float] | None:
+    """The edges with their rows of cells ``row``, and the cells' side and corner: cells are about two edges wide, a ten-thousandth of the polygon at least."""
+    length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    low = lambda c: F.min(F.least(c + "0", c + "1"))
+    high = lambda c: F.max(F.greatest(c + "0", c + "1"))
+    n, total, x0, x1, y0, y1 = polygon.agg(F.count("*"), F.sum(length), low("x"), high("x"), low("y"), high("y")).first()
+    if not n:
+        return None
+    side = max(2 * total / n, max(x1 - x0, y1 - y0) / 10_000) or 1.0
+    row = lambda v: F.floor((v - y0) / side)
+    rows = F.sequence(row(F.least("y0", "y1")), row(F.greatest("y0", "y1")))
+    return polygon.select("x0", "y0", "x1", "y1", F.explode(rows).alias("row")), side, x0, y0
+
+
+def _at(y: Column) -> Column:
+    """Where the edge meets the level ``y``."""
+    return F.col("x0") + (y - F.col("y0")) * (F.col("x1") - F.col("x0")) / F.nullif(F.col("y1") - F.col("y0"), F.lit(0.0))
+
+
+def inside(points: DataFrame, polygon: DataFrame) -> DataFrame:
+    """``id, inside`` of ``points(id, x, y)``: even-odd over all edges ``x0, y0, x1, y1`` of ``polygon``, however many.
+
+    Every row of cells has a scan line; the crossings of the line are summed up cell by cell from the right, so a cell knows how many lie beyond
+    it. From there a point needs only the edges of its own cell: those that cross the line to its right, and those between the line and itself. Points on
+    an edge may fall on either side; points without a place are outside. Repeated ids must have equal places.
+    """
+    filed = _filed(polygon)
+    if filed is None:
+        return points.select("id", F.lit(False).alias("inside"))
+    edges_, side, left, bottom = filed
+    line = F.lit(bottom) + (F.col("row") + LINE) * side
+    col = lambda v: F.floor((v - left) / side)
+    on_line = (F.col("y0") > line) != (F.col("y1") > line)
+    crossed = edges_.where(on_line).select("row", col(_at(line)).alias("col")).groupBy("row", "col").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("row").orderBy(F.desc("col")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.lag("col").over(Window.partitionBy("row").orderBy("col"))
+    # cells after the crossing before this one and up to it see this and all beyond
+    spans = crossed.select("row", "col", F.sum("n").over(w).alias("beyond"), (F.coalesce(upto + 1, F.lit(0))).alias("from"))
+    place = points.where("x is not null and y is not null").select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    place = place.withColumn("row", F.floor((F.col("y") - bottom) / side)).withColumn("col", F.greatest(F.lit(-1), col(F.col("x"))))
+    cells = place.select("row", "col").distinct()
+    # crossings strictly beyond a cell: of the first span that begins after it
+    seen = cells.join(spans.withColumnRenamed("col", "to"), "row").where("to > col").groupBy("row", "col").agg(F.max("beyond").alias("beyond"))
+    # an edge's columns within its row: where it enters and leaves
+    foot, top = F.lit(bottom) + F.col("row") * side, F.lit(bottom) + (F.col("row") + 1) * side
+    clipped = lambda y: F.when(F.col("y0") == F.col("y1"), F.lit(None)).otherwise(_at(F.greatest(foot, F.least(top, y))))
+    ends = F.array_compact(F.array(clipped(F.col("y0")), clipped(F.col("y1")), F.when(F.col("y0") == F.col("y1"), F.col("x0")), F.when(F.col("y0") == F.col("y1"), F.col("x1"))))
+    near = edges_.withColumn("col", F.explode(F.sequence(col(F.array_min(ends) - side * 1e-9), col(F.array_max(ends) + side * 1e-9))))
+    x, y = F.col("x"), F.col("y")
+    right = on_line & (_at(line) > x) & (col(_at(line)) == F.col("col"))
+    height = F.col("y0") + (x - F.col("x0")) * (F.col("y1") - F.col("y0")) / F.nullif(F.col("x1") - F.col("x0"), F.lit(0.0))
+    between = ((F.col("x0") > x) != (F.col("x1") > x)) & ((height > y) != (height > line))
+    own = place.join(near, ["row", "col"]).groupBy("id").agg((F.count_if(right) + F.count_if(between)).alias("own"))
+    out = points.select("id").join(place, "id", "left").join(seen, ["row", "col"], "left").join(own, "id", "left")
+    return out.select("id", ((F.coalesce("beyond", F.lit(0)) + F.coalesce("own", F.lit(0))) % 2 == 1).alias("inside"))
+
+
+def shore_distance(points: DataFrame, polygon: DataFrame) -> DataFrame:
+    """``id, shore_m`` of ``points(id, x, y)``: how far the nearest edge is, at any distance; points without a place have no row."""
+    from .spatial import Pyramid, opened
+
+    e = polygon.select("x0", "y0", "x1", "y1", F.monotonically_increasing_id().alias("id"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    for c in "xy":
+        e = e.withColumn("l" + c, F.least(c + "0", c + "1")).withColumn("h" + c, F.greatest(c + "0", c + "1"))
+    tree = Pyramid(e, 8, boxes=("lx", "hx", "ly", "hy"))
+    if tree.empty:
+        return points.select("id", F.lit(None).cast("double").alias("shore_m")).limit(0)
+    met = opened(points.select("id", "x", "y"), tree).join(tree.points.select("level", "cx", "cy", "x0", "y0", "x1", "y1"), ["level", "cx", "cy"])
+    d = segment_distance(F.col("l_x"), F.col("l_y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    return met.groupBy(F.col("l_id").alias("id")).agg(F.min(d).alias("shore_m"))
+
+
 def inside_and_shore(points: DataFrame, polygon: DataFrame) -> DataFrame:
-    """``id, inside, shore_m`` of points: even-odd crossings over all rings, and the distance to the nearest edge."""
-    crosses = ((F.col("y0") > F.col("y")) != (F.col("y1") > F.col("y"))) & (F.col("x") < F.col("x0") + (F.col("y") - F.col("y0")) * (F.col("x1") - F.col("x0")) / F.when(F.col("y1") != F.col("y0"), F.col("y1") - F.col("y0")))
-    shore = segment_distance(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    ring = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in r.asDict().items()]) for r in polygon.collect()])
-    each = points.select("id", "x", "y", F.explode(ring).alias("e")).select("id", "x", "y", "e.*")
-    return each.groupBy("id").agg((F.sum(F.coalesce(crosses, F.lit(False)).cast("int")) % 2 == 1).alias("inside"), F.min(shore).alias("shore_m"))
+    """``id, inside, shore_m`` of points: even-odd containment over all rings, and the distance to the nearest edge (null without a place)."""
+    return inside(points, polygon).join(shore_distance(points, polygon), "id", "left")
+
+
+def raster_mask(polygon: DataFrame, step: float) -> DataFrame:
+    """``r, c``: the nodes (``c * step``, ``r * step``) inside the polygon, made row by row from the stretches between a row's crossings."""
+    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
+    rows = polygon.withColumn("r", F.explode(F.sequence(F.floor(low / step), F.ceil(high / step))))
+    level = F.col("r") * step
+    met = rows.where((F.col("y0") > level) != (F.col("y1") > level)).select("r", _at(level).alias("x"))
+    w = Window.partitionBy("r").orderBy("x")
+    pairs = met.select("r", F.col("x").alias("from"), F.lead("x").over(w).alias("to"), F.row_number().over(w).alias("k")).where("k % 2 = 1 and to is not null")
+    first, last = F.ceil(F.col("from") / step), F.ceil(F.col("to") / step) - 1
+    return pairs.where(first <= last).select("r", F.explode(F.sequence(first, last)).alias("c")).distinct()
+
+
+def eroded(polygon: DataFrame, step: float, shore: float) -> DataFrame:
+    """``r, c, far``: the polygon's nodes, and whether they lie ``shore`` or more from its edges: the mask of the polygon less a strip along the shore."""
+    nodes = raster_mask(polygon, step)
+    points = nodes.select(F.struct("r", "c").alias("id"), (F.col("c") * step).alias("x"), (F.col("r") * step).alias("y"))
+    return shore_distance(points, polygon).select("id.r", "id.c", (F.col("shore_m") >= shore).alias("far"))
 
 
 def ring_edges(vertices: DataFrame) -> DataFrame:

@@ -66,10 +66,14 @@ class Pyramid:
 
     DEEPEST = 24
 
-    def __init__(self, rows: DataFrame, leaf: int = 16):
+    def __init__(self, rows: DataFrame, leaf: int = 16, boxes: tuple[str, str, str, str] | None = None):
+        """``rows(id, x, y)``; or things of some extent, all kept, each filed under its middle, with the columns of their ``boxes``: low and high x, low and high y."""
         from ..functions.storage import kept
 
-        rest = kept(rows.where("x is not null and y is not null").groupBy(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min("id").alias("id")), "points")
+        known = rows.where("x is not null and y is not null")
+        xy = (F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+        rest = kept(known.groupBy(*xy).agg(F.min("id").alias("id")) if boxes is None else known.select(*xy, *[c for c in known.columns if c not in ("x", "y")]), "points")
+        lx, hx, ly, hy = boxes or ("x", "x", "y", "y")
         x0, x1, y0, y1 = rest.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
         self.empty = x0 is None
         self.levels: list[DataFrame] = []
@@ -81,14 +85,14 @@ class Pyramid:
         filed = []
         for level in range(self.DEEPEST + 1):
             keyed = self.keyed(rest, level)
-            cells = keyed.groupBy("level", "cx", "cy").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+            cells = keyed.groupBy("level", "cx", "cy").agg(F.count("*").alias("n"), F.min(lx).alias("x0"), F.max(hx).alias("x1"), F.min(ly).alias("y0"), F.max(hy).alias("y1"))
             cells = kept(cells.withColumn("whole", (F.col("n") <= leaf) | F.lit(level == self.DEEPEST)), "cells")
             self.levels.append(cells)
             whole, crowded = cells.where("whole").select("cx", "cy"), cells.where("not whole").select("cx", "cy")
             filed.append(keyed.join(whole, ["cx", "cy"], "left_semi"))
             if crowded.limit(1).count() == 0:
                 break
-            rest = kept(keyed.join(crowded, ["cx", "cy"], "left_semi").select("x", "y", "id"), "crowded")
+            rest = kept(keyed.join(crowded, ["cx", "cy"], "left_semi").select(*rest.columns), "crowded")
         self.points = filed[0]
         for part in filed[1:]:
             self.points = self.points.unionByName(part)

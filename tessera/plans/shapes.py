@@ -25,6 +25,25 @@ def _r6(spark, d):
     return geometry.inside_and_shore(fixture(spark, d, "fx_sounding"), geometry.edges(spark, LAKE)).select("id", F.col("inside").alias("water"))
 
 
+@built("r6_raster_mask", f"""with e as ({_EDGES}), g as (select r, c, c * 25.0 as x, r * 25.0 as y from (select unnest(range(0, 80)) as r) a cross join (select unnest(range(0, 80)) as c) b),
+p as (select g.*, e.*, greatest(0, least(1, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)))) as t from g cross join e)
+select r, c, min(sqrt(power(x - x0 - t * (x1 - x0), 2) + power(y - y0 - t * (y1 - y0), 2))) >= 60 as far from p group by r, c
+having sum(case when (y0 > y) <> (y1 > y) and x >= x0 + (y - y0) * (x1 - x0) / nullif(y1 - y0, 0) then 1 else 0 end) % 2 = 1""")
+def _r6_mask(spark, d):
+    """Nodes of a 25 m raster in the lake, and which of them lie 60 m or more from its shores."""
+    return geometry.eroded(geometry.edges(spark, LAKE), 25.0, 60.0)
+
+
+@built("g6_points_in_parcels", """with e as (select id as shell, x as x0, y as y0, coalesce(lead(x) over w, first_value(x) over w) as x1, coalesce(lead(y) over w, first_value(y) over w) as y1 from fx_ring where ring = 0 window w as (partition by id order by seq rows between unbounded preceding and unbounded following)),
+p as (select n.id, n.x, n.y, e.*, greatest(0, least(1, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)))) as t from fx_naip n cross join e),
+s as (select id, sum(case when (y0 > y) <> (y1 > y) and x < x0 + (y - y0) * (x1 - x0) / nullif(y1 - y0, 0) then 1 else 0 end) % 2 = 1 as inside, round(min(sqrt(power(x - x0 - t * (x1 - x0), 2) + power(y - y0 - t * (y1 - y0), 2))), 6) as shore_m from p group by id)
+select id, case when shore_m > 0 then inside end as inside, shore_m from s""")
+def _g6_parcels(spark, d):
+    """Even-odd over the shells of all parcels at once: a polygon whose edges grow with the table. Points on an edge are neither in nor out."""
+    parcels = geometry.ring_edges(fixture(spark, d, "fx_ring").where("ring = 0"))
+    return geometry.inside_and_shore(fixture(spark, d, "fx_naip"), parcels).select("id", F.when(F.round("shore_m", 6) > 0, F.col("inside")).alias("inside"), F.round("shore_m", 6).alias("shore_m"))
+
+
 @built("s5_placemarks", """with c as (select page_id, unnest(string_split(html, '<a ')) as chunk, generate_subscripts(string_split(html, '<a '), 1) - 1 as pos from pages)
 select page_id, pos, regexp_extract(chunk, 'href="([^"]+)"', 1) as href, length(chunk) as n from c where pos > 0""")
 def _s5(spark, d):

@@ -50,7 +50,7 @@ FIXTURES = {
           cast({epoch} as bigint) as t, cast(user_id % 7 as bigint) as reporter, value / 5 as accuracy,
           case event_id % 5 when 0 then 'confirmed' when 1 then 'rejected' else 'pending' end as status,
           case when event_id % 5 < 2 then cast({epoch} as bigint) + event_id % 1000 end as reviewed_t
-        from {events} where event_type = 'error'""",
+        from {events}""",
     "fx_sounding": """
         select cast(s_suppkey as bigint) as id, cast((7919 * cast(s_suppkey as bigint)) % 1999 as double) as x, cast((10473 * cast(s_suppkey as bigint)) % 2003 as double) as y,
           cast(floor(abs(s_acctbal) / 100) as double) as depth_ft
