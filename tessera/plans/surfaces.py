@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import geometry, raster, rings, rules, spatial, triangulation
+from ..operators import geometry, raster, rings, rules, spatial, triangulation, unions
 from ..operators.components import grid_components
 from ..sources.fixtures import fixture
 from .catalog import _PAIR, built
@@ -158,6 +158,31 @@ def _r11(spark, d):
     return out.select("id.r", "id.c", F.round(F.coalesce("v", "depth_ft"), 6).alias("ft"), F.col("v").isNotNull().alias("inside"))
 
 
+# covered cells between all distinct coordinates; a corner is where one or three of the four cells around a point are covered, or two across
+_BOXES = """bx as (select id, x - 30 - id % 40 as x0, y - 20 - id % 30 as y0, x + 30 + id % 40 as x1, y + 20 + id % 30 as y1 from fx_sentinel),
+xs as (select x, row_number() over (order by x) as i from (select x0 as x from bx union select x1 from bx) u), ys as (select y, row_number() over (order by y) as j from (select y0 as y from bx union select y1 from bx) u),
+cv as (select distinct i, j from bx join xs on x >= x0 and x < x1 join ys on y >= y0 and y < y1)"""
+
+
+@built("u7_box_union_corners", f"""with {_BOXES}, sp as (select i + di as i, j + dj as j, count(*) as n, bool_or(di = dj) and bool_or(di <> dj) as side from cv cross join (values (0, 0), (0, 1), (1, 0), (1, 1)) d(di, dj) group by 1, 2)
+select x, y, case when n = 2 then 2 else 1 end::bigint as corners from sp join xs using (i) join ys using (j) where n in (1, 3) or (n = 2 and not side)""")
+def _u7_corners(spark, d):
+    """Corners of the rings that bound the boxes around detections, and how many rings or bends meet at each."""
+    return unions.box_union(_boxes(spark, d)).groupBy("x", "y").agg(F.count("*").alias("corners"))
+
+
+@built("u7_box_union_area", f"with {_BOXES} select sum((xn.x - xs.x) * (yn.y - ys.y)) as area from cv join xs on cv.i = xs.i join xs xn on xn.i = xs.i + 1 join ys on cv.j = ys.j join ys yn on yn.j = ys.j + 1")
+def _u7_area(spark, d):
+    sides = unions.bare_sides(_boxes(spark, d))
+    return sides.agg((F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2).alias("area"))
+
+
+def _boxes(spark, d):
+    half = lambda a, n: F.lit(a) + F.col("id") % n
+    x, y = F.col("x"), F.col("y")
+    return fixture(spark, d, "fx_sentinel").select((x - half(30, 40)).alias("x0"), (y - half(20, 30)).alias("y0"), (x + half(30, 40)).alias("x1"), (y + half(20, 30)).alias("y1"))
+
+
 @built("w14_equalisation_knots", """with q as (select t, percentile_cont([i / 128.0 for i in range(0, 129)]) within group (order by nir) as k, percentile_cont(0.999) within group (order by nir) as top from fx_pixel group by t),
 v as (select p.*, k, top, len(list_filter(k, lambda x: x <= nir)) as n from fx_pixel p join q on p.t = q.t),
 e as (select *, case when n = 0 then 0.0 when n >= 129 then 1.0 else (n - 1 + (nir - k[n]) / case when k[n + 1] > k[n] then k[n + 1] - k[n] else 1 end) / 128 end as eq from v)
