@@ -120,7 +120,7 @@ def undominated_fillings(room: int, counts: dict[int, int], width: int, items: i
     return kept
 
 
-def bin_completion(counts: dict[int, int], capacity: int, effort: int = 300, width: int = 16, items: int = 6) -> Plan:
+def bin_completion(counts: dict[int, int], capacity: int, effort: int = 3000, width: int = 64, items: int = 6) -> Plan:
     """The best plan found within ``effort`` search nodes; never more sequences than best-fit decreasing gives.
 
     The width of the fillings tried is doubled from 2 to ``width``, each with an equal share of the effort, until a plan meets the lower bound.

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -103,3 +104,10 @@ def test_empty_and_refused(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), WORD).collect() == []
     with pytest.raises(Exception, match="longer than a sequence"):
         pack(spark.createDataFrame([(9,)], "length long"), 8).collect()
+
+
+def test_search_goes_on_beyond_a_few_hundred_nodes():
+    counts = Counter(np.random.default_rng(5).integers(200, 481, 120).tolist())
+    plan = bin_completion(counts, 1000)
+    assert sum(n for _, n in plan) == lower_bound(counts, 1000) == 41  # 300 nodes and a width of 16 leave 42
+    assert Counter({x: m for x, m in Counter(x for p, n in plan for x, k in p for _ in range(k * n)).items()}) == counts
