@@ -1,7 +1,7 @@
 """Benchmark decontamination by a BM25 inverted index of test items with block-max bounds.
 
 Impacts are BM25 weights divided by the item's score against itself, so one threshold serves all items and a passage
-that holds a whole item scores 1. Every passage of every text is a query. Postings are grouped into blocks of items with their
+that holds a whole item scores 1. Every passage of every text is a query, its width that of the item's length up to a doubling. Postings are grouped into blocks of items with their
 largest impact. As in WAND, an item's commonest terms, whose impacts together stay below a share of the threshold, open
 nothing; for the others the block maxima of a passage's terms add up to a bound, and only blocks that reach the
 threshold with it are scored. What scores is verified: word runs of both the item's question and its answer must stand in the passage.
@@ -57,38 +57,60 @@ class Hit:
 
 @dataclass
 class ItemStatistics:
-    """Of the whole table of items that aren't blank: how many hold a word, how many there are, their words, the longest's words."""
+    """Of the whole table of items that aren't blank: how many hold a word, how many there are, their words."""
 
     held: dict[bytes, int]
     items: int
     words: int
-    longest: int
 
 
 @dataclass
 class ItemIndex:
     """The index of a slice of items; ``search(words)`` gives the best verified passage of each item.
 
-    ``whole`` are the statistics of the table that the slice is of (of the slice's words, at least); without them the slice is the table.
+    Items are shelved by length, a doubling each, so how wide an item's passages are depends on that item alone. ``whole`` are the statistics of
+    the table that the slice is of (of the slice's words, at least); without them the slice is the table.
     """
 
     items: list[tuple[int | None, bytes]]
     threshold: float = 0.6
     overlap: float = 0.5
     common: float = 0.25
-    terms: dict[bytes, int] = field(default_factory=dict)
     whole: ItemStatistics | None = None
 
     def __post_init__(self):
         # blank items match nothing
         split = [(i, t, w) for i, t in self.items if (w := words_of(t))]
+        whole = self.whole or ItemStatistics(Counter(x for *_, w in split for x in set(w)), len(split), sum(len(w) for *_, w in split))
+        by: dict[int, list] = {}
+        for row in split:
+            by.setdefault(1 << (len(row[2]) - 1).bit_length(), []).append(row)
+        self.shelves = [Shelf(rows, step, self.threshold, self.overlap, self.common, whole) for step, rows in sorted(by.items())]
+        self.items, self.whole = [], None  # not to be broadcast
+
+    def search(self, words: list[bytes]) -> list[Hit]:
+        return [h for shelf in self.shelves for h in shelf.search(words)]
+
+
+@dataclass
+class Shelf:
+    """Items ``split`` (id, text, words) of up to ``step`` words: passages of two steps, one step apart, hold any of them whole."""
+
+    split: list[tuple[int | None, bytes, list[bytes]]]
+    step: int
+    threshold: float
+    overlap: float
+    common: float
+    whole: ItemStatistics | None
+    terms: dict[bytes, int] = field(default_factory=dict)
+
+    def __post_init__(self):
+        split, whole = self.split, self.whole
         self.names = [i for i, _, _ in split]
         self.parts = [tuple(map(runs, question_and_answer(t))) for _, t, _ in split]
-        own = Counter(x for *_, w in split for x in set(w))
-        for x in sorted(own):
+        for x in sorted({x for *_, w in split for x in w}):
             self.terms[x] = len(self.terms)
-        whole = self.whole or ItemStatistics(own, len(split), sum(len(w) for *_, w in split), max((len(w) for *_, w in split), default=1))
-        self.whole = None  # not to be broadcast
+        self.split, self.whole = [], None  # not to be broadcast
         held, all_items, mean = whole.held, whole.items, whole.words / max(1, whole.items)
         n = len(split)
         self.impacts: list[dict[int, float]] = []
@@ -112,7 +134,6 @@ class ItemIndex:
         self.block = np.array([b for _, b in order], np.int64)
         self.largest = np.array([best[k] for k in order])
         self.first = np.searchsorted(np.array([t for t, _ in order], np.int64), np.arange(len(self.terms) + 1))
-        self.step = whole.longest  # passages of two steps, one step apart, hold any item whole
 
     def search(self, words: list[bytes]) -> list[Hit]:
         best: dict[int, Hit] = {}
@@ -156,7 +177,7 @@ class ItemIndex:
 
 
 def _words(parts: DataFrame) -> DataFrame:
-    """``part, word, items, words, longest`` of ``parts(part, text)``: the items that hold each word; for the null word, of all items, and their words."""
+    """``part, word, items, words`` of ``parts(part, text)``: the items that hold each word; for the null word, of all items, and their words."""
 
     def count(batches):
         for batch in batches:
@@ -164,34 +185,34 @@ def _words(parts: DataFrame) -> DataFrame:
             for part, t in zip(batch["part"].to_pylist(), texts(batch["text"]), strict=True):
                 if w := words_of(t):
                     for x in (None, *set(w)):
-                        row = found.setdefault((part, x), [0, 0, 0])
-                        row[:] = row[0] + 1, row[1] + len(w), max(row[2], len(w))
+                        row = found.setdefault((part, x), [0, 0])
+                        row[:] = row[0] + 1, row[1] + len(w)
             keys, rows = list(found), list(found.values())
-            columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "word", "items", "words", "longest"])
+            columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(2))]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "word", "items", "words"])
 
-    counted = parts.select("part", "text").mapInArrow(count, "part long, word binary, items long, words long, longest long")
-    return counted.groupBy("part", "word").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+    counted = parts.select("part", "text").mapInArrow(count, "part long, word binary, items long, words long")
+    return counted.groupBy("part", "word").agg(F.sum("items").alias("items"), F.sum("words").alias("words"))
 
 
 def indexes(items: DataFrame, slice_items: int = 20_000, **options) -> Iterator[ItemIndex]:
     """Indexes of ``items(item_id, text)`` in slices of about ``slice_items``, each small enough to be broadcast; null texts match nothing.
 
-    Statistics and the passages' width are of the whole table, so a score doesn't depend on the slices.
+    Statistics are of the whole table, so a score doesn't depend on the slices.
     """
     rows = bounded_batches(items).select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     n = -(-rows.count() // slice_items)
     if n > 1:  # dealt once, repeated items too
         rows = stored(rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text", F.monotonically_increasing_id()), F.lit(n))), "items")
         by_part = stored(_words(rows), "item-words")
-        by_word = stored(by_part.groupBy("word").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest")), "item-words")
+        by_word = stored(by_part.groupBy("word").agg(F.sum("items").alias("items"), F.sum("words").alias("words")), "item-words")
         top = by_word.where("word is null").first()
     for k in range(n):
         own, whole = rows, None
         if n > 1:
             own = rows.where(F.col("part") == k)
             held = by_word.join(by_part.where((F.col("part") == k) & F.col("word").isNotNull()).select("word"), "word").select("word", "items").collect()
-            whole = None if top is None else ItemStatistics({bytes(r["word"]): r["items"] for r in held}, top["items"], top["words"], top["longest"])
+            whole = None if top is None else ItemStatistics({bytes(r["word"]): r["items"] for r in held}, top["items"], top["words"])
         yield ItemIndex([(r["item_id"], r["text"].encode()) for r in own.orderBy("item_id", "text").collect()], whole=whole, **options)
 
 

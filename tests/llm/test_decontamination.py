@@ -8,13 +8,14 @@ def brute(rows, index):
     out = set()
     for d, t, *_ in rows:
         words = words_of((t or "").encode())
-        for at in range(0, max(1, len(words)), index.step):
-            part = words[at : at + 2 * index.step]
-            have = {index.terms[w] for w in part if w in index.terms}
-            for i, name in enumerate(index.names):
-                score = sum(v for x, v in index.impacts[i].items() if x in have)
-                if score >= index.threshold and all(len(x & runs(part)) / len(x) >= index.overlap for x in index.parts[i]):
-                    out.add((d, name))
+        for shelf in index.shelves:
+            for at in range(0, max(1, len(words)), shelf.step):
+                part = words[at : at + 2 * shelf.step]
+                have = {shelf.terms[w] for w in part if w in shelf.terms}
+                for i, name in enumerate(shelf.names):
+                    score = sum(v for x, v in shelf.impacts[i].items() if x in have)
+                    if score >= shelf.threshold and all(len(x & runs(part)) / len(x) >= shelf.overlap for x in shelf.parts[i]):
+                        out.add((d, name))
     return out
 
 
@@ -53,6 +54,17 @@ def test_against_brute_force(spark):
     assert {r.doc_id for r in flagged} == {d for d, _ in expected} and flagged[0].asDict().keys() == {"doc_id", "text", "score"}
 
 
+def test_a_long_item_changes_no_other(spark):
+    item = (1, "which river flows through the old town of nine bridges. the green alder")
+    filler = " ".join(f"f{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, f"which river flows through the old town of nine bridges {filler} the green alder"), (2, f"{filler} {item[1]} {filler}")], "doc_id long, text string")
+    long_item = (2, " ".join(f"w{i}" for i in range(100_000)))
+    for items in ([item], [item, long_item]):
+        got = contaminated_passages(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert [(r.doc_id, r.item_id) for r in got] == [(2, 1)]
+        assert got[0].passage_start in range(200 - 16, 201)
+
+
 def test_empty_tables(spark):
     docs, tests = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
