@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tessera.plans import catalog, lines, live, rules, sampling, shapes, stateful, statistics, surfaces  # noqa: F401
+from tessera.plans import archives, catalog, lines, live, rules, sampling, shapes, stateful, statistics, surfaces  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
