@@ -25,8 +25,8 @@ def bare_sides(boxes: DataFrame) -> DataFrame:
     side = lambda way, at, low, high: F.struct(F.lit(way).alias("way"), F.col(at).alias("at"), F.col(low).alias("low"), F.col(high).alias("high"))
     sides = b.select("key", F.explode(F.array(side(0, "y0", "x0", "x1"), side(1, "x1", "y0", "y1"), side(2, "y1", "x0", "x1"), side(3, "x0", "y0", "y1"))).alias("s")).select("key", "s.*")
     across = F.col("way") % 2 == 0
-    span = lambda along: F.when(across == along, F.col("low")).otherwise(F.col("at")), lambda along: F.when(across == along, F.col("high")).otherwise(F.col("at"))
-    filed = sides.withColumn("cx", _cells(span[0](True), span[1](True), size)).withColumn("cy", _cells(span[0](False), span[1](False), size))
+    reach = lambda end, along: F.when(across == along, F.col(end)).otherwise(F.col("at"))
+    filed = sides.withColumn("cx", _cells(reach("low", True), reach("high", True), size)).withColumn("cy", _cells(reach("low", False), reach("high", False), size))
     other = b.select(F.col("key").alias("o"), *[F.col(c).alias("o" + c) for c in names]).withColumn("cx", _cells(F.col("ox0"), F.col("ox1"), size)).withColumn("cy", _cells(F.col("oy0"), F.col("oy1"), size))
     met = filed.join(other, ["cx", "cy"]).where("key <> o").drop("cx", "cy").distinct()
     near = F.when(across, F.col("oy0")).otherwise(F.col("ox0"))  # the other box across the side, and along it
