@@ -240,8 +240,7 @@ def _met(rows: DataFrame, percent: int) -> DataFrame:
     """
     matrix = rows.where("reach >= n").groupBy("token", "gid", "part", F.col("n").alias("m")).agg(F.max("reach").alias("reached"))
     matrix = stored(matrix.select("token", F.col("gid").alias("g"), F.col("part").alias("p"), "m", "reached"), "matrix")
-    several = matrix.groupBy("token").agg(F.count("*").alias("entries"), F.min("g").alias("low"), F.max("g").alias("high"))
-    asked = salted_join(rows.select("token", "sid", "gid", "n", "reach"), matrix.join(several.select("token"), "token"), ["token"], by="sid")
+    asked = salted_join(rows.select("token", "sid", "gid", "n", "reach"), matrix, ["token"], by="sid")
     fits = f"g <> gid and m <= n and 100 * m >= {percent} * n and m <= reach and reached >= n and (m < n or g < gid)"
     return stored(asked.where(fits).select("sid", F.col("g").alias("gid"), F.col("p").alias("part")).distinct(), "met")
 
