@@ -33,8 +33,6 @@ shared("j17_results_by_index", "select n.id, coalesce(b.dry_frac, -1.0) as dry_f
 shared("j20_items_by_year", "select year, count(distinct item) as items, count(*) as n from fx_vote group by year")
 shared("j21_new_flags", "select f.id from fx_flag f left join (select id from fx_flag where id % 3 = 0) k on f.id = k.id where k.id is null")
 shared("a2_valid_count", "select r, c, sum(case when valid then 1 else 0 end) as n from fx_pixel group by r, c")
-shared("a9_anomaly_fraction", "select r, c, sum(case when valid and nir > 260 then 1 else 0 end) as hits, avg(case when valid then nir end) as nir from fx_pixel group by r, c")
-shared("a10_class_masks", "select r, c, case when land >= 4 then 'exposed' when land >= 2 then 'drawdown' when hits >= 1 then 'rock' else 'water' end as cls from (select r, c, sum(case when valid and green < nir then 1 else 0 end) as land, sum(case when valid and nir > 260 then 1 else 0 end) as hits from fx_pixel group by r, c) p")
 shared("a16_group_percentiles", "select tier, median(area_m2) as mid, percentile_cont(0.9) within group (order by area_m2) as p90, max(area_m2) as hi, avg(cast(case when area_m2 <= 25 then 1 else 0 end as double)) as small from fx_naip group by tier")
 shared("a17_flight_contrast", "select year, round(median(contrast), 6) as contrast from (select year, item % 8 as chip, (percentile_cont(0.999) within group (order by cents) - median(cents)) / (percentile_cont(0.75) within group (order by cents) - percentile_cont(0.25) within group (order by cents) + 0.000001) as contrast from fx_vote group by year, item % 8) v group by year")
 shared("a19_median_composite", "select r, c, median(nir) as nir, avg(cast(case when green > nir then 1 else 0 end as double)) > 0.5 as water from fx_pixel where valid group by r, c")
