@@ -138,11 +138,13 @@ def bin_completion(counts: dict[int, int], capacity: int, effort: int = 3000, wi
 def _search(counts: dict[int, int], capacity: int, effort: int, width: int, items: int, best: Plan, used: int, least: int) -> tuple[Plan, int]:
     """Branch and bound, depth first, from the incumbent ``best`` of ``used`` sequences."""
     total = sum(x * n for x, n in counts.items())
-    # a frame: what is left, patterns so far, sequences so far, waste so far
-    stack: list[tuple[dict[int, int], Plan, int, int]] = [(counts, [], 0, 0)]
+    # a frame: what was left and the patterns before its own, its pattern and how often, sequences and waste with it; siblings share the first two
+    stack: list[tuple[dict[int, int], Plan, dict[int, int], int, int, int]] = [(counts, [], {}, 0, 0, 0)]
     while stack and effort > 0 and used > least:
-        left, plan, n, waste = stack.pop()
+        before, past, need, times, n, waste = stack.pop()
         effort -= 1
+        left = {x: m for x, m in ((x, m - times * need.get(x, 0)) for x, m in before.items()) if m}
+        plan = [*past, (tuple(need.items()), times)] if times else past
         if not left:
             if n < used:
                 best, used = plan, n
@@ -155,15 +157,14 @@ def _search(counts: dict[int, int], capacity: int, effort: int, width: int, item
         beside = {**left, top: left[top] - 1}
         branches = []
         for filling in undominated_fillings(capacity - top, beside, width, items):
-            need: dict[int, int] = {top: 1}
+            need = {top: 1}
             for x in filling:
                 need[x] = need.get(x, 0) + 1
             spill = capacity - top - sum(filling)
             most = min(left[x] // k for x, k in need.items())
             for times in dict.fromkeys((1, most)):
                 if waste + times * spill <= allowed:
-                    after = {x: m for x, m in ((x, m - times * need.get(x, 0)) for x, m in left.items()) if m}
-                    branches.append((after, [*plan, (tuple(need.items()), times)], n + times, waste + times * spill))
+                    branches.append((left, plan, need, times, n + times, waste + times * spill))
         stack += reversed(branches)
     return best, used
 
