@@ -1,7 +1,7 @@
 """Best-fit packing of token pieces into sequences by bin completion over the histogram of lengths.
 
 Only lengths matter to a packing, and there are at most ``capacity`` of them, so the search runs on their counts: best-fit
-decreasing gives the first incumbent; unless it meets the lower bound, branch and bound takes the largest remaining
+decreasing gives the first incumbent, fillings without a gap another; unless one meets the lower bound, branch and bound takes the largest remaining
 length, enumerates the undominated fillings of the room beside it, and drops branches whose waste can no longer beat
 the incumbent. The plan tells how many sequences take which lengths; pieces, ranked within their length by Spark, look up their place in it.
 """
@@ -120,14 +120,77 @@ def undominated_fillings(room: int, counts: dict[int, int], width: int, items: i
     return kept
 
 
+def _fill(free: np.ndarray, room: int) -> list[int]:
+    """One free piece, or else the most even two, that fill the room to the last token; empty if there are none."""
+    if free[room]:
+        return [room]
+    half = room // 2
+    both = (free[1 : half + 1] > 0) & (free[room - half : room][::-1] > 0)
+    if room % 2 == 0 and free[half] < 2:
+        both[half - 1 :] = False
+    at = np.flatnonzero(both)
+    return [room - int(at[-1]) - 1, int(at[-1]) + 1] if len(at) else []
+
+
+def _completion(n: np.ndarray, top: int, capacity: int, tries: int = 32) -> list[int]:
+    """``top`` and pieces beside it, with as small a gap as is found."""
+    free, chosen, room, states = n.copy(), [top], capacity - top, []
+    free[top] -= 1
+    while room:
+        if found := _fill(free, room):
+            return chosen + found
+        fits = np.flatnonzero(free[1 : room + 1])
+        if not len(fits):
+            break
+        states.append((len(chosen), room))
+        chosen.append(int(fits[-1]) + 1)
+        free[chosen[-1]] -= 1
+        room -= chosen[-1]
+    if room:  # another piece than the longest may leave what two others fill
+        for size, left in states[: -4 : -1]:
+            free = n.copy()
+            np.subtract.at(free, chosen[:size], 1)
+            for x in np.flatnonzero(free[1:left])[: -tries - 1 : -1] + 1:
+                free[x] -= 1
+                if found := _fill(free, left - x):
+                    return [*chosen[:size], int(x), *found]
+                free[x] += 1
+    return chosen
+
+
+def exact_fills(counts: dict[int, int], capacity: int) -> Plan:
+    """Longest piece first, beside it pieces that leave no gap, the most even ones: short pieces fit anywhere and are kept for the last sequences.
+
+    A filling is used until one of its lengths runs out, so there are about as many as lengths.
+    """
+    n = np.zeros(capacity + 1, np.int64)
+    for x, m in counts.items():
+        n[x] = m
+    plan: Plan = []
+    for top in sorted(counts, reverse=True):
+        while n[top]:
+            need: dict[int, int] = {}
+            for x in _completion(n, top, capacity):
+                need[x] = need.get(x, 0) + 1
+            times = min(int(n[x]) // k for x, k in need.items())
+            for x, k in need.items():
+                n[x] -= k * times
+            plan.append((tuple(need.items()), times))
+    return plan
+
+
 def bin_completion(counts: dict[int, int], capacity: int, effort: int = 3000, width: int = 64, items: int = 6) -> Plan:
-    """The best plan found within ``effort`` search nodes; never more sequences than best-fit decreasing gives.
+    """The best plan found within ``effort`` search nodes; never more sequences than best-fit decreasing or ``exact_fills`` gives.
 
     The width of the fillings tried is doubled from 2 to ``width``, each with an equal share of the effort, until a plan meets the lower bound.
     """
     counts = {x: n for x, n in counts.items() if n}
     best = best_fit_decreasing(counts, capacity)
     used, least = sum(n for _, n in best), lower_bound(counts, capacity)
+    if used > least:
+        other = exact_fills(counts, capacity)
+        if (n := sum(t for _, t in other)) < used:
+            best, used = other, n
     shares = [w for w in (2, 4, 8, 16, 32, 64) if w <= width]
     for w in shares:
         if used > least:

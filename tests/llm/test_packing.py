@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm.packing import best_fit_decreasing, bin_completion, lower_bound, pack, pack_documents, undominated_fillings
+from tessera.llm.packing import best_fit_decreasing, bin_completion, exact_fills, lower_bound, pack, pack_documents, undominated_fillings
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 
@@ -111,3 +111,16 @@ def test_search_goes_on_beyond_a_few_hundred_nodes():
     plan = bin_completion(counts, 1000)
     assert sum(n for _, n in plan) == lower_bound(counts, 1000) == 41  # 300 nodes and a width of 16 leave 42
     assert Counter({x: m for x, m in Counter(x for p, n in plan for x, k in p for _ in range(k * n)).items()}) == counts
+
+
+def test_large_mixes_meet_the_bound_without_a_search():
+    beaten = 0
+    for seed in range(8):
+        counts = Counter(np.minimum(np.random.default_rng(seed).lognormal(5.2, 1.2, 6000).astype(int) + 1, 1000).tolist())
+        check_plan(plan := exact_fills(counts, 1000), counts, 1000)
+        assert sum(n for _, n in plan) == sum(n for _, n in bin_completion(counts, 1000, effort=0)) == lower_bound(counts, 1000)
+        beaten += lower_bound(counts, 1000) < sum(n for _, n in best_fit_decreasing(counts, 1000))
+    assert beaten
+    for counts in ({1: 100_000}, {4096: 3, 1: 1}, {2048: 5}, {1500: 7, 1366: 4, 1365: 9}):
+        check_plan(exact_fills(counts, 4096), counts, 4096)
+    assert exact_fills({}, 10) == []
