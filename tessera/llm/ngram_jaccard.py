@@ -225,11 +225,14 @@ def _token_rows(source: DataFrame, groups: DataFrame, k: int, levels, percent: i
     run, schema = _rarest(k, levels, percent)
     held = source.select("text").mapInArrow(run, schema).join(groups.select("sid", "gid"), "sid", "left").select(F.explode("tokens").alias("token"), gid)
     common = held.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low <> high").select("token")
-    run, schema = _rarest(k, levels, percent, spark.sparkContext.broadcast(bloom_of(stored(common, "tokens"))))
+    wanted = spark.sparkContext.broadcast(bloom_of(stored(common, "tokens")))
+    run, schema = _rarest(k, levels, percent, wanted)
     rows = source.select("text").mapInArrow(run, schema).join(groups, "sid", "left")
     rows = rows.select("sid", gid, F.coalesce("part", F.lit(0)).alias("part"), "n", F.explode(F.arrays_zip("places", "tokens")).alias("x"))
     reach = F.expr(f"cast((n - x.places + {SHARED - 1}) * {100 + percent} div {percent} - n as int)")
-    return stored(rows.select(F.col("x.tokens").alias("token"), "sid", "gid", "part", "n", reach.alias("reach")).distinct(), "token-rows")
+    out = stored(rows.select(F.col("x.tokens").alias("token"), "sid", "gid", "part", "n", reach.alias("reach")).distinct(), "token-rows")
+    wanted.destroy()
+    return out
 
 
 def _met(rows: DataFrame, percent: int) -> DataFrame:
@@ -361,9 +364,12 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def sets_of(ids: DataFrame) -> DataFrame:
         """``sid, blob`` of the nodes ``ids(sid)``."""
         keys = stored(nodes.select("sid", "text_key").join(ids, "sid", "left_semi"), "keys")
-        fetch, out = _packed_texts(spark.sparkContext.broadcast(bloom_of(keys.select("text_key"))))
+        wanted = spark.sparkContext.broadcast(bloom_of(keys.select("text_key")))
+        fetch, out = _packed_texts(wanted)
         found = source.select("text_key", "text").mapInArrow(fetch, out).groupBy("text_key").agg(F.first("blob").alias("blob"))
-        return stored(found.join(keys, "text_key").select("sid", "blob"), "sets")
+        sets = stored(found.join(keys, "text_key").select("sid", "blob"), "sets")
+        wanted.destroy()
+        return sets
 
     keyed = nodes.select("sid", F.posexplode("keys").alias("r", "key"))
     buckets = keyed.groupBy("r", "key").agg(F.count("*").alias("m")).where("m > 1")
@@ -382,7 +388,9 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     groups = stored(salted_join(label, parts, ["gid"], by="sid").select("sid", "gid", F.expr("cast(pmod(xxhash64(sid), parts) as int)").alias("part")), "members")
 
     levels = spark.sparkContext.broadcast(_levels(all_rows.where("kind > 0")))
-    met = _met(_token_rows(source, groups, k, levels, percent), percent)
+    token_rows = _token_rows(source, groups, k, levels, percent)
+    levels.destroy()
+    met = _met(token_rows, percent)
     ends = met.select("sid").union(met.select("gid")).distinct()
     sets = sets_of(ends)
     first = stored(_verified(met.select(F.col("sid").alias("a"), F.col("gid").alias("b")).distinct(), sets, k, percent), "links")

@@ -1,5 +1,6 @@
 import random
 
+from tessera.llm import graph
 from tessera.llm.graph import connected_components
 
 
@@ -25,3 +26,15 @@ def test_against_union_find(spark):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_no_round_once_edges_are_stars(spark, monkeypatch):
+    kept = []
+    stored = graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, label: kept.append(label) or stored(df, label))
+    # stars, the core's own star and no core at all: each of the driver's rounds costs it dozens of threads and plans
+    for edges in ([(9, 1), (8, 1), (7, 2)], [(9, 1), (9, 2), (8, 2)], []):
+        kept.clear()
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: 2 if edges[1:] and x in (7, 2) and len(edges) == 3 and edges[2] == (7, 2) else 1 for e in edges for x in e}
+        assert kept == ["edges", "drawn", "edges", "leaves"]
