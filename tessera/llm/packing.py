@@ -150,10 +150,10 @@ def _completion(n: np.ndarray, top: int, capacity: int, tries: int = 32) -> list
         for size, left in states[: -4 : -1]:
             free = n.copy()
             np.subtract.at(free, chosen[:size], 1)
-            for x in np.flatnonzero(free[1:left])[: -tries - 1 : -1] + 1:
+            for x in (np.flatnonzero(free[1:left])[: -tries - 1 : -1] + 1).tolist():
                 free[x] -= 1
                 if found := _fill(free, left - x):
-                    return [*chosen[:size], int(x), *found]
+                    return [*chosen[:size], x, *found]
                 free[x] += 1
     return chosen
 

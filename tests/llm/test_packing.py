@@ -124,3 +124,18 @@ def test_large_mixes_meet_the_bound_without_a_search():
     for counts in ({1: 100_000}, {4096: 3, 1: 1}, {2048: 5}, {1500: 7, 1366: 4, 1365: 9}):
         check_plan(exact_fills(counts, 4096), counts, 4096)
     assert exact_fills({}, 10) == []
+
+
+def test_fillings_without_a_gap_reach_spark(spark):
+    sizes = [6, 7, 9, 11, 12, 18, 18, 19, 20, 21, 28, 28]  # best-fit decreasing takes 5 sequences; a gap is closed by another piece than the longest
+    plan = exact_fills(Counter(sizes), 50)
+    assert all(type(v) is int for pattern, times in plan for v in (times, *(y for x in pattern for y in x)))
+    got = pack(spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long"), 50).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(sizes))
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(bins) == 4
+    for b in bins.values():
+        ends = [0, *(o + n for o, n in sorted(b))]
+        assert [o for o, _ in sorted(b)] == ends[:-1] and ends[-1] <= 50
