@@ -104,3 +104,11 @@ def test_containment_and_shore_against_every_edge(spark, shape):
     if edges:
         nodes = {(r.r, r.c) for r in geometry.raster_mask(polygon, 37.0).collect()}
         assert nodes == {(r, c) for r in range(-5, 40) for c in range(-5, 40) if brute(c * 37.0, r * 37.0)[0]}
+
+
+def test_points_on_edges_and_corners_count_as_in_the_plain_sum(spark):
+    outline = [[(8, 4), (6, 6), (4, 8), (2, 6), (0, 4), (2, 2), (4, 0), (6, 2)], [(3, 3), (5, 3), (5, 5), (3, 5)], [(0, 7), (3, 9), (1, 9)]]
+    edges = [(i, *map(float, (*r[j], *r[(j + 1) % len(r)]))) for i, r in enumerate(outline) for j in range(len(r))]
+    points = [(i, i % 21 / 2, i // 21 / 2) for i in range(21 * 21)]
+    got = geometry.inside(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(edges, "ring int, x0 double, y0 double, x1 double, y1 double"))
+    assert {r.id: r.inside for r in got.collect()} == {i: sum((b > y) != (d > y) and x < a + (y - b) * (c - a) / (d - b) for _, a, b, c, d in edges) % 2 == 1 for i, x, y in points}
