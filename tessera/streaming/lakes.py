@@ -17,13 +17,13 @@ ANSWERS = "upload long, lake string, answer int, merged long"
 
 
 def _merged(rows: DataFrame) -> DataFrame:
-    """The strongest claim on each cell and the weightiest copy of each flag: reviewed before pending, the later review, the earlier upload."""
+    """The strongest claim on each cell and the weightiest copy of each flag: reviewed before pending, the later review, the earlier upload, the first of equals."""
     cells = rows.where("what = 'cell'")
     claim = F.struct((~F.col("planing")).alias("slow"), "t_ms", (-F.col("seq")).alias("first"))
     fields = [c.split()[0] for c in ROWS.split(", ") if c.split()[0] not in ("lake", "cx", "cy", "id")]
     best = cells.groupBy("lake", "cx", "cy").agg(F.max_by(F.struct(*fields), claim).alias("b")).select("lake", "cx", "cy", F.lit(None).cast("long").alias("id"), "b.*")
     reviewed = F.col("status") != "pending"
-    weight = F.struct(reviewed.alias("r"), F.when(reviewed, F.coalesce("reviewed_t", F.lit(0))).otherwise(0).alias("t"), (-F.col("upload")).alias("u"))
+    weight = F.struct(reviewed.alias("r"), F.when(reviewed, F.coalesce("reviewed_t", F.lit(0))).otherwise(0).alias("t"), (-F.col("upload")).alias("u"), (-F.col("seq")).alias("first"))
     kept = rows.where("what = 'flag'").groupBy("lake", "id").agg(F.max_by(F.struct(*fields), weight).alias("b")).select("lake", F.lit(None).cast("long").alias("cx"), F.lit(None).cast("long").alias("cy"), "id", "b.*")
     return best.unionByName(kept)
 

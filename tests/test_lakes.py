@@ -46,3 +46,11 @@ def test_marks_in_any_order(spark, order):
     for n, k in enumerate(order):
         marks.apply(spark.createDataFrame(changes[k], "lake string, id long, t long, seq long, gone boolean, status string"), n)
     assert {(r.lake, r.id): r.status for r in marks.rows().collect()} == {("L", 2): "b", ("M", 1): "m", ("L", 3): "d"}
+
+
+def test_of_equal_flags_the_first_stands_in_any_order(spark):
+    rows = [(7, "AAAA", "flag", None, None, i, t, seq, None, "pending", None) for i in range(40) for t, seq in ((5, 3), (6, 2), (4, 4))]
+    for n, order in enumerate((rows, rows[::-1])):
+        lakes = Lakes(spark, shared_path(spark, "lakes"))
+        lakes.merge(spark.createDataFrame(order, UPLOAD).coalesce(1), n)
+        assert {(r.t_ms, r.seq) for r in lakes.rows().collect()} == {(6, 2)}
