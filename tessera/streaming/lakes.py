@@ -5,7 +5,7 @@ Marks are kept the same way: put and deleted by key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.versions import VersionedTable
@@ -29,9 +29,9 @@ def _merged(rows: DataFrame) -> DataFrame:
 
 
 class Lakes:
-    """Merges batches of uploads; lakes that a batch doesn't name keep their files."""
+    """Merges batches of uploads; lakes that a batch doesn't name keep their files. A bound that is None doesn't bind."""
 
-    def __init__(self, spark: SparkSession, base: str, max_cells: int = MAX_CELLS, max_flags: int = MAX_FLAGS):
+    def __init__(self, spark: SparkSession, base: str, max_cells: int | None = MAX_CELLS, max_flags: int | None = MAX_FLAGS):
         self.spark, self.base, self.max_cells, self.max_flags = spark, base, max_cells, max_flags
         self.table = VersionedTable(spark, f"{base}/lakes", ROWS, "lake")
 
@@ -44,12 +44,14 @@ class Lakes:
         uploads = uploads.withColumn("lake", F.upper("code")).persist()
         count = lambda what: F.count_if(F.col("what") == what)
         each = uploads.groupBy("upload", "lake").agg(count("cell").alias("cells"), count("flag").alias("flags"))
-        asked = each.withColumn("answer", F.when(~F.coalesce(F.col("lake").rlike(CODE), F.lit(False)), 400).when((F.col("cells") > self.max_cells) | (F.col("flags") > self.max_flags), 413).otherwise(200))
+        asked = each.withColumn("answer", F.when(~F.coalesce(F.col("lake").rlike(CODE), F.lit(False)), 400).when(self._over("cells", self.max_cells) | self._over("flags", self.max_flags), 413).otherwise(200))
         fit = uploads.join(asked.where("answer = 200").select("upload", "lake"), ["upload", "lake"], "left_semi")
         names = [c.split()[0] for c in ROWS.split(", ")]
 
         def merge(held: DataFrame) -> DataFrame:
             merged = _merged(held.unionByName(fit.select(*names)))
+            if self.max_cells is None:
+                return merged
             full = merged.where("what = 'cell'").groupBy("lake").count().where(F.col("count") > self.max_cells).select("lake")
             stays = held.join(full, "lake", "left_semi")
             return merged.join(full, "lake", "left_anti").unionByName(stays)
@@ -60,11 +62,17 @@ class Lakes:
         # a lake whose rows don't hold any of the batch's cells though it had some was full
         sent = fit.where("what = 'cell'").select("lake", "cx", "cy").distinct()
         lost = sent.join(after.select("lake", "cx", "cy"), ["lake", "cx", "cy"], "left_anti").select("lake").distinct().withColumn("full", F.lit(True))
+        if self.max_cells is None:
+            lost = lost.limit(0)
         answers = asked.join(size, "lake", "left").join(lost, "lake", "left")
         answer = F.when((F.col("answer") == 200) & F.coalesce("full", F.lit(False)), 507).otherwise(F.col("answer"))
         answers.select("upload", "lake", answer.cast("int").alias("answer"), F.when(answer == 200, F.coalesce("merged", F.lit(0))).cast("long").alias("merged")).write.mode("overwrite").parquet(f"{self.base}/answers/{n}")
         uploads.unpersist()
 
+    @staticmethod
+    def _over(column: str, bound: int | None) -> Column:
+        return F.lit(False) if bound is None else F.col(column) > bound
+
     def rows(self) -> DataFrame:
         return self.table.read()
 

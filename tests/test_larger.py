@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from tessera.plans import catalog, lines, live, rules, sampling, shapes, surfaces  # noqa: F401
+from tessera.streaming import lakes
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,10 @@ def test_soundings_just_600_from_a_middle(spark, tmp_path):
     """Of 2,000 soundings many lie on multiples of 400, which belong to four rows of sections."""
     got = same_as_sql(spark, tmp_path, "p43_surprise_score", supplier="select s.* replace (s_suppkey + i * 10 as s_suppkey, abs(hash(s_suppkey + i * 10)) % 9000::double as s_acctbal) from '{sf}/supplier.parquet' s cross join range(200) r(i)")
     assert len(got) > 20
+
+
+@pytest.mark.parametrize("name", ["t8s_upload_answers", "t8s_server_merge"])
+def test_large_lakes_are_merged_whole(spark, tmp_path, monkeypatch, name):
+    """The queries' lakes have no bounds, as their SQL has none; the operator's own stay."""
+    monkeypatch.setattr(lakes.Lakes.__init__, "__defaults__", (10, 5))
+    same_as_sql(spark, tmp_path, name)
