@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import geometry, raster, spatial
+from ..operators import geometry, ranges, raster, spatial
 from ..sources.fixtures import fixture
 from .catalog import BUILT, _PAIR, built
 from .shapes import LAKE
@@ -83,7 +83,7 @@ def _w10(spark, d):
 @built("f14_in_view", "select a.id, count(*) as shown from fx_sentinel a join fx_naip b on abs(a.x - b.x) <= 150 and abs(a.y - b.y) <= 150 group by a.id")
 def _f14(spark, d):
     """How many detections a view of 300 m shows around each point."""
-    return spatial.box_join(fixture(spark, d, "fx_sentinel"), fixture(spark, d, "fx_naip"), 150.0).groupBy(F.col("l_id").alias("id")).agg(F.count("*").alias("shown"))
+    return ranges.sums_around(fixture(spark, d, "fx_sentinel"), fixture(spark, d, "fx_naip"), [150.0], box=True).where("n_0 > 0").select("id", F.col("n_0").alias("shown"))
 
 
 @built("j23_hit_test", f"select id, hit from (select a.id, b.id as hit, row_number() over (partition by a.id order by {_PAIR}, b.id) as rn from fx_flag a join fx_naip b on {_PAIR} <= 22) t where rn = 1")
