@@ -41,3 +41,16 @@ def test_a_frame_has_a_hole_and_unknown_boxes_none(spark):
 def test_pieces_of_one_box(spark):
     df = spark.createDataFrame([(0.0, 0.0, 2.0, 1.0)], "x0 double, y0 double, x1 double, y1 double")
     assert sorted(map(tuple, bare_sides(df).collect())) == [(0, 0.0, 0.0, 2.0, 0.0), (1, 2.0, 0.0, 2.0, 1.0), (2, 2.0, 1.0, 0.0, 1.0), (3, 0.0, 1.0, 0.0, 0.0)]
+
+
+def test_crowded_boxes_meet_only_along_the_rim(spark, tmp_path, monkeypatch):
+    from tessera.operators import unions
+
+    rnd = random.Random(4)
+    boxes = [(float(x), float(y), float(x + rnd.randint(20, 30)), float(y + rnd.randint(20, 30)), "w") for x, y in ((rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(500)) if not (10 < x < 45 and 15 < y < 44)]
+    written = {}
+    monkeypatch.setattr(unions, "kept", lambda df, label, keep=unions.kept: written.setdefault(label, keep(df, label)))
+    got = rings_of(spark, boxes)
+    covered = {(x, y) for x0, y0, x1, y1, _ in boxes for x in range(int(x0), int(x1)) for y in range(int(y0), int(y1))}
+    assert sum(area(p) for p in got.values()) == len(covered)
+    assert written["hidden"].count() < 4 * len(boxes) * 40  # sides times boxes near them are more than four times that
